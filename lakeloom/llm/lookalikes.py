@@ -83,14 +83,14 @@ def repairs(text: str) -> list[tuple[str, str, bool]]:
     if not _FOREIGN.search(text):
         return []
     tokens = [(t, *_scripts(t)) for t in dict.fromkeys(_TOKEN.findall(text))]
-    own = any(c + g and not la and any(ch != ch.translate(TO_LATIN) or ("\u0370" <= ch <= "\u052f") for ch in t.lower()) and _stays(t, TO_LATIN) for t, la, c, g in tokens)
+    own = any(c + g and not la and _stays(t, TO_LATIN) for t, la, c, g in tokens)
     latin = any(la and not (c + g) for _, la, c, g in tokens) or any(la and c + g for _, la, c, g in tokens)
     out = []
     for t, la, c, g in tokens:
         if la and c + g:
             ways = [("l", t.translate(TO_LATIN))]
             ways.append(("c", t.translate(TO_CYRILLIC)) if c >= g else ("g", t.translate(TO_GREEK)))
-            if c + g > la:
+            if own:
                 ways.reverse()
             for kind, r in ways:
                 x, y, z = _scripts(r)
@@ -108,7 +108,7 @@ def repairs(text: str) -> list[tuple[str, str, bool]]:
 
 
 def _stays(token: str, table: dict) -> bool:
-    return sum(_scripts(token.lower().translate(table))[1:]) > 0
+    return sum(_scripts(token.translate(table))[1:]) > 0
 
 
 def fold(text: str) -> str:

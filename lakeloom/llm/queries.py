@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import lookalikes, repeated_lines, residue
+from lakeloom.llm import lookalikes, repeated_lines, residue, truncation
 from lakeloom.plans.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,16 @@ def p1_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.without_repeated_lines(table(spark, d, "page_nodes"))
 
 
+@query("p2_found")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated_values(table(spark, d, "page_nodes"))
+
+
+@query("p2_rates")
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_rates(table(spark, d, "page_nodes"), table(spark, d, "crawl_pages"))
+
+
 @query("p5_found")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_cases(table(spark, d, "page_nodes"), table(spark, d, "crawl_pages"))

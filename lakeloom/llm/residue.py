@@ -34,8 +34,8 @@ you need to enable javascript to run *|you need to enable javascript|please enab
 please turn on scripts in your browser to view *|please turn on scripts|does not work with scripts switched off|javascript is disabled
 your browser is not supported by *|your browser is not supported|update it and reload|checking your browser before opening *|checking your browser
 enable cookies and reload|this browser is out of date|javascript must be enabled|enable javascript and cookies to continue
-todo: write copy for *|todo|tbd|tba|fixme|sample text|your text here|heading goes here|* description goes here|goes here|insert * headline here
-insert * here|text goes here|asdf|asdf asdf|xxxx|xxxxxx|qwerty|placeholder text|dummy text|coming soon text|undefined|null|nan|[object object]
+todo: write copy for *|todo|tbd|tba|fixme|sample text|your text here|your text here: *|heading goes here|* description goes here|goes here|insert * headline here
+insert * here|text goes here|asdf|asdf asdf * asdf|xxxx|xxxxxx|qwerty|placeholder text|dummy text|coming soon text|undefined|null|nan|[object object]
 seite * wurde nicht gefunden|seite nicht gefunden|fehler *|bitte aktivieren sie javascript|bitte aktivieren sie javascript, um * zu nutzen|platzhalter für *|beispieltext|zugriff verweigert
 etwas ist schiefgelaufen|die seite existiert nicht|interner serverfehler|ihr browser wird nicht unterstützt|ihre sitzung ist abgelaufen|dienst nicht verfügbar|hier text einfügen
 page introuvable|page * introuvable|erreur *|erreur * : * est indisponible|est indisponible|activez javascript|activez javascript pour afficher *|accès refusé|une erreur est survenue|veuillez activer javascript
@@ -44,10 +44,10 @@ página * no encontrada|página no encontrada|error *|active javascript para ver
 página não encontrada|ative o javascript|acesso negado|algo deu errado|texto de exemplo
 pagina non trovata|attiva javascript|accesso negato|qualcosa è andato storto|testo di esempio
 страница * не найдена|страница не найдена|ошибка *|включите javascript|включите javascript, чтобы *|доступ запрещён|доступ запрещен|что-то пошло не так|пример текста|ваш браузер не поддерживается|сервис недоступен|внутренняя ошибка сервера|время сеанса истекло
-のページが見つかりません|ページが見つかりません|エラー|javascriptを有効にしてください|javascript を有効にしてください|アクセスが拒否されました|問題が発生しました|サンプルテキスト|ここにテキスト|お使いのブラウザは対応していません|サーバーエラー
-找不到页面|找不到*页面|未找到*页面|页面不存在|的页面不存在|页面未找到|请启用javascript|请启用 javascript|请开启 javascript|访问被拒绝|出错了|发生错误|示例文本|占位文本|您的浏览器不受支持|服务不可用|服务器内部错误|错误 *
-ไม่พบหน้า|ไม่พบหน้า *|ไม่พบหน้านี้|เกิดข้อผิดพลาด|ข้อผิดพลาด|โปรดเปิดใช้งาน javascript|กรุณาเปิดใช้งาน javascript|กรุณาเปิด javascript|ข้อความตัวอย่าง|ไม่มีสิทธิ์เข้าถึง
-पृष्ठ नहीं मिला|पेज नहीं मिला|त्रुटि *|कृपया javascript चालू करें|जावास्क्रिप्ट चालू करें|नमूना पाठ|कुछ गलत हो गया|पहुँच अस्वीकृत
+* のページが見つかりません|*のページが見つかりません|ページが見つかりません|エラー|javascriptを有効にしてください|javascript を有効にしてください|アクセスが拒否されました|問題が発生しました|サンプルテキスト|ここにテキスト|お使いのブラウザは対応していません|サーバーエラー
+找不到页面|*的页面未找到|*页面未找到|找不到*页面|未找到*页面|页面不存在|*的页面不存在|页面未找到|请启用javascript|请启用 javascript|请开启 javascript|访问被拒绝|出错了|发生错误|示例文本|占位文本|您的浏览器不受支持|服务不可用|服务器内部错误|错误 *
+ไม่พบหน้า|ไม่พบหน้าของ *|ไม่พบหน้า *|ไม่พบหน้านี้|เกิดข้อผิดพลาด|ข้อผิดพลาด|โปรดเปิดใช้งาน javascript|กรุณาเปิดใช้งาน javascript|กรุณาเปิด javascript|ข้อความตัวอย่าง|ไม่มีสิทธิ์เข้าถึง
+पृष्ठ नहीं मिला|* का पृष्ठ नहीं मिला|* पृष्ठ नहीं मिला|पेज नहीं मिला|त्रुटि *|कृपया javascript चालू करें|जावास्क्रिप्ट चालू करें|नमूना पाठ|कुछ गलत हो गया|पहुँच अस्वीकृत
 الصفحة غير موجودة|لم يتم العثور على الصفحة|خطأ *|يرجى تفعيل javascript|تم رفض الوصول|حدث خطأ ما|نص تجريبي
 """
 # Words of dummy copy.
