@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import lookalikes, repeated_lines, residue, truncation
+from lakeloom.llm import lookalikes, main_content, repeated_lines, residue, truncation
 from lakeloom.plans.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,16 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_rates(table(spark, d, "page_nodes"), table(spark, d, "crawl_pages"))
 
 
+@query("p4_found")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return main_content.main_content(table(spark, d, "page_nodes"))
+
+
+@query("p4_bodies")
+def p4_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return main_content.page_bodies(table(spark, d, "page_nodes"))
+
+
 @query("p5_found")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_cases(table(spark, d, "page_nodes"), table(spark, d, "crawl_pages"))
