@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.plans.session import checkpoint
+from lakeloom.plans.session import written
 
 #: How many fragments of one level make a fragment of the next.
 FAN = 64
@@ -226,7 +226,7 @@ def _solve(q: DataFrame, levels: int, with_path: bool) -> DataFrame:
             "page_id", "node_id", F.col("base_root").alias("root_id"), (F.col("dist") + F.col("base_dist")).alias("depth"),
             (F.col("lost") | F.col("base_lost")).alias("lost"), *path,
         )
-    cut = checkpoint(cut)
+    cut = written(cut)
     targets = cut.where("exit is not null and not lost").select("page_id", F.col("exit").alias("node_id")).distinct()
     inner = (
         targets.join(cut, ["page_id", "node_id"]).join(ends, ["page_id", "top"])
@@ -287,13 +287,13 @@ def hierarchy(nodes: DataFrame, with_path: bool = False, chunk: int = 50_000) ->
     if not levels:
         solved = cut.where(~F.col("claim")).select("page_id", "node_id", F.col("top").alias("root_id"), F.col("dist").alias("depth"), "lost", *path)
         return _told(solved, with_path)
-    cut = checkpoint(cut)
+    cut = written(cut)
     inside = cut.where(~F.col("claim")).drop("claim")
     claims = cut.where("claim").groupBy("page_id", F.col("node_id").alias("top")).agg(F.min_by("top", "frag").alias("lister"))
     tops = inside.where("not lost and node_id = top").select("page_id", "top", F.col("exit").alias("_exit"))
     exits = tops.join(claims, ["page_id", "top"], "left").select("page_id", "top", F.coalesce("_exit", "lister").alias("exit"))
     known = inside.select("page_id", F.col("node_id").alias("exit"))
-    exits = checkpoint(exits.where("exit is not null").join(known, ["page_id", "exit"], "left_semi"))
+    exits = written(exits.where("exit is not null").join(known, ["page_id", "exit"], "left_semi"))
     inside = inside.drop("exit").join(exits, ["page_id", "top"], "left")
     targets = exits.select("page_id", F.col("exit").alias("node_id")).distinct()
     q = targets.join(inside, ["page_id", "node_id"]).select(

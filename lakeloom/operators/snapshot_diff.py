@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeloom.plans.session import checkpoint
+from lakeloom.plans.session import spread, written
 
 #: Fields of a document that say when it was taken, not what it holds.
 VOLATILE = ("capturedAt",)
@@ -64,7 +64,7 @@ def delivered_state(snapshots: DataFrame) -> DataFrame:
     the largest fingerprint). A document that cannot be read or has no nodes stands for the key's document of the delivery
     before; a key that has none there has no state yet and is left out. ``rank`` numbers the deliveries present without gaps.
     """
-    rows = snapshots.where("delivery_no is not null and watch_key is not null").select(
+    rows = spread(snapshots.where("delivery_no is not null and watch_key is not null").select("delivery_no", "watch_key", "received_at", "document")).select(
         F.col("delivery_no").alias("no"), F.lower("watch_key").alias("key"), F.col("received_at").alias("at"), fingerprint("document").alias("print")
     )
     late = rows.groupBy("no", "key").agg(F.max_by("print", F.struct(F.coalesce("at", F.to_timestamp_ntz(F.lit("0001-01-01"))), F.coalesce("print", F.lit("")))).alias("print"))
@@ -84,7 +84,7 @@ def snapshot_changes(snapshots: DataFrame) -> DataFrame:
     snapshots: delivery_no, received_at, watch_key, document; other columns are left aside. Rows without a delivery number or key
     are left out. One delivery or an empty table gives no rows.
     """
-    state = checkpoint(delivered_state(snapshots))  # read four times below
+    state = written(delivered_state(snapshots))  # read four times below
     ranks = snapshots.where("delivery_no is not null").select(F.col("delivery_no").alias("no")).distinct()
     nos = ranks.withColumn("rank", F.row_number().over(Window.orderBy("no")))
     pairs = F.broadcast(nos.select(F.col("no").alias("from_no"), "rank").join(nos.select(F.col("no").alias("to_no"), (F.col("rank") - 1).alias("rank")), "rank"))
