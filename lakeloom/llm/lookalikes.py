@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeloom.plans.session import checkpoint
+from lakeloom.plans.session import spread, written
 
 # Letters of other scripts that look like Latin ones.
 CYRILLIC = "АВЕКМНОРСТУХЅІЈаеорсухѕіјһԁԛԝ"
@@ -171,12 +171,12 @@ def consistent(values: DataFrame, keys: list[str]) -> DataFrame:
     the commoner one.
     """
     vocab_of = values.where("value is not null").select("value")
-    odd = values.where(F.col("value").isNotNull() & suspect(F.col("value"))).select(*keys, "value")
-    odd = checkpoint(odd.distinct().withColumn("e", _examined("value")).select(*keys, "value", "e.*").where("changed or size(repairs) > 0"))
+    odd = spread(values.where(F.col("value").isNotNull() & suspect(F.col("value"))).select(*keys, "value"))
+    odd = written(odd.distinct().withColumn("e", _examined("value")).select(*keys, "value", "e.*").where("changed or size(repairs) > 0"))
     pairs = odd.select(F.explode("repairs").alias("r")).select("r.*").distinct()
     wanted = pairs.select(F.explode(F.array(F.lower("repair"), F.lower("token"))).alias("word")).distinct()
     vocab = vocabulary(vocab_of).join(wanted, "word", "left_semi")
-    vocab = checkpoint(vocab)
+    vocab = written(vocab)
     known = (
         pairs.join(vocab.select(F.col("word").alias("_w"), F.col("n").alias("n")), F.lower("repair") == F.col("_w"))
         .join(vocab.select(F.col("word").alias("_v"), F.col("n").alias("m")), F.lower("token") == F.col("_v"), "left")

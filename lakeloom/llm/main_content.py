@@ -15,7 +15,7 @@ from lakeloom.llm.labelled_blocks import BLOCKS
 from lakeloom.llm.lookalikes import folded
 from lakeloom.llm.repeated_lines import MIN_PAGES, line_key
 from lakeloom.llm.residue import is_residue
-from lakeloom.plans.session import written
+from lakeloom.plans.session import spread, written
 
 #: The bound of the labelled sample: rows of the table that the tree is grown on.
 MAX_LABELLED = 200
@@ -67,7 +67,7 @@ def block_features(nodes: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
 
     ``share`` is the part of the site's pages that have the block's rarest line, 0 below ``min_pages`` pages.
     """
-    own = nodes.where("text is not null and trim(text) <> ''").select(
+    own = spread(nodes.where("text is not null and trim(text) <> ''").select("site", "page_id", "node_id", "pos", "text", "role", "href", "semantic_role")).select(
         F.coalesce("site", F.lit("")).alias("site"), "page_id", "node_id", F.coalesce("pos", F.lit(0)).alias("pos"), folded(F.col("text")).alias("fold"),
         is_residue(F.col("text")).alias("residue"), (F.col("href").isNotNull() | F.coalesce(F.col("role") == "link", F.lit(False))).cast("double").alias("linked"),
         F.coalesce(F.col("role") == "heading", F.lit(False)).cast("double").alias("heading"), F.coalesce(F.col("role") == "button", F.lit(False)).cast("double").alias("button"),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import lookalikes, main_content, repeated_lines, residue, truncation
+from lakeloom.llm import lookalikes, main_content, repeated_lines, residue, sentences, truncation
 from lakeloom.plans.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,3 +78,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_values(spark: SparkSession, d: str) -> DataFrame:
     values = lookalikes.node_values(table(spark, d, "page_nodes"))
     return lookalikes.consistent(values, ["page_id", "node_id", "field"])
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "documents")).select("doc_id", "start_char", "end_char")
+
+
+@query("p10_sentences")
+def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "documents"))

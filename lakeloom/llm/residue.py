@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeloom.llm.lookalikes import fold
+from lakeloom.plans.session import spread
 
 #: The share of a line's letters and digits that phrases must cover. Names and numbers beside a phrase take up to the rest.
 MIN_COVER = 0.55
@@ -194,7 +195,7 @@ def residue_cases(nodes: DataFrame, pages: DataFrame, min_cover: float = MIN_COV
     t = nodes.where("text is not null and text <> ''").select("page_id", "node_id", "text")
     own = F.regexp_replace("title", r" [|–—] [^|–—]*$", "")
     p = pages.where("title is not null and title <> ''").select("page_id", F.lit("title").alias("node_id"), own.alias("text"))
-    return t.unionByName(p).where(is_residue(F.col("text"), min_cover)).select("page_id", "node_id").distinct()
+    return spread(t.unionByName(p)).where(is_residue(F.col("text"), min_cover)).select("page_id", "node_id").distinct()
 
 
 def without_residue(nodes: DataFrame, min_cover: float = MIN_COVER) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm.lookalikes import folded
 from lakeloom.llm.residue import is_residue
-from lakeloom.plans.session import written
+from lakeloom.plans.session import spread, written
 
 #: The largest share of ends among the occurrences of a cut value's last words.
 MAX_END_SHARE = 0.3
@@ -110,7 +110,7 @@ def _values(nodes: DataFrame) -> DataFrame:
         return F.struct(F.array(*map(F.lit, fields)).alias("fields"), F.col(value).alias("value"), (F.col(other) if other else F.lit(None).cast("string")).alias("other"))
 
     both = F.when(F.col("text") == F.col("name"), F.array(row(["text", "name"], "text", None))).otherwise(F.array(row(["text"], "text", "name"), row(["name"], "name", "text")))
-    rows = nodes.select(F.coalesce("site", F.lit("")).alias("site"), "page_id", "node_id", F.explode(both).alias("v"))
+    rows = spread(nodes.select("site", "page_id", "node_id", "text", "name")).select(F.coalesce("site", F.lit("")).alias("site"), "page_id", "node_id", F.explode(both).alias("v"))
     return rows.select("site", "page_id", "node_id", "v.*").where("value is not null and trim(value) <> ''")
 
 
