@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import lookalikes, main_content, repeated_lines, residue, sentences, truncation
+from lakeloom.llm import lookalikes, main_content, mixing, packing, repeated_lines, residue, sentences, truncation
 from lakeloom.plans.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,28 @@ def p6_values(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.consistent(values, ["page_id", "node_id", "field"])
 
 
+@query("p8_packed")
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
+
+
+@query("p8_fill")
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    packs = table(spark, d, "pack_sizes")
+    return packing.fill_report(packing.packed(table(spark, d, "documents"), packs), packs)
+
+
+@query("p9_mix")
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+@query("p9_shares")
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets")
+    return mixing.share_report(mixing.mixed(table(spark, d, "documents"), targets), targets)
+
+
 @query("p10_found")
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(table(spark, d, "documents")).select("doc_id", "start_char", "end_char")
