@@ -2,30 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
+from lakeloom import page_queries, state_queries  # noqa: F401  they register theirs
 from lakeloom.operators.hierarchy import hierarchy
 from lakeloom.operators.snapshot_diff import snapshot_change_texts, snapshot_changes
+from lakeloom.plans.registry import QUERIES, SQL, query  # noqa: F401
 from lakeloom.plans.tables import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query and, if there is one, its SQL."""
-
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = sql
-        return f
-
-    return add
-
 
 @query("p3_found")
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
