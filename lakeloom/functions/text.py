@@ -24,7 +24,7 @@ PRICE = r"(?i)(?:(?:[$€£]|R\$|USD|EUR|BRL|GBP)\s*[0-9]|[0-9][0-9.,]*\s*(?:USD
 def _bases() -> tuple[str, str]:
     """Letters that are a base letter with marks, and their bases."""
     pairs = []
-    for code in (*range(0xC0, 0x600), *range(0x900, 0xE00), *range(0x1E00, 0x2000), *range(0x3040, 0x3100)):
+    for code in (*range(0xC0, 0x2000), *range(0x3040, 0x3100)):
         parts = unicodedata.normalize("NFD", chr(code))
         bare = [c for c in parts if not unicodedata.category(c).startswith("M")]
         if len(parts) > 1 and len(bare) == 1:
