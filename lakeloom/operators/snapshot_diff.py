@@ -71,7 +71,7 @@ def delivered_state(snapshots: DataFrame) -> DataFrame:
     ranks = snapshots.where("delivery_no is not null").select(F.col("delivery_no").alias("no")).distinct()
     ranks = ranks.withColumn("rank", F.row_number().over(Window.orderBy("no")))  # one row for each delivery
     w = Window.partitionBy("key").orderBy("rank")
-    run = late.join(F.broadcast(ranks), "no").withColumn("run", F.col("rank") - F.row_number().over(w))
+    run = late.join(ranks, "no").withColumn("run", F.col("rank") - F.row_number().over(w))
     back = Window.partitionBy("key", "run").orderBy("rank")
     whole = run.withColumn("held", F.last(F.when(F.col("print").isNotNull(), F.struct("print")), ignorenulls=True).over(back))
     return whole.where("held is not null").select("no", "rank", "key", F.col("held.print").alias("print"))
@@ -87,7 +87,7 @@ def snapshot_changes(snapshots: DataFrame) -> DataFrame:
     state = written(delivered_state(snapshots))  # read four times below
     ranks = snapshots.where("delivery_no is not null").select(F.col("delivery_no").alias("no")).distinct()
     nos = ranks.withColumn("rank", F.row_number().over(Window.orderBy("no")))
-    pairs = F.broadcast(nos.select(F.col("no").alias("from_no"), "rank").join(nos.select(F.col("no").alias("to_no"), (F.col("rank") - 1).alias("rank")), "rank"))
+    pairs = (nos.select(F.col("no").alias("from_no"), "rank").join(nos.select(F.col("no").alias("to_no"), (F.col("rank") - 1).alias("rank")), "rank"))
     old = state.join(pairs, "rank").select("from_no", "to_no", "key", "print")
     new = state.withColumn("rank", F.col("rank") - 1).join(pairs, "rank").select("from_no", "to_no", "key", "print")
     gone = old.exceptAll(new).select("from_no", "to_no", "key", F.col("print").alias("before_print"))
