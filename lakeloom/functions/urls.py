@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_PARTS = r"^(?i:(https?))://([^/?#@]+)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+_PARTS = r"^(?i:(https?))://([^/?#@]+)(?=[/?#]|$)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 # Endings of files that are no pages.
 ASSET = r"(?i)\.(?:png|jpe?g|gif|svg|webp|ico|avif|pdf|zip|gz|tar|mp[34]|wav|webm|woff2?|ttf|css|json|xml|csv)$"
 

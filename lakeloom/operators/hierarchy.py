@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +25,15 @@ CYCLE = "cycle"
 
 
 def _codes(*columns: pa.Array) -> list[np.ndarray]:
-    """The same small integers for the same strings in all columns, -1 for null."""
+    """The same small integers for the same strings in all columns, in the order of the strings, -1 for null."""
     both = pa.chunked_array([c.cast(pa.string()) for c in columns]).combine_chunks()
     if isinstance(both, pa.ChunkedArray):
         both = pa.concat_arrays(both.chunks) if both.num_chunks else pa.array([], pa.string())
-    idx = both.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = both.dictionary_encode()
+    rank = np.empty(len(coded.dictionary) + 1, np.int64)
+    rank[pa.compute.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(coded.dictionary))
+    rank[-1] = -1
+    idx = rank[coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)]
     cuts = np.cumsum([len(c) for c in columns])[:-1]
     return np.split(idx, cuts)
 
@@ -58,7 +63,7 @@ def _segments(parent: np.ndarray, lost: np.ndarray, own: list) -> list:
             way.append(parent[way[-1]])
         for j in reversed(way):
             if out[j] is None:
-                out[j] = (out[parent[j]] if parent[j] >= 0 else []) + own[j]
+                out[j] = (out[parent[j]] if parent[j] >= 0 else []) + (own[j] or [])
     return out
 
 
@@ -89,7 +94,7 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
 
 
 def _fragments(with_path: bool):
-    """mapInArrow function: rows (page, frag, node, parent, children, ord) of whole fragments to contracted nodes and claims."""
+    """mapInArrow function: rows (page, frag, node, parent, children, ord) of whole fragments to contracted nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_groups(batches, ["page_id", "frag"]):
@@ -147,28 +152,11 @@ def _fragments(with_path: bool):
                 "dist": pa.array(far),
                 "lost": pa.array(lost),
                 "exit": exit_.take(pa.array(top)),
-                "claim": pa.array(np.zeros(len(keep), bool)),
             }
             if with_path:
                 segs = _segments(up, lost, [[s] for s in names.to_pylist()])
                 cols["path"] = pa.array(segs, pa.list_(pa.string()))
             yield pa.RecordBatch.from_pydict(cols)
-            foreign = find(ck) < 0 if len(ck) else np.array([], bool)
-            if foreign.any():
-                o, k = owner[foreign], kid[foreign]
-                cols = {
-                    "page_id": pa.array(page[o]),
-                    "node_id": flat.take(pa.array(k)),
-                    "frag": pa.array(frag[o]),
-                    "top": node.take(pa.array(o)),
-                    "dist": pa.array(np.zeros(len(o), np.int64)),
-                    "lost": pa.array(np.zeros(len(o), bool)),
-                    "exit": pa.nulls(len(o), pa.string()),
-                    "claim": pa.array(np.ones(len(o), bool)),
-                }
-                if with_path:
-                    cols["path"] = pa.nulls(len(o), pa.list_(pa.string()))
-                yield pa.RecordBatch.from_pydict(cols)
 
     return run
 
@@ -192,7 +180,7 @@ def _quotient(with_path: bool):
             tops = pa.array(top)
             cols = {
                 "page_id": t.column("page_id").combine_chunks(), "frag": t.column("frag").combine_chunks(), "node_id": node,
-                "top": node.take(tops), "dist": pa.array(far), "lost": pa.array(lost), "exit": parent.take(tops),
+                "top": node.take(tops), "dist": pa.array(far), "lost": pa.array(lost), "exit": parent.take(tops), "step": t.column("weight").combine_chunks().take(tops),
             }
             if with_path:
                 segs = _segments(up, lost, t.column("seg").to_pylist())
@@ -202,8 +190,8 @@ def _quotient(with_path: bool):
     return run
 
 
-_OUT = "page_id long, node_id string, frag long, top string, dist long, lost boolean, exit string, claim boolean"
-_QOUT = "page_id long, frag long, node_id string, top string, dist long, lost boolean, exit string"
+_OUT = "page_id long, node_id string, frag long, top string, dist long, lost boolean, exit string"
+_QOUT = "page_id long, frag long, node_id string, top string, dist long, lost boolean, exit string, step long"
 
 
 def _solve(q: DataFrame, levels: int, with_path: bool) -> DataFrame:
@@ -231,7 +219,7 @@ def _solve(q: DataFrame, levels: int, with_path: bool) -> DataFrame:
     inner = (
         targets.join(cut, ["page_id", "node_id"]).join(ends, ["page_id", "top"])
         .select(
-            "page_id", "node_id", "frag", F.col("exit").alias("parent"), (F.col("dist") + F.lit(1)).alias("weight"), "base_root",
+            "page_id", "node_id", "frag", F.col("exit").alias("parent"), (F.col("dist") + F.col("step")).alias("weight"), "base_root",
             (F.col("dist") + F.col("base_dist")).alias("base_dist"), (F.col("lost") | F.col("base_lost")).alias("base_lost"),
             *([F.col("path").alias("seg")] if with_path else []),
         )
@@ -252,7 +240,7 @@ def _hand_down(cut: DataFrame, above: DataFrame, ends: DataFrame, with_path: boo
     return both.select(
         "page_id", "node_id",
         F.when(through, F.col("_root")).otherwise(F.coalesce("base_root", "top")).alias("root_id"),
-        F.when(through, F.col("_depth") + F.lit(1) + F.col("dist")).otherwise(F.col("dist") + F.coalesce("base_dist", F.lit(0))).alias("depth"),
+        F.when(through, F.col("_depth") + F.col("step") + F.col("dist")).otherwise(F.col("dist") + F.coalesce("base_dist", F.lit(0))).alias("depth"),
         (F.col("lost") | F.when(through, F.col("_lost")).otherwise(F.coalesce("base_lost", F.lit(False)))).alias("lost"),
         *([path.alias("path")] if with_path else []),
     )
@@ -279,22 +267,21 @@ def hierarchy(nodes: DataFrame, with_path: bool = False, chunk: int = 50_000) ->
     levels, span = 0, chunk
     while span <= longest:
         levels, span = levels + 1, span * FAN
+    if levels:
+        kids = base.select("page_id", F.explode("children").alias("node_id"), F.struct("ord", F.col("node_id").alias("name")).alias("by"))
+        lister = kids.groupBy("page_id", "node_id").agg(F.min("by")["name"].alias("lister"))
+        base = base.join(lister, ["page_id", "node_id"], "left").select("page_id", "frag", "node_id", F.coalesce("parent", "lister").alias("parent"), F.array().cast("array<string>").alias("children"), "ord")
     cut = (
         base.repartition("page_id", "frag").sortWithinPartitions("page_id", "frag", "ord")
         .mapInArrow(_fragments(with_path), _OUT + (", path array<string>" if with_path else ""))
     )
     path = ["path"] if with_path else []
     if not levels:
-        solved = cut.where(~F.col("claim")).select("page_id", "node_id", F.col("top").alias("root_id"), F.col("dist").alias("depth"), "lost", *path)
-        return _told(solved, with_path)
+        return _told(cut.select("page_id", "node_id", F.col("top").alias("root_id"), F.col("dist").alias("depth"), "lost", *path), with_path)
     cut = written(cut)
-    inside = cut.where(~F.col("claim")).drop("claim")
-    claims = cut.where("claim").groupBy("page_id", F.col("node_id").alias("top")).agg(F.min_by("top", "frag").alias("lister"))
-    tops = inside.where("not lost and node_id = top").select("page_id", "top", F.col("exit").alias("_exit"))
-    exits = tops.join(claims, ["page_id", "top"], "left").select("page_id", "top", F.coalesce("_exit", "lister").alias("exit"))
-    known = inside.select("page_id", F.col("node_id").alias("exit"))
-    exits = written(exits.where("exit is not null").join(known, ["page_id", "exit"], "left_semi"))
-    inside = inside.drop("exit").join(exits, ["page_id", "top"], "left")
+    tops = cut.where("not lost and node_id = top and exit is not null").select("page_id", "top", "exit")
+    exits = written(tops.join(cut.select("page_id", F.col("node_id").alias("exit")), ["page_id", "exit"], "left_semi"))
+    inside = cut.drop("exit").join(exits, ["page_id", "top"], "left").withColumn("step", F.lit(1).cast("long"))
     targets = exits.select("page_id", F.col("exit").alias("node_id")).distinct()
     q = targets.join(inside, ["page_id", "node_id"]).select(
         "page_id", "node_id", "frag", F.col("exit").alias("parent"), (F.col("dist") + F.lit(1)).alias("weight"),
