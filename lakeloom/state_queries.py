@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakeloom.functions import text as T
 from lakeloom.functions import values as V
 from lakeloom.operators.facts import changes, unmatched
+from lakeloom.operators.vectors import ranked
 from lakeloom.page_queries import _score, _tokens
 from lakeloom.plans.registry import query
 from lakeloom.plans.tables import table
@@ -166,19 +167,13 @@ def cache_lru(spark: SparkSession, d: str) -> DataFrame:
 _DOT = "SELECT q.vec_id AS query_id, c.vec_id, q.label AS query_label, c.label, round(greatest(0, least(1, list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]))), 5) AS score FROM embeddings q JOIN embeddings c ON c.vec_id <> q.vec_id AND q.vec_id % 20 = 0"
 
 
-def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    """Cosine of every twentieth vector, the stated set of queries, with all vectors."""
-    e = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("v").alias("qv"))
-    dot = F.aggregate(F.zip_with("qv", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", "query_label", "label", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot)), 5).alias("score"))
-
-
 _TOP = f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM ({_DOT})"
 
 
 def _top(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(spark, d).withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    """The stated queries are every vector whose id is divisible by 20."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    return ranked(e.where("vec_id % 20 = 0"), e)
 
 
 @query("embedding_rank", f"SELECT query_id, vec_id, score, n FROM ({_TOP}) WHERE n <= 10")
