@@ -1,4 +1,4 @@
-"""Blocks labelled by hand, for the tree that tells page bodies: the features in their order, then 1 for body and 0 for boilerplate."""
+"""Blocks labelled by rules written for the purpose, for the tree that tells page bodies: the features in their order, then 1 for body and 0 for boilerplate."""
 
 BLOCKS = [
     (2, 0, 0, 7, 1, 0, 0, 0.625, 0.625, 0, 0, 1, 0, 1, 0),
