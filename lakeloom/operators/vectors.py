@@ -22,11 +22,12 @@ def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
     return packed.select(F.col("x.vec_id").alias(f"{name}_ids"), F.col("x.label").alias(f"{name}_labels"), F.flatten("x.v").alias(f"{name}_v"))
 
 
-def ranked(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
+def ranked(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = BLOCK, same_label: float = 0.0) -> DataFrame:
     """(query_id, vec_id, query_label, label, score, n): the ``k`` vectors of largest dot product with each query, itself left out.
 
     queries, vectors: vec_id, embedding, label. Scores are cut to 0..1 and rounded to 5 digits; of equal ones the smaller id comes
     first. Each pair of blocks is one product of matrices that keeps ``k`` candidates for each query, so a pair costs no row.
+    A vector with the query's label scores ``same_label`` at least, which is told before any candidate is dropped.
     Null ids or embeddings are left out; vectors of another length than the first one of their block are an error.
     """
     kept = "vec_id is not null and embedding is not null"
@@ -39,6 +40,9 @@ def ranked(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = BLO
                 ids = np.asarray(r.d_ids)
                 order = np.argsort(ids, kind="stable")
                 s = np.round(np.clip(q @ v[order].T, 0, 1), DIGITS)
+                if same_label > 0:
+                    own, other = np.asarray(r.q_labels, dtype=float), np.asarray(r.d_labels, dtype=float)[order]
+                    s = np.where(own[:, None] == other[None, :], np.maximum(s, same_label), s)
                 s[np.asarray(r.q_ids)[:, None] == ids[order][None, :]] = -1
                 top = np.argsort(-s, axis=1, kind="stable")[:, :k]
                 score = np.take_along_axis(s, top, axis=1)

@@ -4,6 +4,7 @@ import json
 import numpy as np
 
 from lakeloom.operators.vectors import ranked
+from lakeloom.queries import QUERIES
 from lakeloom.streaming.watch import watch
 
 
@@ -19,6 +20,20 @@ def test_ranked_against_brute_force(spark):
         assert [i for _, i in sorted(got[q])] == [i for _, i in s]
 
 
+def test_rerank_max_over_all_candidates(spark, tmp_path):
+    v = np.random.default_rng(6).standard_normal((120, 8)).round(3)
+    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    label = [None if i in (40, 7) else i % 3 for i in range(120)]
+    spark.createDataFrame([(i, v[i].tolist(), label[i]) for i in range(120)], "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {}
+    for r in QUERIES["rerank_max"](spark, str(tmp_path)).collect():
+        got.setdefault(r.query_id, set()).add((r.vec_id, r.score))
+    assert len(got) == 6
+    for q in got:
+        both = [(-max(round(float(np.clip(v[q] @ v[i], 0, 1)), 5), 0.5 if label[q] is not None and label[q] == label[i] else 0.0), i) for i in range(120) if i != q]
+        assert got[q] == {(i, -s) for s, i in sorted(both)[:10]}
+
+
 def test_watch_stream(spark, tmp_path):
     schema = "received_at timestamp_ntz, watch_key string, document string"
     doc = lambda t: json.dumps({"nodes": [{"id": "n1", "text": t}]})
