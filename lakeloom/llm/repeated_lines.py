@@ -1,19 +1,23 @@
 """Lines repeated across one site's pages, found as frequent sequences of line identifiers and removed.
 
 PrefixSpan, distributed: the sequence database holds each page's lines in document order. Frequent sequences of one line come
-from one count of distinct pages for each line of a site. A sequence of k lines is grown by the line that follows it next among
-the frequent lines of the page (the projected database keeps where each occurrence ends), and counted in the same way.
+from one count of distinct pages for each line of a site. A sequence of k lines is grown by the lines that follow it next among
+the frequent lines of the page (the projected database keeps where each occurrence begins), and counted in the same way.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm.lookalikes import folded
 from lakeloom.plans.session import spread, written
 
 MIN_PAGES = 6
+#: Lengths that the first level of sequences counts.
+FIRST_STEP = 4
 
 
 def line_key(line: Column) -> Column:
@@ -53,22 +57,34 @@ def repeated_lines(nodes: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     return found.select("page_id", "node_id", "line_no").distinct()
 
 
-def frequent_sequences(nodes: DataFrame, min_pages: int = MIN_PAGES, max_length: int = 4) -> DataFrame:
-    """(site, length, line_ids, pages): runs of up to ``max_length`` frequent lines that ``min_pages`` pages of a site share."""
-    lines = page_lines(nodes)
-    level = frequent_lines(lines, min_pages)
-    rows = lines.join(level, ["site", "line_id"], "left_semi").groupBy("site", "page_id", "node_id", "line_no").agg(F.min("pos").alias("pos"), F.min("line_id").alias("line_id"))
-    w = Window.partitionBy("site", "page_id").orderBy("pos", "node_id", "line_no")
-    grown = written(rows.select("site", "page_id", *[F.lead("line_id", k).over(w).alias(f"l{k}") for k in range(max_length)]))
-    out = level.select("site", F.lit(1).alias("length"), F.array("line_id").alias("line_ids"), "pages")
-    projected = grown
-    for k in range(1, max_length):
-        ids = [f"l{i}" for i in range(k + 1)]
-        once = projected.where(F.col(f"l{k}").isNotNull()).select("site", *ids, "page_id").distinct()
-        found = written(once.groupBy("site", *ids).agg(F.count("page_id").alias("pages")).where(F.col("pages") >= min_pages))
-        out = out.union(found.select("site", F.lit(k + 1), F.array(*ids), "pages"))
-        projected = projected.join(found.drop("pages"), ["site", *ids], "left_semi")
-    return out
+def frequent_sequences(nodes: DataFrame, min_pages: int = MIN_PAGES, max_length: int | None = None) -> DataFrame:
+    """(site, length, line_ids, pages): runs of frequent lines that ``min_pages`` pages of a site share, of every length up to ``max_length``.
+
+    A level grows the runs still frequent by as many lines as they have (``FIRST_STEP`` at first) and counts all new lengths at
+    once, told by a hash; the place where each occurrence begins is kept. Levels end when no run of the longest length is frequent.
+    """
+    lines = page_lines(nodes).where("page_id is not null")
+    rows = lines.join(frequent_lines(lines, min_pages), ["site", "line_id"], "left_semi").groupBy("site", "page_id", "node_id", "line_no").agg(F.min("pos").alias("pos"), F.min("line_id").alias("line_id"))
+    packed = rows.groupBy("site", "page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "node_id", "line_no", "line_id"))).alias("x"))
+    pages = written(packed.select("site", "page_id", F.col("x.line_id").alias("lines")))
+    starts, levels, done = pages.select("site", "page_id", F.sequence(F.lit(1), F.size("lines")).alias("starts")), [], 0
+    while max_length is None or done < max_length:
+        longest = done + max(done, FIRST_STEP)
+        longest = longest if max_length is None else min(longest, max_length)
+        run = F.expr(f"explode(transform(starts, s -> struct(s as at, slice(lines, s, {longest}) as run)))")
+        runs = pages.join(starts, ["site", "page_id"]).select("site", "page_id", run.alias("r")).select("site", "page_id", "r.*").where(F.size("run") > done)
+        prefix = F.expr(f"explode(transform(sequence({done + 1}, size(run)), k -> struct(k as length, xxhash64(slice(run, 1, k)) as id)))")
+        keyed = written(runs.select("site", "page_id", "at", prefix.alias("p")).select("site", "page_id", "at", "p.*"))
+        once = keyed.groupBy("site", "length", "id", "page_id").agg(F.min("at").alias("at"))
+        found = once.groupBy("site", "length", "id").agg(F.count(F.lit(1)).alias("pages"), F.min(F.struct("page_id", "at")).alias("first")).where(F.col("pages") >= min_pages)
+        found = written(found)
+        levels.append(found.select("site", "length", "pages", "first.*"))
+        if found.where(F.col("length") == longest).isEmpty():
+            break
+        alive = keyed.where(F.col("length") == longest).join(found, ["site", "length", "id"], "left_semi")
+        starts, done = alive.groupBy("site", "page_id").agg(F.collect_list("at").alias("starts")), longest
+    every = reduce(DataFrame.union, levels)
+    return every.join(pages, ["site", "page_id"]).select("site", "length", F.expr("slice(lines, at, length)").alias("line_ids"), "pages")
 
 
 def without_repeated_lines(nodes: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:

@@ -59,3 +59,13 @@ def test_main_content(spark):
     assert {(p, "b") for p in range(8)} <= got and not any(n in "acd" for _, n in got)
     assert page_bodies(df).count() == 8
     assert main_content(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_sequences_of_any_length(spark):
+    words = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo".split()
+    rows = [("s", p, "m", 0, "\n".join(words[: 11 if p < 7 else 6]), None, "text", None, None, None) for p in range(9)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = frequent_sequences(df).collect()
+    assert sorted((r.length, r.pages) for r in found) == sorted((k, 9 if i + k <= 6 else 7) for k in range(1, 12) for i in range(12 - k))
+    assert all(len(r.line_ids) == r.length for r in found) and len({tuple(r.line_ids) for r in found}) == len(found)
+    assert frequent_sequences(spark.createDataFrame([], SCHEMA)).count() == 0
