@@ -170,9 +170,21 @@ def consistent(values: DataFrame, keys: list[str]) -> DataFrame:
     token counts when it is in the vocabulary of all values; a token of one foreign script also needs the repaired word to be
     the commoner one.
     """
+    return _settled(values, keys, False)
+
+
+def consistent_values(values: DataFrame, keys: list[str]) -> DataFrame:
+    """All ``values`` (keys, value) that are not null, each in the consistent form: (keys, value, consistent); equal rows give one row."""
+    plain = values.where(F.col("value").isNotNull() & ~suspect(F.col("value"))).select(*keys, "value").distinct()
+    return plain.withColumn("consistent", F.col("value")).unionByName(_settled(values, keys, True))
+
+
+def _settled(values: DataFrame, keys: list[str], every: bool) -> DataFrame:
+    """(keys, value, consistent) of the suspect values: of ``every`` one, or of those that are not consistent already."""
     vocab_of = values.where("value is not null").select("value")
     odd = spread(values.where(F.col("value").isNotNull() & suspect(F.col("value"))).select(*keys, "value"))
-    odd = written(odd.distinct().withColumn("e", _examined("value")).select(*keys, "value", "e.*").where("changed or size(repairs) > 0"))
+    odd = odd.distinct().withColumn("e", _examined("value")).select(*keys, "value", "e.*")
+    odd = written(odd if every else odd.where("changed or size(repairs) > 0"))
     pairs = odd.select(F.explode("repairs").alias("r")).select("r.*").distinct()
     wanted = pairs.select(F.explode(F.array(F.lower("repair"), F.lower("token"))).alias("word")).distinct()
     vocab = vocabulary(vocab_of).join(wanted, "word", "left_semi")
@@ -185,7 +197,7 @@ def consistent(values: DataFrame, keys: list[str]) -> DataFrame:
     hits = odd.select(*keys, F.posexplode("repairs").alias("at", "r")).select(*keys, "at", "r.*")
     hits = hits.join(known, ["token", "repair", "mixed"]).groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("at", "token", "repair"))).alias("good"))
     both = odd.join(hits, keys, "left")
-    return both.where("changed or good is not null").select(*keys, "value", _rewritten("plain", "good").alias("consistent"))
+    return (both if every else both.where("changed or good is not null")).select(*keys, "value", _rewritten("plain", "good").alias("consistent"))
 
 
 def _rewrite(plain: pd.Series, good: pd.Series) -> pd.Series:

@@ -77,7 +77,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p6_values")
 def p6_values(spark: SparkSession, d: str) -> DataFrame:
     values = lookalikes.node_values(table(spark, d, "page_nodes"))
-    return lookalikes.consistent(values, ["page_id", "node_id", "field"])
+    return lookalikes.consistent_values(values, ["page_id", "node_id", "field"])
 
 
 @query("p8_packed")

@@ -88,8 +88,10 @@ def frequent_sequences(nodes: DataFrame, min_pages: int = MIN_PAGES, max_length:
 
 
 def without_repeated_lines(nodes: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(page_id, node_id, text): the texts that lost lines, without them."""
+    """(page_id, node_id, text): every node's text without the repeated lines, unchanged where it has none."""
     gone = repeated_lines(nodes, min_pages).groupBy("page_id", "node_id").agg(F.collect_set("line_no").alias("gone"))
     texts = nodes.where("text is not null").groupBy("page_id", "node_id").agg(F.max("text").alias("text"))
     kept = F.expr("filter(transform(split(text, '\\n'), (l, i) -> if(array_contains(gone, i), null, l)), l -> l is not null)")
-    return texts.join(gone, ["page_id", "node_id"]).select("page_id", "node_id", F.array_join(kept, "\n").alias("text"))
+    g = gone.select(F.col("page_id").alias("_p"), F.col("node_id").alias("_n"), "gone")
+    both = texts.join(g, F.col("page_id").eqNullSafe(F.col("_p")) & F.col("node_id").eqNullSafe(F.col("_n")), "left")
+    return both.select("page_id", "node_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"))

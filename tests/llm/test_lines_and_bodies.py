@@ -69,3 +69,12 @@ def test_sequences_of_any_length(spark):
     assert sorted((r.length, r.pages) for r in found) == sorted((k, 9 if i + k <= 6 else 7) for k in range(1, 12) for i in range(12 - k))
     assert all(len(r.line_ids) == r.length for r in found) and len({tuple(r.line_ids) for r in found}) == len(found)
     assert frequent_sequences(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_cleaned_keeps_every_text(spark):
+    own = [("s", 20, "x", 0, "Only here", None, None, None, None, None), ("s", 20, "y", 1, "", None, None, None, None, None), ("s", None, None, 2, "Home\nOwn", None, None, None, None, None)]
+    df = spark.createDataFrame(pages() + own, SCHEMA)
+    got = {(r.page_id, r.node_id): r.text for r in without_repeated_lines(df).collect()}
+    assert len(got) == 8 * 4 + 3
+    assert got[20, "x"] == "Only here" and got[20, "y"] == "" and got[None, None] == "Own"
+    assert all(got[p, "a"] == "" and got[p, "e"] == "---" for p in range(8))

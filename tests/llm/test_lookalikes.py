@@ -4,6 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lakeloom.llm.lookalikes import consistent, fold, plain_forms
+from lakeloom.llm.queries import QUERIES
 
 
 def test_plain_forms():
@@ -35,3 +36,10 @@ def test_consistent(spark):
     got = {(r.k, r.consistent) for r in consistent(spark.createDataFrame(rows, "k long, value string"), ["k"]).collect()}
     assert got == {(2, "Follow the news"), (6, "a b")}
     assert consistent(spark.createDataFrame([], "k long, value string"), ["k"]).count() == 0
+
+
+def test_values_keep_the_unchanged(spark, tmp_path):
+    rows = [(1, "a", "Follow the news", None), (2, "a", "Fοllow the news", "О нас"), (2, "a", "Fοllow the news", "О нас"), (3, "a", "xуzq never seen", ""), (4, "a", "a b", "a b")]
+    spark.createDataFrame(rows, "page_id long, node_id string, text string, name string").write.parquet(str(tmp_path / "page_nodes.parquet"))
+    got = sorted((r.page_id, r.field, r.consistent) for r in QUERIES["p6_values"](spark, str(tmp_path)).collect())
+    assert got == [(1, "text", "Follow the news"), (2, "name", "О нас"), (2, "text", "Follow the news"), (3, "text", "xуzq never seen"), (4, "name", "a b"), (4, "text", "a b")]
