@@ -126,7 +126,8 @@ def frontier_admission(spark: SparkSession, d: str) -> DataFrame:
     scored = links.groupBy("site", "canonical").agg(F.max(F.round(T.score("pricing documentation", words), 9)).alias("priority")).where("priority >= 0.05")
     seen = table(spark, d, "crawl_pages").select(U.canonical_url(F.col("url")).alias("canonical")).distinct()
     w = Window.partitionBy("site").orderBy(F.desc("priority"), "canonical")
-    return scored.join(seen, "canonical", "left_anti").withColumn("n", F.row_number().over(w)).where("n <= 100").select("site", "canonical", "priority", "n")
+    # Every admitted link with its rank; the SQL stops at 100 a site.
+    return scored.join(seen, "canonical", "left_anti").withColumn("n", F.row_number().over(w)).select("site", "canonical", "priority", "n")
 
 
 @query("crawl_outcomes", """SELECT source, CASE WHEN status IS NULL THEN 'unknown' WHEN status >= 500 OR status = 429 THEN 'error' WHEN status >= 400 THEN 'skipped' ELSE 'page' END AS outcome, count(*) AS pages, round(avg(relevance), 6) AS relevance

@@ -34,6 +34,15 @@ def test_rerank_max_over_all_candidates(spark, tmp_path):
         assert got[q] == {(i, -s) for s, i in sorted(both)[:10]}
 
 
+def test_frontier_keeps_every_link(spark, tmp_path):
+    node = "page_id long, node_id string, site string, pos int, tag string, role string, text string, name string, semantic_role string, href string, interactive boolean, disabled boolean, checked boolean, expanded boolean, context string, entity string, parent_id string, children array<string>"
+    rows = [(1, f"n{i}", "s", i, "a", "link", "", "pricing" if i < 149 else "other", None, f"https://s.test/p{i:03}", True, False, None, None, None, None, None, []) for i in range(150)]
+    spark.createDataFrame(rows, node).write.parquet(str(tmp_path / "page_nodes.parquet"))
+    spark.createDataFrame([(1, "https://s.test/p000")], "page_id long, url string").write.parquet(str(tmp_path / "crawl_pages.parquet"))
+    got = {(r.n, r.canonical) for r in QUERIES["frontier_admission"](spark, str(tmp_path)).collect()}
+    assert got == {(i, f"https://s.test/p{i:03}") for i in range(1, 149)}
+
+
 def test_watch_stream(spark, tmp_path):
     schema = "received_at timestamp_ntz, watch_key string, document string"
     doc = lambda t: json.dumps({"nodes": [{"id": "n1", "text": t}]})
