@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions.text import tokens
@@ -26,12 +26,12 @@ def unmatched(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame
     return rest(before, after, True), rest(after, before, False)
 
 
-def changes(before: DataFrame, after: DataFrame, min_alike: float = 0.35) -> DataFrame:
+def changes(before: DataFrame, after: DataFrame, min_alike: float = 0.35, always: Column | None = None) -> DataFrame:
     """(grp, before_value, after_value, before_pos, after_pos, how): what changed between two sets of facts.
 
     Facts: grp, value, normalized, state, signature, pos. Equal facts drop out first; then facts whose signature is the only one
     of its kind on both sides of a group make pairs, then single ones that are left on both sides and alike in words; the rest
-    was removed or added.
+    was removed or added. Where ``always`` holds for a group, single ones left on both sides make a pair even if not alike.
     """
     a, b = unmatched(before, after)
     a, b = (x.select("grp", "value", "signature", "pos") for x in (a, b))
@@ -48,7 +48,7 @@ def changes(before: DataFrame, after: DataFrame, min_alike: float = 0.35) -> Dat
     one = left.where("single").groupBy("grp").agg(F.max(F.when(F.col("side") == 0, F.struct("value", "pos"))).alias("b"), F.max(F.when(F.col("side") == 1, F.struct("value", "pos"))).alias("a"))
     x, y = F.array_distinct(tokens(F.col("b.value"))), F.array_distinct(tokens(F.col("a.value")))
     alike = F.size(F.array_intersect(x, y)) / F.greatest(F.lit(1), F.size(F.array_union(x, y)))
-    one = one.withColumn("alike", alike >= min_alike)
+    one = one.withColumn("alike", (alike >= min_alike) if always is None else (alike >= min_alike) | always)
     matched = one.where("alike").select("grp", "b", "a", F.lit("alike").alias("how"))
     none = F.lit(None).cast("struct<value string, pos bigint>")
     apart = one.where("not alike").select("grp", F.explode(F.array(F.struct(F.col("b").alias("b"), none.alias("a")), F.struct(none.alias("b"), F.col("a").alias("a")))).alias("s")).select("grp", "s.b", "s.a")

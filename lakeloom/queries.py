@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lakeloom import page_queries, state_queries  # noqa: F401  they register theirs
 from lakeloom.operators.hierarchy import hierarchy
 from lakeloom.operators.snapshot_diff import snapshot_change_texts, snapshot_changes
+from lakeloom.operators.snapshot_facts import snapshot_diagnostics, snapshot_fact_changes
 from lakeloom.plans.registry import QUERIES, SQL, query  # noqa: F401
 from lakeloom.plans.tables import table
 
@@ -21,6 +22,16 @@ def p3_change_texts(spark: SparkSession, d: str) -> DataFrame:
     return snapshot_change_texts(table(spark, d, "snapshots"))
 
 
+@query("p3_fact_changes")
+def p3_fact_changes(spark: SparkSession, d: str) -> DataFrame:
+    return snapshot_fact_changes(table(spark, d, "snapshots"))
+
+
+@query("p3_diagnostics")
+def p3_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    return snapshot_diagnostics(table(spark, d, "snapshots"), "pricing changes")
+
+
 _TREE = """
 WITH RECURSIVE n AS (SELECT DISTINCT page_id, node_id, pos, parent_id, children FROM page_nodes WHERE page_id IS NOT NULL AND node_id IS NOT NULL),
 kid AS (SELECT page_id, unnest(children) AS node_id, node_id AS lister, coalesce(pos, 0) AS pos FROM n),
