@@ -68,6 +68,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_cases(table(spark, d, "page_nodes"), table(spark, d, "crawl_pages"))
 
 
+@query("p5_kept")
+def p5_kept(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_free(table(spark, d, "page_nodes"), table(spark, d, "crawl_pages"))
+
+
 @query("p6_found")
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     values = lookalikes.node_values(table(spark, d, "page_nodes"))

@@ -201,3 +201,11 @@ def residue_cases(nodes: DataFrame, pages: DataFrame, min_cover: float = MIN_COV
 def without_residue(nodes: DataFrame, min_cover: float = MIN_COVER) -> DataFrame:
     """The rows of ``nodes`` whose text is no residue; rows without a text stay."""
     return nodes.where(~is_residue(F.col("text"), min_cover))
+
+
+def residue_free(nodes: DataFrame, pages: DataFrame, min_cover: float = MIN_COVER) -> DataFrame:
+    """(page_id, node_id, text): the nodes and page titles (node_id ``title``) that ``residue_cases`` does not list; those without a text stay."""
+    own = F.regexp_replace("title", r" [|–—] [^|–—]*$", "")
+    t = without_residue(spread(nodes.select("page_id", "node_id", "text").distinct()), min_cover)
+    p = spread(pages.select("page_id", F.lit("title").alias("node_id"), F.col("title").alias("text"), own.alias("own")).distinct())
+    return t.unionByName(p.where(~is_residue(F.col("own"), min_cover)).drop("own"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeloom import page_queries, state_queries  # noqa: F401  they register theirs
-from lakeloom.operators.hierarchy import hierarchy
+from lakeloom.operators.hierarchy import descendants, hierarchy
 from lakeloom.operators.snapshot_diff import snapshot_change_texts, snapshot_changes
 from lakeloom.operators.snapshot_facts import snapshot_diagnostics, snapshot_fact_changes
 from lakeloom.plans.registry import QUERIES, SQL, query  # noqa: F401
@@ -55,3 +55,8 @@ def p7_paths(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     return hierarchy(table(spark, d, "page_nodes"), with_path=True).withColumn("path", F.array_join("path", "/"))
+
+
+@query("p7_descendants")
+def p7_descendants(spark: SparkSession, d: str) -> DataFrame:
+    return descendants(hierarchy(table(spark, d, "page_nodes"), with_path=True))

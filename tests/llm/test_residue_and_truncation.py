@@ -37,3 +37,15 @@ def test_truncated(spark):
     assert truncated_values(empty).count() == 0
     rates = truncation_rates(nodes_for(spark), spark.createDataFrame([(90, "http")], "page_id long, source string"))
     assert {(r.source, r.cut) for r in rates.collect()} == {("http", 2), ("unknown", 2)}
+
+
+def test_cases_and_kept_make_the_whole(spark, tmp_path):
+    from lakeloom.llm.queries import QUERIES
+
+    nodes = [(1, "a", "Please enable JavaScript to view this page."), (1, "b", "Lorem ipsum dolor sit amet, consectetur adipiscing elit."), (1, "c", "Plans for teams"), (1, "c", "Plans for teams"), (2, "a", None), (2, "b", "")]
+    spark.createDataFrame(nodes, "page_id long, node_id string, text string").write.parquet(str(tmp_path / "page_nodes.parquet"))
+    spark.createDataFrame([(1, "{{title}} | Site"), (2, "Pricing | Site"), (3, None)], "page_id long, title string").write.parquet(str(tmp_path / "crawl_pages.parquet"))
+    found = {tuple(r) for r in QUERIES["p5_found"](spark, str(tmp_path)).collect()}
+    kept = sorted(((r.page_id, r.node_id, r.text) for r in QUERIES["p5_kept"](spark, str(tmp_path)).collect()), key=str)
+    assert found >= {(1, "a"), (1, "b"), (1, "title")}
+    assert kept == sorted([(1, "c", "Plans for teams"), (2, "a", None), (2, "b", ""), (2, "title", "Pricing | Site"), (3, "title", None)], key=str)

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from lakeloom.operators.hierarchy import descendants, hierarchy
+from lakeloom.queries import QUERIES
 
 SCHEMA = "page_id long, node_id string, pos int, parent_id string, children array<string>, root_id string"
 
@@ -63,3 +64,10 @@ def test_nulls_empty_and_descendants(spark):
     tree = hierarchy(spark.createDataFrame(rows, SCHEMA), True)
     assert {(r.page_id, r.node_id, r.root_id, r.depth) for r in tree.collect()} == {(1, "a", "a", 0), (1, "b", "a", 1), (1, "c", "a", 2), (2, "s", "cycle", -1)}
     assert {(r.node_id, r.descendant_id, r.distance) for r in descendants(tree).collect()} == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1)}
+
+
+def test_query_of_descendants(spark, tmp_path):
+    rows = pages(3)
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "page_nodes.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["p7_descendants"](spark, str(tmp_path)).select("page_id", "node_id", "descendant_id", "distance").collect())
+    assert got == sorted((p, up, n, depth - i) for (p, n), (_, depth, way) in brute(rows).items() if way for i, up in enumerate(way[:-1]))
