@@ -44,3 +44,11 @@ def test_learned(spark):
         assert [s for *_, s in one] == parts[i]
         assert all(t[a:b] == s for _, a, b, s in one)
     assert sentences(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+def test_script_of_the_whole_text():
+    from lakeloom.llm.sentences import script_of
+
+    latin, thai = "word " * 300, "ภาษาไทย" * 300
+    text = latin + thai + latin + thai + latin
+    assert script_of(text) == script_of(thai) == "Thai"
