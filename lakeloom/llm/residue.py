@@ -1,12 +1,14 @@
 """Template residue, filler and error text shown in place of content.
 
-A multi-pattern automaton finds the phrases of error pages, filler and demands for scripts in many languages, and the marks that
-template slots open with. A slot that a pattern confirms makes a case by itself; phrases make one when what they cover, names
-between them included, is most of the line.
+A multi-pattern automaton finds the phrases of error pages, filler and demands for scripts in many languages, the stems of dummy
+copy, and the marks that template slots open with. Each line is covered by what was found: phrases with the names between them,
+dummy words, and the sentence that a slot stands in, unless the sentence only talks about the slot. Lines that are mostly covered
+count; a text is residue when such lines make up enough of the whole text.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,8 +21,10 @@ from pyspark.sql import types as T
 from lakeloom.llm.lookalikes import fold
 from lakeloom.plans.session import spread
 
-#: The share of a line's letters and digits that phrases must cover. Names and numbers beside a phrase take up to the rest.
-MIN_COVER = 0.55
+#: The share of a line's characters that must be covered. Names and numbers beside a phrase take up to the rest.
+MIN_LINE = 0.55
+#: The share of a text's characters in such lines.
+MIN_COVER = 0.25
 
 # Phrases by language, in lower case. A gap "*" stands for up to NAME_WORDS words, as a rule a name or number.
 PHRASES = """
@@ -51,28 +55,34 @@ pagina non trovata|attiva javascript|accesso negato|qualcosa è andato storto|te
 पृष्ठ नहीं मिला|* का पृष्ठ नहीं मिला|* पृष्ठ नहीं मिला|पेज नहीं मिला|त्रुटि *|कृपया javascript चालू करें|जावास्क्रिप्ट चालू करें|नमूना पाठ|कुछ गलत हो गया|पहुँच अस्वीकृत
 الصفحة غير موجودة|لم يتم العثور على الصفحة|خطأ *|يرجى تفعيل javascript|تم رفض الوصول|حدث خطأ ما|نص تجريبي
 """
-# Words of dummy copy.
+# The passage that dummy copy is made of, as printers have set it since the sixteenth century.
 DUMMY = """
-lorem ipsum dolor amet consectetur consectum adipiscing ademis elit sed eiusmod tempor tempora incididunt incidis labore laboris magna magnar aliqua aliquot
-enim minim veniam venior quis quistor nostrud nostrum exercitation exerat ullamco ullanco nisi nisiut aliquip commodo commodar consequat duis aute auten irure
-reprehenderit repreh voluptate volupta velit velutra esse cillum fugiat fugiar nulla nullam pariatur pariat excepteur sint occaecat cupidatat non proident
-sunt culpa qui officia deserunt mollit anim laborum
+lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud
+exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat
+nulla pariatur excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum
 """
-NAME_WORDS = 3
-#: Words of dummy copy that a line must have, and the share of its words.
-DUMMY_SHARE = 0.6
+#: Dummy words are told by so many first letters; generators vary the endings. Such words must be this share of a sentence's words, and three at least.
+STEM, DUMMY_SHARE = 4, 0.55
+NAME_WORDS, NAME_LENGTH = 3, 120
 
-# Template slots, filled badly or not at all.
+# Template slots, filled badly or not at all; those of the second list stand for the whole line.
 _SLOTS = [
-    r"\{\{[^{}\n]{0,80}\}\}", r"\{%[^{}\n]{0,80}%\}", r"[$#]\{[^{}\n]{0,80}\}", r"<%[=-]?[^<>\n]{0,80}%>", r"<\?(?:=|php)[^<>\n]{0,80}\?>", r"\[\[[^\[\]\n]{0,80}\]\]",
-    r"@@\w+@@", r"__[a-z0-9][a-z0-9_]*__", r"%%\w+%%", r"%[a-z][a-z0-9]*_?[a-z0-9_]*%", r"(?<![\w{])\{\w*\}", r"\{[a-z]+_[a-z_]+\}", r"&lt;[^&<>\n]{1,80}goes here&gt;|<[^<>\n]{1,80}goes here>", r"\[object object\]",
-    r"\$(?:nan|null|undefined)\b", r"(?<!\w)(?:nan|undefined|null) ?/ ?month", r": *(?:undefined|null|nan) *$", r"^(?:undefined|null|nan)$", r": *[$€£] ?/ ?\w+",
-    r"^(?:[a-z0-9]+\.){2,}[a-z0-9_]+$", r"^[a-z0-9]+(?:_[a-z0-9]+)*_(?:title|text|label|price|name|headline)_?(?:missing)?$", r"\$[a-z_]{3,}\b(?=.*%[ds])", r"(?<!\w)%[ds](?!\w)", r"\bdear \$[a-z]+", r"^from nan\b",
+    r"\{\{[^{}\n]*\}\}", r"\{%[^{}\n]*%\}", r"[$#]\{[^{}\n]*\}", r"<%[=-]?[^<>\n]*%>", r"<\?(?:=|php)[^<>\n]*\?>", r"\[\[[^\[\]\n]*\]\]", r"@@\w+@@", r"__[A-Z0-9][A-Z0-9_]*__",
+    r"%%\w+%%", r"%[A-Z][A-Z0-9_]*%", r"(?<![\w{])\{\w+\}", r"&lt;[^&<>\n]+ goes here&gt;|<[^<>\n]+ goes here>", r"\[object Object\]", r"\$(?i:nan|null|undefined)\b",
+    r"(?<!\w)(?i:nan|undefined|null) ?/ ?\w+", r"(?<=:) *(?i:undefined|null|nan) *$", r"(?<=:) *[$€£] ?/ ?\w+", r"(?<!\w)\$[A-Z][A-Z_]{2,}\b", r"(?<![\w%])%[ds](?!\w)",
 ]
-_SLOT = re.compile("|".join(f"(?:{s})" for s in _SLOTS))
+_LINES = [r"(?i:undefined|null|nan)", r"[a-z0-9]+\.(?:[A-Za-z0-9]+\.)+(?:sub)?(?:title|label|text|headline|heading|name|price|description|placeholder|button|cta|body)", r"\w+_(?:TITLE|TEXT|LABEL|PRICE|NAME|HEADLINE)(?:_MISSING)?"]
+_SLOT, _LINE = re.compile("|".join(f"(?:{s})" for s in _SLOTS)), re.compile("|".join(f"(?:{s})" for s in _LINES))
 # What a slot can open with; the automaton looks for these.
-_OPENERS = ["{", "${", "#{", "<%", "<?", "[[", "@@", "__", "%", "&lt;", "[object", "nan", "null", "undefined", ": $", ": €", ": £", ":$", ".", "_", "$", "goes here"]
+_OPENERS = ["{", "<%", "<?", "[[", "@@", "__", "%", "&lt;", "[object", "nan", "null", "undefined", "$", ": €", ": £", "<", ".title", "title", "label", "text", "headline", "heading", ".name", "_name", "price", "description", "placeholder", ".button", ".cta", ".body"]
+# What stands before a slot that is only spoken of, and words of sentences about templates and code.
+_SPOKEN = re.compile(r"(?:[`\"'“‘«(=,]|\b(?i:use|using|set|write|writing|type|replace|insert|add|put|call|calls|export|echo|print|printf|run|wrap|like|as|the|a|an|of|with|and|or|to|in|by))\s*$")
+_ABOUT = re.compile(r"(?i)\b(?:templates?|placeholders?|variables?|syntax|jinja\w*|handlebars|mustache|liquid|methods?|class(?:es)?|functions?|strings?|environment|shell|bash|escap\w+|renders?|prints?|printf|snippets?|format|code|tags?|expressions?|interpolat\w+|arguments?|parameters?)\b|[`;]|\w\(")
+_STATUS = re.compile(r"[45]\d\d(?= *$| *[:(/–—-]| [a-z]+)")
+_STATUS_LINE = re.compile(r"[45]\d\d [a-z ]+(?:\([^()]*\)|: ?/\S*)")
 _WORDS = re.compile(r"[^\W_]+")
+_SENTENCE = re.compile(r"(?<=[.!?。！？।])\s+")
+_CLAUSE_END = re.compile(r"[.!?…]")
 
 
 @lru_cache(1)
@@ -85,8 +95,9 @@ def _automaton():
     for i, ps in enumerate(parts):
         for j, q in enumerate(ps):
             pieces.setdefault(q, []).append((0, i, j))
-    for w in DUMMY.split():
-        pieces.setdefault(w, []).append((1, 0, 0))
+    for w in set(DUMMY.split()):
+        if len(w) >= STEM:
+            pieces.setdefault(w[:STEM], []).append((1, 0, 0))
     for o in _OPENERS:
         pieces.setdefault(o, []).append((2, 0, 0))
     a = ahocorasick.Automaton()
@@ -96,86 +107,103 @@ def _automaton():
     return a, phrases, parts
 
 
-def _solid(s: str) -> int:
-    return len(_WORDS.findall(s)) and sum(map(len, _WORDS.findall(s)))
+def _apart(line: str, at: int) -> bool:
+    """Whether no ASCII word runs across the place."""
+    return not (0 < at < len(line) and line[at - 1].isalnum() and line[at].isalnum() and line[at - 1].isascii() and line[at].isascii())
 
 
-def line_cover(line: str) -> float:
-    """How much of a line phrases and slots cover: 1 for a slot, else the share of letters and digits; 0 for none."""
-    line = line.lower().strip()
-    if not line:
-        return 0.0
+def _few(line: str, start: int, stop: int) -> bool:
+    """Whether so little stands between two places that it can be a name: NAME_WORDS words of at most NAME_LENGTH letters together."""
+    return stop - start <= NAME_LENGTH and len(line[start:stop].split()) <= NAME_WORDS
+
+
+def _behind(line: str, stop: int) -> int:
+    """Where the name that a phrase ends with ends: the end of the line or sentence if it is near, else where it starts."""
+    if _few(line, stop, len(line)):
+        return len(line)
+    m = _CLAUSE_END.search(line, stop, stop + NAME_LENGTH)
+    return m.start() if m and _few(line, stop, m.start()) else stop
+
+
+def _spans(line: str, low: str) -> list[tuple[int, int]]:
+    """What phrases, dummy words and slots cover of a line."""
     a, phrases, parts = _automaton()
     hits: dict[int, list[tuple[int, int, int]]] = {}
-    dummy, slot = 0, False
-    for end, (n, what) in a.iter(line):
+    dummy, slot, out = set(), False, []
+    for end, (n, what) in a.iter(low):
         at = end - n + 1
-        edge = (not (line[at].isalnum() and at and line[at - 1].isalnum() and line[at].isascii() and line[at - 1].isascii())) and not (
-            end + 1 < len(line) and line[end].isalnum() and line[end + 1].isalnum() and line[end].isascii() and line[end + 1].isascii())
         for kind, i, j in what:
             if kind == 2:
                 slot = True
-            elif edge and kind == 1:
-                dummy += 1
-            elif edge:
+            elif kind == 1:
+                if not at or not low[at - 1].isalnum():
+                    dummy.add(at)
+            elif _apart(low, at) and _apart(low, end + 1):
                 hits.setdefault(i, []).append((at, end + 1, j))
-    if slot and _SLOT.search(line):
-        return 1.0
-    if re.fullmatch(r"[45]\d\d", line) or re.fullmatch(r"[45]\d\d (?:[a-z]+ ?){1,3}(?:\(.*\)|: ?/\S*)?", line) and hits:
-        return 1.0
-    words = len(_WORDS.findall(line))
-    if dummy >= 3 and dummy >= DUMMY_SHARE * words:
-        return 1.0
-    if not hits:
-        return 0.0
-    covered = [False] * len(line)
     for i, found in hits.items():
         ps, phrase = parts[i], phrases[i]
+        later: list[list[tuple[int, int]]] = [[] for _ in ps]
         for start, end, j in found:
-            if j:
-                continue
-            at, stop, ok = start, end, True
+            later[j].append((start, end))
+        for at, stop in later[0]:
             for k in range(1, len(ps)):
-                nxt = [(s, e) for s, e, m in found if m == k and s >= stop]
-                if not nxt or len(line[stop : nxt[0][0]].split()) > NAME_WORDS:
-                    ok = False
+                m = bisect.bisect_left(later[k], (stop, 0))
+                if m == len(later[k]) or not _few(low, stop, later[k][m][0]):
                     break
-                stop = nxt[0][1]
-            if not ok:
-                continue
-            if phrase.endswith("*"):
-                m = re.match(r"[\s:/]*\S+(?: +\S+){0,1}", line[stop:])
-                rest = line[stop:]
-                if m and len(rest.split()) <= NAME_WORDS or m and re.match(r"^[^.!?]{0,30}[.!?…]", rest):
-                    stop += len(rest) if len(rest.split()) <= NAME_WORDS else re.match(r"^[^.!?]*", rest).end()
-            if phrase.startswith("*") and len(line[:at].split()) <= NAME_WORDS:
-                at = 0
-            covered[at:stop] = [True] * (stop - at)
-    solid = [c.isalnum() for c in line]
-    total = sum(solid)
-    return sum(c and s for c, s in zip(covered, solid)) / total if total else 0.0
+                stop = later[k][m][1]
+            else:
+                stop = _behind(low, stop) if phrase.endswith("*") else stop
+                out.append((0 if phrase.startswith("*") and _few(low, 0, at) else at, stop))
+    if low[:1] in ("4", "5") and _STATUS.match(low) and (hits or len(low) == 3):
+        out.append((0, len(low) if _STATUS_LINE.fullmatch(low) else 3))
+    if not slot and not dummy:
+        return out
+    if slot and _LINE.fullmatch(line):
+        return [(0, len(line))]
+    at = 0
+    for m in [*_SENTENCE.finditer(line), None]:
+        stop = m.start() if m else len(line)
+        sentence = line[at:stop]
+        if slot:
+            found = [x.span() for x in _SLOT.finditer(sentence)]
+            rest = _SLOT.sub(" ", sentence) if found else ""
+            if any(not _SPOKEN.search(sentence[:s]) for s, _ in found) and not _ABOUT.search(rest):
+                out.append((at, stop))
+        if len(dummy) >= 3:
+            words = [w.span() for w in _WORDS.finditer(sentence)]
+            told = [w for w in words if at + w[0] in dummy]
+            if len(told) >= 3 and len(told) >= DUMMY_SHARE * len(words):
+                out.append((at, stop))
+        at = m.end() if m else stop
+    return out
+
+
+def line_cover(line: str) -> tuple[int, int]:
+    """(characters covered, characters) of a line, white space left aside."""
+    line = line.strip()
+    total = len(line) - sum(map(str.isspace, line))
+    low = line.lower()
+    spans = sorted(_spans(line, low)) if total and len(low) == len(line) else sorted(_spans(low, low)) if total else []
+    covered, till = 0, 0
+    for s, e in spans:
+        s = max(s, till)
+        if e > s:
+            covered += sum(not c.isspace() for c in line[s:e])
+            till = e
+    return covered, total
 
 
 def residue_cover(text: str) -> float:
-    """The largest cover of the text's lines, look-alikes folded."""
-    return max((line_cover(x) for x in fold(text).split("\n")), default=0.0)
+    """The share of a text's characters in lines that are mostly covered, look-alikes folded; 0 for none."""
+    lines = [line_cover(x) for x in fold(text).split("\n")]
+    total = sum(t for _, t in lines)
+    return sum(t for c, t in lines if t and c >= MIN_LINE * t) / total if total else 0.0
 
 
 def _cover_all(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    seen: dict[str, float] = {}
     for s in batches:
-        out = []
-        for v in s:
-            if v is None:
-                out.append(None)
-                continue
-            c = seen.get(v)
-            if c is None:
-                if len(seen) > 50_000:
-                    seen.clear()
-                c = seen[v] = residue_cover(v)
-            out.append(c)
-        yield pd.Series(out, dtype="float64")
+        known = {v: residue_cover(v) for v in s.dropna().unique()}
+        yield s.map(known).astype("float64")
 
 
 _cover = F.pandas_udf(_cover_all, T.DoubleType())
