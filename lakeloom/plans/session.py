@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,31 +26,55 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "4g
     )
 
 
+#: The temporary folders of applications without the setting, and the tables that each application wrote.
+_FOLDERS: dict[str, str] = {}
+_TABLES: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, one machine) a temporary folder is made and kept in the session.
+    Where the setting is absent (tests, one machine) a temporary folder is made; it goes when the process ends. A cluster needs the setting.
     """
-    found = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="lakeloom-")
-        spark.conf.set(CHECKPOINT_DIR, found)
-    return found
+    found = spark.sparkContext.getConf().get(CHECKPOINT_DIR)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        _FOLDERS[app] = tempfile.mkdtemp(prefix="lakeloom-")
+        atexit.register(shutil.rmtree, _FOLDERS[app], ignore_errors=True)
+    return _FOLDERS[app]
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder as a Parquet table, and read from there: it cuts the lineage and survives lost executors.
 
     Against ``checkpoint()`` it computes ``df`` once instead of twice, takes less disk, and lets columns be left out later.
+    ``release`` deletes the tables of a session.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}.parquet"
+    app = spark.sparkContext.applicationId
+    path = f"{shared_dir(spark)}/{app}-{uuid.uuid4().hex}.parquet"
+    _TABLES.setdefault(app, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete every table that ``written`` made for this application, on whatever file system; results that read them must be done.
+
+    How many there were is returned.
+    """
+    paths = _TABLES.pop(spark.sparkContext.applicationId, [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as the cluster has cores, for rows that cost much more to work on than to move."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -8,9 +8,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from lakeloom.plans.session import local_session
+    from lakeloom.plans.session import local_session, release
 
     s = local_session(4, 4)
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    release(s)
     s.stop()
