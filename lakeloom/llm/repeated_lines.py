@@ -1,8 +1,10 @@
 """Lines repeated across one site's pages, found as frequent sequences of line identifiers and removed.
 
-PrefixSpan, distributed: the sequence database holds each page's lines in document order. Frequent sequences of one line come
-from one count of distinct pages for each line of a site. A sequence of k lines is grown by the lines that follow it next among
-the frequent lines of the page (the projected database keeps where each occurrence begins), and counted in the same way.
+PrefixSpan, distributed by site. The sequence database holds each page's lines in document order. The first level counts the
+pages of each single line and takes the others out of the sequences. From then on a frequent sequence is grown by the lines that
+follow it next; its projected database is kept as pointers, the places of a page from which the suffix is read. A level grows by as
+many lines as the sequences have, so their lengths double and few levels are needed; levels end when no longest one is frequent.
+What is removed are the occurrences of the frequent sequences, those of one line included.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from lakeloom.llm.lookalikes import folded
 from lakeloom.plans.session import spread, written
 
 MIN_PAGES = 6
-#: Lengths that the first level of sequences counts.
+#: The longest sequences that the first growing level counts.
 FIRST_STEP = 4
 
 
@@ -30,61 +32,77 @@ def line_key(line: Column) -> Column:
 def page_lines(nodes: DataFrame) -> DataFrame:
     """(site, page_id, node_id, pos, line_no, line_id): the lines that have a letter or digit.
 
-    A null site is a site of its own, and so is a null page or node. ``line_id`` is a 64-bit hash, told apart within a site.
+    A null site is a site of its own; rows that name no page or node are left out. ``line_id`` is a 64-bit hash, told apart within a site.
     """
-    rows = spread(nodes.where("text is not null and text <> ''").select("site", "page_id", "node_id", "pos", "text")).select(
-        F.coalesce("site", F.lit("")).alias("site"), "page_id", "node_id", "pos", F.posexplode(F.split(folded(F.col("text")), "\n")).alias("line_no", "line")
-    )
+    rows = spread(nodes.where("text is not null and text <> '' and page_id is not null and node_id is not null").select("site", "page_id", "node_id", "pos", "text"))
+    rows = rows.select(F.coalesce("site", F.lit("")).alias("site"), "page_id", "node_id", "pos", F.posexplode(F.split(folded(F.col("text")), "\n")).alias("line_no", "line"))
     keyed = rows.withColumn("key", line_key(F.col("line"))).where("key <> ''")
     return keyed.select("site", "page_id", "node_id", "pos", "line_no", F.xxhash64("key").alias("line_id"))
 
 
-def frequent_lines(lines: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(site, line_id, pages): the lines that stand on at least ``min_pages`` different pages of their site."""
-    once = lines.select("site", "line_id", "page_id").distinct()
-    return once.groupBy("site", "line_id").agg(F.count("page_id").alias("pages")).where(F.col("pages") >= min_pages)
+def sequence_database(nodes: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(site, page_id, lines, places): each page's lines in order that ``min_pages`` pages of its site have, and where each stands.
 
-
-def repeated_lines(nodes: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(page_id, node_id, line_no): each occurrence of a line to be removed.
-
-    Every line of a frequent sequence is itself a frequent sequence of one line with at least as many pages, so the occurrences
-    of the sequences of one line are all that has to go. nodes: site, page_id, node_id, pos, text; other columns are left aside.
-    Null and empty texts have no lines. A node sent more than once counts once.
+    A page's lines meet in one row, as a capture holds 100,000 nodes at most; a node sent more than once counts once.
     """
-    lines = page_lines(nodes)
-    found = lines.join(frequent_lines(lines, min_pages), ["site", "line_id"], "left_semi")
-    return found.select("page_id", "node_id", "line_no").distinct()
+    whole = page_lines(nodes).groupBy("site", "page_id").agg(F.array_sort(F.collect_set(F.struct("pos", "node_id", "line_no", "line_id"))).alias("x"))
+    whole = written(whole)
+    single = whole.select("site", F.explode(F.array_distinct("x.line_id")).alias("line_id")).groupBy("site", "line_id").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
+    rows = whole.select("site", "page_id", F.posexplode("x").alias("at", "l")).select("site", "page_id", "at", "l.node_id", "l.line_no", "l.line_id")
+    kept = rows.join(single, ["site", "line_id"], "left_semi").groupBy("site", "page_id").agg(F.array_sort(F.collect_list(F.struct("at", "node_id", "line_no", "line_id"))).alias("x"))
+    places = F.transform("x", lambda p: F.struct(p["node_id"].alias("node_id"), p["line_no"].alias("line_no")))
+    return written(kept.select("site", "page_id", F.col("x.line_id").alias("lines"), places.alias("places")))
 
 
-def frequent_sequences(nodes: DataFrame, min_pages: int = MIN_PAGES, max_length: int | None = None) -> DataFrame:
-    """(site, length, line_ids, pages): runs of frequent lines that ``min_pages`` pages of a site share, of every length up to ``max_length``.
+def prefix_span(pages: DataFrame, min_pages: int = MIN_PAGES, max_length: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The frequent sequences (site, length, id, pages, page_id) of a sequence database, and where they stand (site, page_id, runs).
 
-    A level grows the runs still frequent by as many lines as they have (``FIRST_STEP`` at first) and counts all new lengths at
-    once, told by a hash; the place where each occurrence begins is kept. Levels end when no run of the longest length is frequent.
+    ``runs`` holds a pair (at, length) for each place that begins an occurrence: the longest one of each level. ``page_id`` is one page that has the sequence.
     """
-    lines = page_lines(nodes).where("page_id is not null")
-    rows = lines.join(frequent_lines(lines, min_pages), ["site", "line_id"], "left_semi").groupBy("site", "page_id", "node_id", "line_no").agg(F.min("pos").alias("pos"), F.min("line_id").alias("line_id"))
-    packed = rows.groupBy("site", "page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "node_id", "line_no", "line_id"))).alias("x"))
-    pages = written(packed.select("site", "page_id", F.col("x.line_id").alias("lines")))
-    starts, levels, done = pages.select("site", "page_id", F.sequence(F.lit(1), F.size("lines")).alias("starts")), [], 0
+    single = pages.select("site", "page_id", F.explode(F.array_distinct("lines")).alias("line")).groupBy("site", F.xxhash64(F.array("line")).alias("id"))
+    levels = [single.agg(F.count(F.lit(1)).alias("pages"), F.min("page_id").alias("page_id")).select("site", F.lit(1).alias("length"), "id", "pages", "page_id")]
+    places = [pages.select("site", "page_id", F.expr("transform(lines, (l, i) -> struct(i + 1 as at, 1 as length))").alias("runs"))]
+    state, done = pages.select("site", "page_id", "lines", F.expr("sequence(1, size(lines))").alias("starts")), 1
     while max_length is None or done < max_length:
-        longest = done + max(done, FIRST_STEP)
-        longest = longest if max_length is None else min(longest, max_length)
-        run = F.expr(f"explode(transform(starts, s -> struct(s as at, slice(lines, s, {longest}) as run)))")
-        runs = pages.join(starts, ["site", "page_id"]).select("site", "page_id", run.alias("r")).select("site", "page_id", "r.*").where(F.size("run") > done)
-        prefix = F.expr(f"explode(transform(sequence({done + 1}, size(run)), k -> struct(k as length, xxhash64(slice(run, 1, k)) as id)))")
-        keyed = written(runs.select("site", "page_id", "at", prefix.alias("p")).select("site", "page_id", "at", "p.*"))
-        once = keyed.groupBy("site", "length", "id", "page_id").agg(F.min("at").alias("at"))
-        found = once.groupBy("site", "length", "id").agg(F.count(F.lit(1)).alias("pages"), F.min(F.struct("page_id", "at")).alias("first")).where(F.col("pages") >= min_pages)
-        found = written(found)
-        levels.append(found.select("site", "length", "pages", "first.*"))
-        if found.where(F.col("length") == longest).isEmpty():
+        longest = max(2 * done, FIRST_STEP) if max_length is None else min(max(2 * done, FIRST_STEP), max_length)
+        grown = f"flatten(transform(starts, s -> transform(sequence({done + 1}, least({longest}, size(lines) - s + 1), 1), k -> struct(s as at, k as length, xxhash64(slice(lines, s, k)) as id))))"
+        fit = state.withColumn("starts", F.expr(f"filter(starts, s -> s + {done} <= size(lines))")).where("size(starts) > 0")
+        runs = fit.select("site", "page_id", F.expr(grown).alias("runs"))
+        once = runs.select("site", "page_id", F.explode(F.array_distinct(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), r["id"].alias("id"))))).alias("r"))
+        found = once.groupBy("site", "r.length", "r.id").agg(F.count(F.lit(1)).alias("pages"), F.min("page_id").alias("page_id")).where(F.col("pages") >= min_pages)
+        found = written(found.select("site", "length", "id", "pages", "page_id"))
+        if found.isEmpty():
             break
-        alive = keyed.where(F.col("length") == longest).join(found, ["site", "length", "id"], "left_semi")
-        starts, done = alive.groupBy("site", "page_id").agg(F.collect_list("at").alias("starts")), longest
-    every = reduce(DataFrame.union, levels)
-    return every.join(pages, ["site", "page_id"]).select("site", "length", F.expr("slice(lines, at, length)").alias("line_ids"), "pages")
+        here = runs.select("site", "page_id", F.explode("runs").alias("r")).select("site", "page_id", "r.*").join(found, ["site", "length", "id"], "left_semi")
+        here = here.groupBy("site", "page_id", "at").agg(F.max("length").alias("length")).groupBy("site", "page_id").agg(F.collect_list(F.struct("at", "length")).alias("runs"))
+        here = written(here)
+        levels.append(found)
+        places.append(here)
+        alive = here.select("site", "page_id", F.expr(f"transform(filter(runs, r -> r.length = {longest}), r -> r.at)").alias("starts")).where("size(starts) > 0")
+        state, done = pages.select("site", "page_id", "lines").join(alive, ["site", "page_id"]), longest
+    return reduce(DataFrame.unionByName, levels), reduce(DataFrame.unionByName, places)
+
+
+def repeated_lines(nodes: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(page_id, node_id, line_no): each line of each occurrence of a frequent sequence, to be removed.
+
+    nodes: site, page_id, node_id, pos, text; other columns are left aside. Null and empty texts have no lines, rows that name no
+    page or node no cases. A node sent more than once counts once.
+    """
+    pages = sequence_database(nodes, min_pages)
+    _, places = prefix_span(pages, min_pages)
+    runs = places.groupBy("site", "page_id").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    lines = F.expr("explode(array_distinct(flatten(transform(runs, r -> slice(places, r.at, r.length)))))")
+    gone = pages.select("site", "page_id", "places").join(runs, ["site", "page_id"]).select("page_id", lines.alias("p"))
+    return gone.select("page_id", "p.node_id", "p.line_no").distinct()
+
+
+def frequent_sequences(nodes: DataFrame, min_pages: int = MIN_PAGES, max_length: int | None = None) -> DataFrame:
+    """(site, length, line_ids, pages): the sequences of lines that ``min_pages`` pages of a site share, of every length up to ``max_length``."""
+    pages = sequence_database(nodes, min_pages)
+    found, _ = prefix_span(pages, min_pages, max_length)
+    at = F.expr("filter(sequence(1, size(lines) - length + 1), s -> xxhash64(slice(lines, s, length)) = id)[0]")
+    return found.join(pages, ["site", "page_id"]).withColumn("at", at).select("site", "length", F.expr("slice(lines, at, length)").alias("line_ids"), "pages")
 
 
 def without_repeated_lines(nodes: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
