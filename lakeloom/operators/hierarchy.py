@@ -2,9 +2,8 @@
 
 The nodes of a page are cut into fragments of ``chunk`` neighbouring positions. Inside a fragment, parent chains are
 contracted by pointer doubling to the fragment's exits: the top nodes whose parent lies in another fragment. The nodes that
-such exits point to make up a smaller forest, which is solved in the same way with fragments ``FAN`` times as long, until a
-fragment holds a whole page; then the answers are handed down again. A page below ``chunk`` nodes is one fragment, so the
-usual input takes one shuffle.
+such exits point to make up a smaller forest, the quotient, which is solved in the same way with fragments ``FAN`` times as long,
+until no chain leaves its fragment; then the answers are handed down again and fragment paths are expanded.
 """
 
 from __future__ import annotations
@@ -14,13 +13,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.plans.session import written
 
-#: How many fragments of one level make a fragment of the next.
-FAN = 64
+#: Neighbouring positions that make a fragment, and how many fragments of one level make a fragment of the next.
+CHUNK, FAN = 32, 64
+#: Fragments of a page's nodes that have no position.
+PLACELESS = 4096
 CYCLE = "cycle"
 
 
@@ -38,18 +39,18 @@ def _codes(*columns: pa.Array) -> list[np.ndarray]:
     return np.split(idx, cuts)
 
 
-def _climb(parent: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each node the top of its chain, the way there, and whether there is no top (a cycle). parent: -1 for none."""
+def _climb(parent: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """For each node the top of its chain, the sums of the weights on the way below it, and whether there is no top (a cycle). parent: -1 for none."""
     n = len(parent)
     top = parent < 0
     up = np.where(top, np.arange(n), parent)
-    far = np.where(top, 0, weight).astype(np.int64)
+    sums = [np.where(top, 0, w).astype(np.int64) for w in weights]
     step = 1
     while step < 2 * n and not top[up].all():
-        far = far + far[up]
+        sums = [s + s[up] for s in sums]
         up = up[up]
         step *= 2
-    return up, far, ~top[up]
+    return up, sums, ~top[up]
 
 
 def _segments(parent: np.ndarray, lost: np.ndarray, own: list) -> list:
@@ -93,208 +94,110 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         yield pa.concat_tables(rest)
 
 
-def _fragments(with_path: bool):
-    """mapInArrow function: rows (page, frag, node, parent, children, ord) of whole fragments to contracted nodes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole_groups(batches, ["page_id", "frag"]):
-            t = t.combine_chunks()
-            page, frag = t.column("page_id").to_numpy(), t.column("frag").to_numpy()
-            node, parent, kids = (t.column(c).combine_chunks() for c in ("node_id", "parent", "children"))
-            if isinstance(kids, pa.ChunkedArray):
-                kids = kids.chunk(0)
-            group = np.cumsum(np.r_[0, (page[1:] != page[:-1]) | (frag[1:] != frag[:-1])]).astype(np.int64)
-            size = np.diff(kids.offsets.to_numpy()) if len(kids) else np.array([], np.int64)
-            size = np.where(kids.is_null().to_numpy(zero_copy_only=False), 0, size)
-            flat = kids.flatten()
-            nc, pc, kc = _codes(node, parent, flat)
-            many = max(int(x.max(initial=-1)) for x in (nc, pc, kc)) + 2
-            key = group * many + nc
-            _, first = np.unique(key, return_index=True)
-            keep = np.sort(first)
-            order = np.argsort(key[keep], kind="stable")
-            sorted_key, sorted_row = key[keep][order], order
-
-            def find(k: np.ndarray, sorted_key=sorted_key, sorted_row=sorted_row) -> np.ndarray:
-                at = np.minimum(np.searchsorted(sorted_key, k), len(sorted_key) - 1)
-                return np.where(sorted_key[at] == k, sorted_row[at], -1)
-
-            owner = np.repeat(np.arange(len(page)), size)
-            ck = group[owner] * many + kc
-            ck_ok = kc >= 0
-            owner, ck, kid = owner[ck_ok], ck[ck_ok], np.flatnonzero(ck_ok)
-            place = t.column("ord").to_numpy()[owner]
-            rank = np.lexsort((nc[owner], place, ck))
-            ck, owner, kid = ck[rank], owner[rank], kid[rank]
-            one = np.r_[True, ck[1:] != ck[:-1]] if len(ck) else np.array([], bool)
-            ck, owner, kid = ck[one], owner[one], kid[one]
-
-            g, n = group[keep], nc[keep]
-            has = pc[keep] >= 0
-            up = find(g * many + pc[keep])
-            up[~has] = -1
-            if len(ck):
-                at = np.minimum(np.searchsorted(ck, g * many + n), len(ck) - 1)
-                listed = ~has & (ck[at] == g * many + n)
-                up[listed] = find(key[owner[at[listed]]])
-            top, far, lost = _climb(up, np.ones(len(up), np.int64))
-            kept = pa.array(keep)
-            names = node.take(kept)
-            away = parent.take(kept)
-            exit_ = pa.array([None], pa.string()).take(pa.array(np.zeros(len(keep), np.int64)))
-            outside = has & (up < 0)
-            exit_ = pa.compute.if_else(pa.array(outside), away, exit_)
-            cols = {
-                "page_id": pa.array(page[keep]),
-                "node_id": names,
-                "frag": pa.array(frag[keep]),
-                "top": names.take(pa.array(top)),
-                "dist": pa.array(far),
-                "lost": pa.array(lost),
-                "exit": exit_.take(pa.array(top)),
-            }
-            if with_path:
-                segs = _segments(up, lost, [[s] for s in names.to_pylist()])
-                cols["path"] = pa.array(segs, pa.list_(pa.string()))
-            yield pa.RecordBatch.from_pydict(cols)
-
-    return run
+_CUT = "page_id long, frag long, node_id string, exit string, dist long, step long, marks long, root string, rdist long, lost boolean"
 
 
-def _quotient(with_path: bool):
-    """mapInArrow function: rows (page, frag, node, parent, weight, seg) of whole fragments to the same, climbed inside."""
+def _fragments(with_path: bool):
+    """mapInArrow function: rows (page_id, frag, node_id, parent, weight, mark, base_root, base_dist, base_lost[, seg]) of whole fragments, contracted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_groups(batches, ["page_id", "frag"]):
             t = t.combine_chunks()
-            page, frag = t.column("page_id").to_numpy(), t.column("frag").to_numpy()
-            node, parent = t.column("node_id").combine_chunks(), t.column("parent").combine_chunks()
+            one = {c: t.column(c).combine_chunks() for c in t.column_names}
+            page, frag = one["page_id"].to_numpy(), one["frag"].to_numpy()
             group = np.cumsum(np.r_[0, (page[1:] != page[:-1]) | (frag[1:] != frag[:-1])]).astype(np.int64)
-            nc, pc = _codes(node, parent)
+            nc, pc = _codes(one["node_id"], one["parent"])
             many = max(int(nc.max(initial=-1)), int(pc.max(initial=-1))) + 2
             key = group * many + nc
             order = np.argsort(key, kind="stable")
             at = np.minimum(np.searchsorted(key[order], group * many + pc), len(key) - 1)
             up = np.where((pc >= 0) & (key[order][at] == group * many + pc), order[at], -1)
-            top, far, lost = _climb(up, t.column("weight").to_numpy())
+            mark = one["mark"].to_numpy()
+            top, (dist, marks), lost = _climb(up, one["weight"].to_numpy(), mark)
             tops = pa.array(top)
             cols = {
-                "page_id": t.column("page_id").combine_chunks(), "frag": t.column("frag").combine_chunks(), "node_id": node,
-                "top": node.take(tops), "dist": pa.array(far), "lost": pa.array(lost), "exit": parent.take(tops), "step": t.column("weight").combine_chunks().take(tops),
+                "page_id": one["page_id"], "frag": one["frag"], "node_id": one["node_id"],
+                "exit": pa.compute.if_else(pa.array(lost), pa.scalar(None, pa.string()), one["parent"].cast(pa.string()).take(tops)),
+                "dist": pa.array(dist), "step": one["weight"].take(tops), "marks": pa.array(marks + mark[top]), "root": one["base_root"].cast(pa.string()).take(tops),
+                "rdist": pa.array(dist + one["base_dist"].to_numpy()[top]), "lost": pa.array(lost | one["base_lost"].to_numpy(zero_copy_only=False)[top]),
             }
             if with_path:
-                segs = _segments(up, lost, t.column("seg").to_pylist())
-                cols["path"] = pa.array(segs, pa.list_(pa.string()))
+                cols["path"] = pa.array(_segments(up, lost, one["seg"].to_pylist()), pa.list_(pa.string()))
             yield pa.RecordBatch.from_pydict(cols)
 
     return run
 
 
-_OUT = "page_id long, node_id string, frag long, top string, dist long, lost boolean, exit string"
-_QOUT = "page_id long, frag long, node_id string, top string, dist long, lost boolean, exit string, step long"
+def _solve(rows: DataFrame, with_path: bool) -> DataFrame:
+    """The rows of ``_fragments`` to (page_id, node_id, root, depth, marks, lost[, path]).
 
-
-def _solve(q: DataFrame, levels: int, with_path: bool) -> DataFrame:
-    """(page_id, node_id, frag, parent, weight, base_root, base_dist, base_lost[, seg]) to (page_id, node_id, root_id, depth, lost[, path]).
-
-    A row without a parent ends at ``base_root``, ``base_dist`` above it. Parents are nodes of ``q``.
+    A row whose parent is no node of its page ends at ``base_root``, ``base_dist`` above it. Fragments grow with each level, up to a
+    whole page's quotient at the latest, so the levels end.
     """
-    extra = ["seg"] if with_path else []
-    rows = q.withColumn("frag", F.expr(f"frag div {FAN}"))
+    path = ["path"] if with_path else []
     cut = (
-        rows.select("page_id", "frag", "node_id", "parent", "weight", *extra)
-        .repartition("page_id", "frag").sortWithinPartitions("page_id", "frag")
-        .mapInArrow(_quotient(with_path), _QOUT + (", path array<string>" if with_path else ""))
+        rows.repartition("page_id", "frag").sortWithinPartitions("page_id", "frag")
+        .mapInArrow(_fragments(with_path), _CUT + (", path array<string>" if with_path else ""))
     )
-    path = ["path"] if with_path else []
-    ends = rows.select("page_id", F.col("node_id").alias("top"), "base_root", "base_dist", "base_lost")
-    if levels <= 1:
-        done = cut.join(ends, ["page_id", "top"])
-        return done.select(
-            "page_id", "node_id", F.col("base_root").alias("root_id"), (F.col("dist") + F.col("base_dist")).alias("depth"),
-            (F.col("lost") | F.col("base_lost")).alias("lost"), *path,
-        )
     cut = written(cut)
-    targets = cut.where("exit is not null and not lost").select("page_id", F.col("exit").alias("node_id")).distinct()
-    inner = (
-        targets.join(cut, ["page_id", "node_id"]).join(ends, ["page_id", "top"])
-        .select(
-            "page_id", "node_id", "frag", F.col("exit").alias("parent"), (F.col("dist") + F.col("step")).alias("weight"), "base_root",
-            (F.col("dist") + F.col("base_dist")).alias("base_dist"), (F.col("lost") | F.col("base_lost")).alias("base_lost"),
-            *([F.col("path").alias("seg")] if with_path else []),
-        )
+    targets = cut.where("exit is not null").select("page_id", F.col("exit").alias("node_id")).distinct()
+    inner = targets.join(cut, ["page_id", "node_id"]).select(
+        "page_id", F.expr(f"frag div {FAN}").alias("frag"), "node_id", F.col("exit").alias("parent"), (F.col("dist") + F.col("step")).alias("weight"), F.col("marks").alias("mark"),
+        F.col("root").alias("base_root"), F.col("rdist").alias("base_dist"), F.col("lost").alias("base_lost"), *([F.col("path").alias("seg")] if with_path else []),
+    )
+    inner = written(inner)
+    if inner.isEmpty():
+        return cut.select("page_id", "node_id", "root", F.col("rdist").alias("depth"), "marks", "lost", *path)
+    above = _solve(inner, with_path).select("page_id", F.col("node_id").alias("exit"), *[F.col(c).alias("_" + c) for c in ("root", "depth", "marks", "lost", *path)])
+    both = cut.join(above, ["page_id", "exit"], "left")
+    through = F.col("_lost").isNotNull()
+    pick = lambda c, over: F.when(through, over).otherwise(F.col(c))
+    return both.select(
+        "page_id", "node_id", pick("root", F.col("_root")).alias("root"), pick("rdist", F.col("_depth") + F.col("step") + F.col("dist")).alias("depth"),
+        pick("marks", F.col("_marks") + F.col("marks")).alias("marks"), pick("lost", F.col("_lost")).alias("lost"),
+        *([pick("path", F.concat("_path", "path")).alias("path")] if with_path else []),
     )
-    above = _solve(inner, levels - 1, with_path)
-    return _hand_down(cut, above, ends, with_path)
 
 
-def _hand_down(cut: DataFrame, above: DataFrame, ends: DataFrame, with_path: bool) -> DataFrame:
-    """Contracted nodes with the answers for the nodes their exits point to, or for their tops where there is no exit."""
-    a = above.select(
-        "page_id", F.col("node_id").alias("exit"), F.col("root_id").alias("_root"), F.col("depth").alias("_depth"),
-        F.col("lost").alias("_lost"), *([F.col("path").alias("_path")] if with_path else []),
+def _forest(nodes: DataFrame, with_path: bool, chunk: int, mark: Column) -> DataFrame:
+    rows = nodes.where("page_id is not null and node_id is not null").select(
+        F.col("page_id").cast("long").alias("page_id"), "node_id", F.expr(f"coalesce(greatest(pos, 0) div {int(chunk)}, pmod(xxhash64(node_id), {PLACELESS}))").alias("frag"),
+        F.when(F.trim("parent_id") != "", F.col("parent_id")).alias("parent"), "children", F.coalesce("pos", F.lit(0)).cast("long").alias("ord"), F.coalesce(mark, F.lit(False)).cast("long").alias("mark"),
     )
-    both = cut.join(a, ["page_id", "exit"], "left").join(ends, ["page_id", "top"], "left")
-    through = F.col("_root").isNotNull() | F.coalesce(F.col("_lost"), F.lit(False))
-    path = F.when(through, F.concat("_path", "path")).otherwise(F.col("path")) if with_path else None
-    return both.select(
-        "page_id", "node_id",
-        F.when(through, F.col("_root")).otherwise(F.coalesce("base_root", "top")).alias("root_id"),
-        F.when(through, F.col("_depth") + F.col("step") + F.col("dist")).otherwise(F.col("dist") + F.coalesce("base_dist", F.lit(0))).alias("depth"),
-        (F.col("lost") | F.when(through, F.col("_lost")).otherwise(F.coalesce("base_lost", F.lit(False)))).alias("lost"),
-        *([path.alias("path")] if with_path else []),
+    own = F.struct("ord", F.col("parent").isNull().alias("open"), "parent", "frag", "mark")
+    by = F.struct("ord", F.col("node_id").alias("name"))
+    kids = rows.select("page_id", F.explode("children").alias("child"), by.alias("by")).where("child is not null").select("page_id", F.col("child").alias("node_id"), "by")
+    both = rows.select("page_id", "node_id", own.alias("own")).unionByName(kids, allowMissingColumns=True)
+    one = both.groupBy("page_id", "node_id").agg(F.min("own").alias("own"), F.min("by").alias("by")).where("own is not null")
+    base = one.select(
+        "page_id", "own.frag", "node_id", F.coalesce("own.parent", "by.name").alias("parent"), F.lit(1).cast("long").alias("weight"), "own.mark",
+        F.col("node_id").alias("base_root"), F.lit(0).cast("long").alias("base_dist"), F.lit(False).alias("base_lost"), *([F.array("node_id").alias("seg")] if with_path else []),
     )
+    return _solve(base, with_path)
 
 
-def hierarchy(nodes: DataFrame, with_path: bool = False, chunk: int = 50_000) -> DataFrame:
+def hierarchy(nodes: DataFrame, with_path: bool = False, chunk: int = CHUNK) -> DataFrame:
     """One row (page_id, node_id, root_id, depth[, path]) for each node of each page.
 
     nodes: page_id, node_id, pos, parent_id, children; other columns are left aside, whatever their names. A node's parent is
     ``parent_id`` if filled (not null, not blank), else the first node in document order that lists it in ``children``. A node
     without a parent, or whose ``parent_id`` names no node of the page, is a root of depth 0. Nodes from which no root can be
     reached get root ``cycle``, depth -1 and a null path; ``path`` runs from the root to the node. Rows of the same node are one
-    node. Rows with a null ``page_id`` or ``node_id`` name no node and are left out; a null ``pos`` counts as 0; nulls among the
-    children are passed over. An empty table gives no rows. No page has to fit in one task: fragments of ``chunk`` positions do.
+    node, its first one in document order. Rows with a null ``page_id`` or ``node_id`` name no node and are left out; nodes
+    without a position are spread over fragments by their name; nulls among the children are passed over. An empty table gives no rows.
     """
-    base = nodes.where("page_id is not null and node_id is not null").select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("node_id"),
-        F.expr(f"coalesce(greatest(pos, 0), 0) div {int(chunk)}").alias("frag"),
-        F.expr("nullif(trim(parent_id), '')").isNotNull().alias("_has"), F.col("parent_id"),
-        F.coalesce("children", F.array().cast("array<string>")).alias("children"),
-        F.coalesce("pos", F.lit(0)).cast("long").alias("ord"),
-    ).select("page_id", "frag", "node_id", F.when(F.col("_has"), F.col("parent_id")).alias("parent"), "children", "ord")
-    longest = nodes.agg(F.max("pos")).first()[0] or 0
-    levels, span = 0, chunk
-    while span <= longest:
-        levels, span = levels + 1, span * FAN
-    if levels:
-        kids = base.select("page_id", F.explode("children").alias("node_id"), F.struct("ord", F.col("node_id").alias("name")).alias("by"))
-        lister = kids.groupBy("page_id", "node_id").agg(F.min("by")["name"].alias("lister"))
-        base = base.join(lister, ["page_id", "node_id"], "left").select("page_id", "frag", "node_id", F.coalesce("parent", "lister").alias("parent"), F.array().cast("array<string>").alias("children"), "ord")
-    cut = (
-        base.repartition("page_id", "frag").sortWithinPartitions("page_id", "frag", "ord")
-        .mapInArrow(_fragments(with_path), _OUT + (", path array<string>" if with_path else ""))
-    )
-    path = ["path"] if with_path else []
-    if not levels:
-        return _told(cut.select("page_id", "node_id", F.col("top").alias("root_id"), F.col("dist").alias("depth"), "lost", *path), with_path)
-    cut = written(cut)
-    tops = cut.where("not lost and node_id = top and exit is not null").select("page_id", "top", "exit")
-    exits = written(tops.join(cut.select("page_id", F.col("node_id").alias("exit")), ["page_id", "exit"], "left_semi"))
-    inside = cut.drop("exit").join(exits, ["page_id", "top"], "left").withColumn("step", F.lit(1).cast("long"))
-    targets = exits.select("page_id", F.col("exit").alias("node_id")).distinct()
-    q = targets.join(inside, ["page_id", "node_id"]).select(
-        "page_id", "node_id", "frag", F.col("exit").alias("parent"), (F.col("dist") + F.lit(1)).alias("weight"),
-        F.col("top").alias("base_root"), F.col("dist").alias("base_dist"), F.col("lost").alias("base_lost"),
-        *([F.col("path").alias("seg")] if with_path else []),
-    )
-    ends = inside.where("node_id = top").select("page_id", "top", F.col("top").alias("base_root"), F.lit(0).cast("long").alias("base_dist"), F.lit(False).alias("base_lost"))
-    return _told(_hand_down(inside, _solve(q, levels, with_path), ends, with_path), with_path)
+    return _told(_forest(nodes, with_path, chunk, F.lit(False)), with_path)
+
+
+def marked_above(nodes: DataFrame, mark: Column, chunk: int = CHUNK) -> DataFrame:
+    """(page_id, node_id, above): how many of the nodes above each node are marked; 0 for nodes from which no root can be reached."""
+    own = nodes.where("page_id is not null and node_id is not null").groupBy("page_id", "node_id").agg(F.max(F.coalesce(mark, F.lit(False)).cast("long")).alias("own"))
+    return _forest(nodes, False, chunk, mark).join(own, ["page_id", "node_id"]).select("page_id", "node_id", F.when(F.col("lost"), 0).otherwise(F.greatest(F.col("marks") - F.col("own"), F.lit(0))).alias("above"))
 
 
 def _told(solved: DataFrame, with_path: bool) -> DataFrame:
     return solved.select(
-        "page_id", "node_id", F.when(F.col("lost"), F.lit(CYCLE)).otherwise(F.col("root_id")).alias("root_id"),
+        "page_id", "node_id", F.when(F.col("lost"), F.lit(CYCLE)).otherwise(F.col("root")).alias("root_id"),
         F.when(F.col("lost"), F.lit(-1)).otherwise(F.col("depth")).cast("int").alias("depth"),
         *([F.when(~F.col("lost"), F.col("path")).alias("path")] if with_path else []),
     )
