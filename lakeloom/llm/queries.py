@@ -109,7 +109,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p10_found")
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.sentences(table(spark, d, "documents")).select("doc_id", "start_char", "end_char")
+    return sentences.sentences(table(spark, d, "documents"), with_text=False).select("doc_id", "start_char", "end_char")
 
 
 @query("p10_sentences")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -27,7 +28,14 @@ MIN_COLLOCATION = 7.88
 MIN_LIFT = 5
 #: The least share of an abbreviation's periods that something other than a beginning follows.
 MIN_INSIDE = 0.2
-LONGEST_QUOTE = 1500
+#: Learned entries that are handed to every task; of more, each document gets those it asks for by a join.
+MOST_SHIPPED = 200_000
+#: Copies of the learned table's rows in a join.
+SALTS = 16
+#: How many open brackets a closing one can skip.
+MOST_NESTED = 64
+#: Counters that a task keeps before it hands them on.
+MOST_KEPT = 300_000
 
 # Marks, and quotes and brackets with what closes them.
 FINAL = ".!?。！？｡।॥؟۔…‼⁇⁈⁉។။՞።"
@@ -36,22 +44,34 @@ CLOSE = set(")]}）］】」』》〉»›”“’\"'")
 _GAP = regex.compile(r"\r?\n[^\S\n]*\r?\n\s*")
 _CHAR = r"[\w\u0300-\u036f\u0483-\u0487\u0591-\u05c7\u0610-\u061a\u064b-\u065f\u0670\u0900-\u0963\u0966-\u0dff\u0e31-\u0e4e\u0eb1-\u0ecd\u1000-\u109d\u17b4-\u17dd]"
 _WORD = re.compile(rf"{_CHAR}+(?:[.'’\-]{_CHAR}+)*")
-_DOTTED = re.compile(rf"({_CHAR}+(?:[.'’\-]{_CHAR}+)*)\.(?!\.)")
-_ASKED = re.compile(r"[!?؟।](?=\s)")
 _NEXT = re.compile(rf"{_CHAR}+")
-_LEFT = re.compile(rf"{_CHAR}+(?:[.'’\-]{_CHAR}+)*$")
-_NO_LETTER = re.compile(rf"(?:(?!{_CHAR}).)*", re.DOTALL)
-_MARK = regex.compile(f"[{regex.escape(FINAL)}]+")
-_DENSE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
-_THAI = regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
-_CASED = regex.compile(r"[\p{Lu}\p{Ll}]")
-_SCRIPTS = [("Thai", _THAI), ("East", _DENSE), ("Deva", regex.compile(r"\p{Devanagari}")), ("Arab", regex.compile(r"\p{Arabic}")), ("Cyrl", regex.compile(r"\p{Cyrillic}"))]
+_ASKED = re.compile(r"[!?؟।](?=\s)")
+_SPACE = re.compile(r"\s*")
+_SPACES = re.compile(r"(?<=\S)\s+")
+_EAST_START = re.compile(r"(?<=[。！？”」）])\s*(?=\S)")
+_MARK = re.compile(f"[{re.escape(FINAL)}]+")
+_EAST_WORD = regex.compile(r"[\p{Han}\p{Katakana}]")
+_SHIELD = re.compile("[" + re.escape("".join(OPEN) + "".join(OPEN.values()) + "\"'") + "]")
+_SCRIPTS = {"Thai": regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"), "East": regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]"), "Deva": regex.compile(r"\p{Devanagari}"), "Arab": regex.compile(r"\p{Arabic}"), "Cyrl": regex.compile(r"\p{Cyrillic}")}
+
+
+@lru_cache(65_536)
+def _script(c: str) -> str:
+    return next((name for name, p in _SCRIPTS.items() if p.match(c)), "")
 
 
 def script_of(text: str) -> str:
-    """The script of most of a text's letters, Latin counting little where others are."""
-    best = max(((len(p.findall(text)), name) for name, p in _SCRIPTS), default=(0, ""))
-    return best[1] if best[0] * 4 >= sum(c.isalpha() for c in text) and best[0] else "Latn"
+    """The script of most of a text's letters, Latin counting little where others are; the whole text is counted."""
+    if text.isascii():
+        return "Latn"
+    sums: Counter = Counter()
+    letters = 0
+    for c, n in Counter(text).items():
+        letters += n if c.isalpha() else 0
+        if c > "\u036f":
+            sums[_script(c)] += n
+    n, name = max(((n, name) for name, n in sums.items() if name), default=(0, ""))
+    return name if n and n * 4 >= letters else "Latn"
 
 
 def paragraphs(text: str) -> list[tuple[int, int]]:
@@ -69,26 +89,23 @@ def paragraphs(text: str) -> list[tuple[int, int]]:
 
 def shielded(p: str) -> list[tuple[int, int]]:
     """Spans (opening, closing) of matched quotes and brackets of a paragraph that lie in no other."""
-    spans, stack = [], []
-    for i, c in enumerate(p):
-        if stack and (c in stack[-1][1]) and not (c == "'" and not (p[i - 1] in FINAL + ",")):
-            at, _ = stack.pop()
-            if i - at <= LONGEST_QUOTE:
-                spans.append((at, i))
+    spans: list[tuple[int, int]] = []
+    stack: list[tuple[int, str]] = []
+    for m in _SHIELD.finditer(p):
+        i, c = m.start(), m[0]
+        if stack and c in stack[-1][1] and not (c == "'" and p[i - 1] not in FINAL + ","):
+            spans.append((stack.pop()[0], i))
         elif c in OPEN and not (c in "‘“" and stack and c in stack[-1][1]):
-            if c == "‘" and i and p[i - 1].isalnum():
-                continue
-            stack.append((i, OPEN[c]))
+            if not (c == "‘" and i and p[i - 1].isalnum()):
+                stack.append((i, OPEN[c]))
         elif c == '"':
             stack.append((i, '"'))
         elif c == "'" and (not i or p[i - 1].isspace() or p[i - 1] in "([") and i + 1 < len(p) and p[i + 1].isupper():
             stack.append((i, "'"))
-        elif c in ")]）］】」』》»" and any(c in x[1] for x in stack):
+        elif c in ")]）］】」』》»" and any(c in x for _, x in stack[-MOST_NESTED:]):
             while c not in stack[-1][1]:
                 stack.pop()
-            at, _ = stack.pop()
-            if i - at <= LONGEST_QUOTE:
-                spans.append((at, i))
+            spans.append((stack.pop()[0], i))
     spans.sort()
     out: list[tuple[int, int]] = []
     for s in spans:
@@ -101,66 +118,80 @@ def word_type(w: str) -> str:
     return "##" if w[:1].isdigit() and w.replace(".", "").replace(",", "").isdigit() else w.lower()
 
 
-def start_key(rest: str, script: str) -> str:
-    """What stands for the beginning of ``rest``: a word as written, a few characters in scripts without spaces."""
-    m = _NEXT.search(rest)
+def start_key(p: str, at: int, script: str) -> str:
+    """What stands for the beginning of a sentence at a place: a word as written, a few characters in scripts without spaces."""
+    m = _NEXT.search(p, at)
     if not m:
         return ""
-    w, rest = m[0], rest[m.start() :]
+    w = m[0]
     if script != "Latn" and w[0].isascii() and w[0].isupper():
         return "¤"
     if script == "East":
-        w = rest[:2]
+        w = p[m.start() : m.start() + 2]
     elif script == "Thai":
         w = w[:7]
     return "##" if w[0].isdigit() else w
 
 
-def _count(text: str, script: str, into: Counter) -> None:
+def _ends_of_words(p: str) -> dict[int, str]:
+    """The words of a paragraph by the places behind them."""
+    return {m.end(): m[0] for m in _WORD.finditer(p)}
+
+
+def _count(text: str, script: str, words: Counter, into: Counter) -> None:
+    """Count a text's words into ``words`` and what stands around its marks into ``into``."""
     for a, b in paragraphs(text):
         p = text[a:b]
-        key = start_key(p[:80], script)
+        key = start_key(p, 0, script)
         if key:
             into["s", key] += 1
-        if script == "East":
-            for m in regex.finditer(r"(?<=[。！？”」）])\s*(?=\S)", p):
-                into["o", start_key(p[m.end() : m.end() + 80], script)] += 1
+        if script in ("East", "Thai"):
+            for m in (_EAST_START if script == "East" else _SPACES).finditer(p):
+                into["o", start_key(p, m.end(), script)] += 1
             into["o", key] += 1
-            continue
-        if script == "Thai":
-            for m in regex.finditer(r"(?<=\S)\s+", p):
-                into["o", start_key(p[m.end() : m.end() + 80], script)] += 1
-            into["o", key] += 1
-        words = _WORD.findall(p)
-        if script != "Thai":
-            for w in words:
-                into["o", "¤" if script != "Latn" and w[0].isascii() and w[0].isupper() else _NEXT.match(w)[0]] += 1
-        for w in words:
-            into["w", word_type(w)] += 1
-        for m in _DOTTED.finditer(p):
-            t, rest = word_type(m[1]), p[m.end() : m.end() + 80]
-            into["p", t] += 1
-            into["w", t] -= 1
-            nxt = rest.lstrip()
-            if nxt:
-                kind = "," if nxt[0] in ",;:)]»" or nxt[0].islower() and rest[0].isspace() else ""
-                into["c", t + "\t" + (kind or start_key(nxt, script))] += 1
+            if script == "East":
+                continue
+        ends = _ends_of_words(p)
+        words.update(ends.values())
+        i = p.find(".")
+        while i >= 0:
+            w = ends.get(i)
+            if w is not None and not p.startswith(".", i + 1):
+                t, j = word_type(w), _SPACE.match(p, i + 1).end()
+                into["p", t] += 1
+                into["w", t] -= 1
+                if j < len(p):
+                    plain = p[j] in ",;:)]»" or p[j].islower() and j > i + 1
+                    into["c", t + "\t" + ("," if plain else start_key(p, j, script))] += 1
+            i = p.find(".", i + 1)
         for m in _ASKED.finditer(p):
-            k = start_key(p[m.end() : m.end() + 80].lstrip(), script)
+            k = start_key(p, m.end(), script)
             if k:
                 into["s", k] += 1
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of a task's texts by script and language, handed on when they are many and at the end."""
+    by: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+
+    def told() -> pd.DataFrame:
+        rows = []
+        for (script, lang), (words, into) in by.items():
+            for w, n in words.items():
+                into["w", word_type(w)] += n
+                if script != "Thai":
+                    into["o", "¤" if script != "Latn" and w[0].isascii() and w[0].isupper() else _NEXT.match(w)[0]] += n
+            rows += [(f"{script}/{lang}", k, w, n) for (k, w), n in into.items()]
+        by.clear()
+        return pd.DataFrame(rows, columns=["grp", "kind", "key", "n"])
+
     for b in batches:
-        by: dict[str, Counter] = {}
         for text, lang in zip(b["text"], b["lang"]):
             script = script_of(text)
-            one: Counter = Counter()
-            _count(text, script, one)
-            by.setdefault(f"{script}/{lang}", Counter()).update(one)
-        rows = [(g, k, w, n) for g, c in by.items() for (k, w), n in c.items()]
-        yield pd.DataFrame(rows, columns=["grp", "kind", "key", "n"])
+            _count(text, script, *by.setdefault((script, lang), (Counter(), Counter())))
+        if sum(len(w) + len(c) for w, c in by.values()) > MOST_KEPT:
+            yield told()
+    yield told()
 
 
 def _log_likelihood(k: Column, n: Column, p: Column, q: float) -> Column:
@@ -215,24 +246,27 @@ def learn(documents: DataFrame) -> DataFrame:
     )
 
 
-def _candidates(p: str, spans: list[tuple[int, int]], script: str) -> Iterator[tuple[int, str, str, str, bool]]:
-    """(end, word before, mark, beginning behind, whether a quote closes there) of the places that may end a sentence."""
-    opens, ends = {a for a, _ in spans}, {e for _, e in spans}
-    at = 0
-    inside = iter([*spans, (len(p) + 1, len(p) + 1)])
-    s, e = next(inside)
+def _candidates(p: str, spans: list[tuple[int, int]], ends: dict[int, str]) -> list[tuple[int, str, str, bool]]:
+    """(place, word before, mark, whether a quote closes there) of the places that may end a sentence."""
+    opens, closes = {a for a, _ in spans}, {e for _, e in spans}
+    out, at, n, k = [], 0, len(p), 0
     for m in _MARK.finditer(p):
-        while m.start() > e:
-            s, e = next(inside)
-        if s < m.start() <= e:
+        i, stop = m.span()
+        while k < len(spans) and i > spans[k][1]:
+            k += 1
+        if k < len(spans) and spans[k][0] < i:
             continue
-        stop = m.end()
-        while stop < len(p) and p[stop] in CLOSE and stop not in opens and (stop in ends or p[stop] in "\"'”’»"):
+        while stop < n and p[stop] in CLOSE and stop not in opens and (stop in closes or p[stop] in "\"'”’»"):
             stop += 1
         if stop < at:
             continue
-        left = _LEFT.search(p[max(0, m.start() - 60) : m.start()])
-        yield stop, left[0] if left else "", m[0], p[stop : stop + 40], False
+        w = ends.get(i)
+        if w is None:  # a mark inside a word: its part since the last one
+            j = i
+            while j and p[j - 1] not in FINAL and not p[j - 1].isspace():
+                j -= 1
+            w = p[j:i]
+        out.append((stop, w, m[0], False))
         at = stop
     for s, e in spans:
         j = e - 1
@@ -240,66 +274,81 @@ def _candidates(p: str, spans: list[tuple[int, int]], script: str) -> Iterator[t
             j -= 1
         if p[j] in FINAL:
             stop = e + 1
-            while stop < len(p) and p[stop] in CLOSE and stop not in opens:
+            while stop < n and p[stop] in CLOSE and stop not in opens:
                 stop += 1
             if not _MARK.match(p, stop):
-                yield stop, "", p[j], p[stop : stop + 40], True
+                out.append((stop, "", p[j], True))
+    return out
 
 
-def _keys(text: str) -> set[str]:
-    """The words that the tables may be asked for."""
+def _examined(text: str) -> tuple[str, list]:
+    """The text's script, and (start, end, paragraph, candidates with the place behind the space and the key there, spaces) of its paragraphs."""
     script = script_of(text)
-    out = set()
+    out = []
     for a, b in paragraphs(text):
         p = text[a:b]
         spans = shielded(p)
-        for _, w, _, rest, _ in _candidates(p, spans, script):
-            k, t = start_key(rest.lstrip(), script), word_type(w)
-            out |= {"s\t" + k, "a\t" + t, f"c\t{t}\t{k}"}
+        near = []
+        for stop, word, mark, closed in _candidates(p, spans, _ends_of_words(p)):
+            j = _SPACE.match(p, stop).end()
+            near.append((stop, j, word, mark, closed, start_key(p, j, script)))
+        spaces, k = [], 0
         if script == "Thai":
-            out |= {"s\t" + start_key(p[m.end() : m.end() + 80], script) for m in regex.finditer(r"(?<=\S)\s+", p)}
+            for m in _SPACES.finditer(p):
+                while k < len(spans) and m.start() > spans[k][1]:
+                    k += 1
+                if m.end() < len(p) and not (k < len(spans) and spans[k][0] < m.start()):
+                    spaces.append((m.start(), start_key(p, m.end(), script)))
+        out.append((a, p, near, spaces))
+    return script, out
+
+
+def _asked(examined: list) -> set[str]:
+    """The keys of the learned table that a text's places ask for."""
+    out = set()
+    for _, _, near, spaces in examined:
+        for _, _, word, _, _, key in near:
+            t = word_type(word)
+            out |= {"s\t" + key, "a\t" + t, f"c\t{t}\t{key}"}
+        out |= {"s\t" + key for _, key in spaces}
     return out
 
 
-def split_sentences(text: str | None, known: set[str]) -> list[tuple[int, int]]:
-    """(start, end) of each sentence of a text, given the learned keys (``kind`` tab ``key``) it may need."""
-    if not text:
-        return []
-    script = script_of(text)
+def _cut(script: str, examined: list, known: set[str]) -> list[tuple[int, int]]:
     out = []
-    for a, b in paragraphs(text):
-        p = text[a:b]
-        spans = shielded(p)
-        cuts = {c[0] for c in _candidates(p, spans, script) if _ends(c, known, script)}
-        if script == "Thai":
-            for m in regex.finditer(r"(?<=\S)\s+(?=\S)", p):
-                if not any(s < m.start() <= e for s, e in spans) and "s\t" + start_key(p[m.end() : m.end() + 80], script) in known:
-                    cuts.add(m.start())
+    for a, p, near, spaces in examined:
+        cuts = {c[0] for c in near if _ends(p, c, known, script)} | {at for at, key in spaces if "s\t" + key in known}
         at = 0
         for c in [*sorted(x for x in cuts if 0 < x < len(p)), len(p)]:
-            part = p[at:c]
-            if part.strip():
-                lead = len(part) - len(part.lstrip())
-                out.append((a + at + lead, a + at + len(part.rstrip())))
+            i, j = at, c
+            while i < j and p[i].isspace():
+                i += 1
+            while j > i and p[j - 1].isspace():
+                j -= 1
+            if i < j:
+                out.append((a + i, a + j))
             at = c
     return out
 
 
-def _ends(c: tuple[int, str, str, str, bool], known: set[str], script: str) -> bool:
-    _, word, mark, rest, closed = c
-    nxt = rest.lstrip()
-    if not nxt:
+def split_sentences(text: str | None, known: set[str]) -> list[tuple[int, int]]:
+    """(start, end) of each sentence of a text, given the learned keys (``kind`` tab ``key``) it may need."""
+    return _cut(*_examined(text), known) if text else []
+
+
+def _ends(p: str, c: tuple[int, int, str, str, bool, str], known: set[str], script: str) -> bool:
+    stop, at, word, mark, closed, key = c
+    if at >= len(p):
         return True
-    spaced = nxt != rest
-    if nxt[0] in ",;:，、；：—–-":
+    spaced = at > stop
+    if p[at] in ",;:，、；：—–-":
         return False
-    i = _NO_LETTER.match(nxt).end()
-    first = nxt[i] if i < len(nxt) else ""
-    key = start_key(nxt, script)
+    m = _NEXT.search(p, at)
+    first = p[m.start()] if m else ""
     starter = "s\t" + key in known
     if mark[-1] in "。！？｡।॥":
         if closed and not first.isupper():
-            return starter or not spaced and script == "East" and key not in ("", "##") and regex.match(r"[\p{Han}\p{Katakana}]", key) is not None
+            return starter or not spaced and script == "East" and key not in ("", "##") and _EAST_WORD.match(key) is not None
         return True
     if not spaced and mark[-1] in ".…":
         return mark == "." and starter and first.isupper() and len(word.rpartition(".")[2]) > 1 and word[-1:].islower()
@@ -323,31 +372,81 @@ def _ends(c: tuple[int, str, str, str, bool], known: set[str], script: str) -> b
     return not (tied and (not starter or first.isdigit()))
 
 
-def sentences(documents: DataFrame) -> DataFrame:
-    """(doc_id, sentence_no, start_char, end_char, sentence) for each sentence of each document, in order.
+def _weight(of: str, lang: str) -> float:
+    """How much a language's beginnings count for a text that claims ``lang``."""
+    return 0.5 if not of else 1.25 if of == lang else 1.0
+
+
+def _language(known: dict[str, set[str]], examined: list, lang: str) -> str | None:
+    """The language whose beginnings a text has most of; where it has none, one of those that know any of its keys."""
+    starts = {"s\t" + c[-1] for _, _, near, spaces in examined for c in (*near, *spaces)}
+    n, of = max(((len(starts & keys) * _weight(la, lang), la) for la, keys in known.items()), default=(0, None))
+    if n or of is None:
+        return of
+    asked = _asked(examined)
+    return max((la for la, keys in known.items() if asked & keys), default=None)
+
+
+def _spans_of(b: pd.DataFrame, cuts: list[list[tuple[int, int]]], with_text: bool) -> pd.DataFrame:
+    many = [len(c) for c in cuts]
+    out = pd.DataFrame({
+        "doc_id": b["doc_id"].repeat(many).to_numpy(), "sentence_no": [i for n in many for i in range(n)],
+        "start_char": [s for c in cuts for s, _ in c], "end_char": [e for c in cuts for _, e in c],
+    })
+    if with_text:
+        out["sentence"] = [t[s:e] for t, c in zip(b["text"], cuts) for s, e in c]
+    return out
+
+
+def sentences(documents: DataFrame, with_text: bool = True, most_shipped: int = MOST_SHIPPED) -> DataFrame:
+    """(doc_id, sentence_no, start_char, end_char[, sentence]) for each sentence of each document, in order.
 
     documents: doc_id, text, lang; other columns are left aside. Offsets count code points from 0, the end is exclusive, white
     space around a sentence is left out. Null, empty and blank texts have no sentences. ``lang`` may be null or wrong: of the
-    languages learned for the text's script the one counts whose beginnings the text has most of. The tables are joined to the words of each document, whatever their size.
+    languages learned for the text's script the one counts whose beginnings the text has most of. The learned table is handed to
+    every task while it has no more than ``most_shipped`` rows; a larger one is joined to the keys that each document asks for.
     """
+    spark = documents.sparkSession
     rows = spread(documents.where("text is not null")).select("doc_id", "text", F.lower(F.trim(F.coalesce("lang", F.lit("")))).alias("lang"))
-    table = learn(documents).select(F.split("grp", "/")[0].alias("script"), F.split("grp", "/")[1].alias("of"), F.concat_ws("\t", "kind", "key").alias("key"))
+    table = written(learn(documents).select(F.split("grp", "/")[0].alias("script"), F.split("grp", "/")[1].alias("of"), F.concat_ws("\t", "kind", "key").alias("key")))
+    schema = "doc_id long, sentence_no int, start_char int, end_char int" + (", sentence string" if with_text else "")
+    if table.count() > most_shipped:
+        return _joined(rows, table, with_text, schema)
+    by: dict[str, dict[str, set[str]]] = {}
+    for r in table.toLocalIterator():
+        by.setdefault(r["script"], {}).setdefault(r["of"], set()).add(r["key"])
+    shipped = spark.sparkContext.broadcast(by)  # most_shipped rows at most
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables = shipped.value
+        for b in batches:
+            cuts = []
+            for text, lang in zip(b["text"], b["lang"]):
+                script, examined = _examined(text)
+                of = _language(tables.get(script, {}), examined, lang)
+                cuts.append(_cut(script, examined, tables[script][of] if of is not None else set()))
+            yield _spans_of(b, cuts, with_text)
+
+    return rows.mapInPandas(cut, schema)
+
 
+def _joined(rows: DataFrame, table: DataFrame, with_text: bool, schema: str) -> DataFrame:
+    """``sentences`` with a learned table of any size: the keys that documents ask for are joined to it."""
     def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(d, la, sc, k) for d, t, la in zip(b["doc_id"], b["text"], b["lang"]) for sc in (script_of(t),) for k in _keys(t)]
+            out = [(d, la, sc, k) for d, t, la in zip(b["doc_id"], b["text"], b["lang"]) for sc, x in (_examined(t),) for k in _asked(x)]
             yield pd.DataFrame(out, columns=["doc_id", "lang", "script", "key"])
 
-    found = rows.mapInPandas(asked, "doc_id long, lang string, script string, key string").join(table, ["script", "key"])
+    # The commonest keys are asked by most documents: each of their rows in the table stands SALTS times, and documents are spread over these.
+    salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    asking = rows.mapInPandas(asked, "doc_id long, lang string, script string, key string").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    found = asking.join(salted, ["script", "key", "salt"])
     weight = F.when(F.col("of") == "", 0.5).when(F.col("of") == F.col("lang"), 1.25).otherwise(1.0)
     by_language = found.groupBy("doc_id", "of").agg(F.collect_set("key").alias("known"), F.max(weight).alias("weight"), F.sum(F.col("key").startswith("s").cast("int")).alias("starts"))
     known = by_language.groupBy("doc_id").agg(F.max_by("known", F.struct(F.col("starts") * F.col("weight"), "of")).alias("known"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for d, t, k in zip(b["doc_id"], b["text"], b["known"]):
-                out += [(d, i, s, e, t[s:e]) for i, (s, e) in enumerate(split_sentences(t, set(k) if k is not None else set()))]
-            yield pd.DataFrame(out, columns=["doc_id", "sentence_no", "start_char", "end_char", "sentence"])
+            yield _spans_of(b, [split_sentences(t, set(k) if k is not None else set()) for t, k in zip(b["text"], b["known"])], with_text)
 
-    return rows.join(known, "doc_id", "left").mapInPandas(cut, "doc_id long, sentence_no int, start_char int, end_char int, sentence string")
+    return rows.join(known, "doc_id", "left").mapInPandas(cut, schema)
