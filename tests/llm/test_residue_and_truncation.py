@@ -49,3 +49,18 @@ def test_cases_and_kept_make_the_whole(spark, tmp_path):
     kept = sorted(((r.page_id, r.node_id, r.text) for r in QUERIES["p5_kept"](spark, str(tmp_path)).collect()), key=str)
     assert found >= {(1, "a"), (1, "b"), (1, "title")}
     assert kept == sorted([(1, "c", "Plans for teams"), (2, "a", None), (2, "b", ""), (2, "title", "Pricing | Site"), (3, "title", None)], key=str)
+
+
+def test_text_that_only_talks_of_slots_stays():
+    from lakeloom.llm.residue import MIN_COVER, residue_cover
+
+    good = "Good line of text here.\n" * 200
+    stay = [
+        good + "404", good + "Hello {first_name}, welcome!", "I am in the `__init__` method of this class, and it fails", "Use {{ name }} in your Jinja template to print it",
+        'printf("%d items", n) prints the number of items', "use ${HOME} to find the home folder", "javax.swing.jbutton", "Set %PATH% before you run the tool",
+        "The page said 404 Not Found when I clicked the link", "How we fixed the error that said Access denied", "", " \n ",
+    ]
+    gone = ["{{ title }}", "Hello {first_name}, welcome to Harbour!", "404 Not Found: /x", "Lorem ipsum dolor sit amet, consectetur", "%%PRICE%%", "Plan: undefined", "From NaN / month for Pro", "Good words.\n{{ a }}"]
+    assert [t for t in stay if residue_cover(t) >= MIN_COVER] == []
+    assert [t for t in gone if residue_cover(t) < MIN_COVER] == []
+    assert residue_cover("error 5 " * 100_000) > 0 and residue_cover("{{" * 100_000) == 0

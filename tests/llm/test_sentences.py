@@ -52,3 +52,17 @@ def test_script_of_the_whole_text():
     latin, thai = "word " * 300, "ภาษาไทย" * 300
     text = latin + thai + latin + thai + latin
     assert script_of(text) == script_of(thai) == "Thai"
+
+
+def test_whole_words_quotes_and_the_joined_way(spark):
+    from lakeloom.llm.sentences import sentences, shielded, split_sentences
+
+    long = "(" + "word " * 2000 + "end. More) stays. Next one."
+    assert shielded(long)[0] == (0, long.index(")"))
+    assert len(split_sentences(long, set())) == 2
+    assert split_sentences("a." * 50_000, set())[-1][1] == 100_000
+    rows = [(i, f"Dr. No came at noon. He left{i}. The end was near.", "en") for i in range(40)] + [(50, "ไทย ภาษา", "th"), (51, None, "en"), (52, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    small, large = (sorted(map(tuple, sentences(docs, most_shipped=n).collect())) for n in (200_000, 0))
+    assert small == large and len(small) > 100
+    assert sentences(docs.limit(0)).count() == 0
