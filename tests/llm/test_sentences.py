@@ -64,5 +64,5 @@ def test_whole_words_quotes_and_the_joined_way(spark):
     rows = [(i, f"Dr. No came at noon. He left{i}. The end was near.", "en") for i in range(40)] + [(50, "ไทย ภาษา", "th"), (51, None, "en"), (52, "", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     small, large = (sorted(map(tuple, sentences(docs, most_shipped=n).collect())) for n in (200_000, 0))
-    assert small == large and len(small) > 100
+    assert small == large and len(small) == 81
     assert sentences(docs.limit(0)).count() == 0
