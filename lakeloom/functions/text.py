@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -102,6 +103,28 @@ def semantic_role(text: Column, role: Column) -> Column:
     return labels
 
 
+def python_role(text: str, role: str) -> str | None:
+    """``semantic_role`` of one text."""
+    if re.search(PRICE, text):
+        return "price"
+    if role in ("button", "link", "textbox", "searchbox"):
+        return next((label for label in ("checkout", "search", "account") if python_score(label, text) > 0), None)
+    return None
+
+
+def python_element_score(goal: str, evidence: str, role: str | None) -> float:
+    """``element_score`` of one element."""
+    wanted, actual = python_tokens(goal), set(python_tokens(evidence))
+    if any(r in wanted and role != r for r in ("button", "link")):
+        return 0.0
+    if any(g[0] in ACTIONS and set(g) & set(wanted) and not actual & set(g) for g in SYNONYMS):
+        return 0.0
+    rest = [t for t in wanted if t not in ELEMENT_WORDS]
+    if rest and python_score(" ".join(rest), evidence) == 0:
+        return 0.0
+    return python_score(goal, evidence)
+
+
 def watches_all(goal: str) -> bool:
     # Goals that mean every change.
     return " ".join(goal.lower().split()) in ("all", "*", "content", "page changes", "website changes", "site changes", "all changes", "content changes", "page content")

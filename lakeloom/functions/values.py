@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The edges of words in ASCII, timestamps, how long ago, amounts.
 _EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
@@ -13,6 +18,23 @@ MONEY = r"(?:R\$|US\$|[$€£]|USD|EUR|BRL|GBP)\s*[0-9][0-9.,]*(?:\s|$)|[0-9][0-
 SPACES = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
 
 
+#: Letters that compatibility forms leave as they are; values with other characters outside ASCII go through Python.
+_PLAIN = r"[\x{0}-\x{7f}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}\x{400}-\x{45f}\x{4e00}-\x{9fff}\x{3041}-\x{3096}\x{30a1}-\x{30fa}\x{e01}-\x{e30}\x{905}-\x{939}\x{621}-\x{64a}€£–—‘’“”→]*"
+
+
+def _nfkc_all(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in batches:
+        yield s.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
+_nfkc = F.pandas_udf(_nfkc_all, T.StringType())
+
+
+def nfkc(text: Column) -> Column:
+    """Text in its compatibility form; Python sees only the values that may differ."""
+    return F.coalesce(_nfkc(F.when(~text.rlike("^(?s:" + _PLAIN + ")$"), text)), text)
+
+
 def clean(text: Column) -> Column:
     """White space of any kind as one space, none at the ends."""
     return F.trim(F.regexp_replace(text, SPACES, " "))
@@ -33,8 +55,8 @@ def numeric(text: Column) -> Column:
 
 
 def normalized(value: Column, keep_times: bool = False) -> Column:
-    """A value as it is compared: white space, timestamps and amounts in one form each."""
-    text = clean(value)
+    """A value as it is compared: compatible characters, white space, timestamps and amounts in one form each."""
+    text = clean(nfkc(value))
     if not keep_times:
         text = F.regexp_replace(F.regexp_replace(text, TIME, "<time>"), AGO, "<updated>")
     found = F.regexp_extract_all(text, F.lit(f"({MONEY})"), F.lit(1))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lakeloom.functions import text as T
 from lakeloom.functions import urls as U
 from lakeloom.functions import values as V
-from lakeloom.operators.extract import extracted
+from lakeloom.operators.extract import ExtractOptions, extract, extract_report, extracted, rendered
+from lakeloom.sources.pages import documents, parsed_nodes
 from lakeloom.plans.registry import query
 from lakeloom.plans.tables import table
 
@@ -32,8 +33,8 @@ def _score(goal: str, words: str) -> str:
 _NODES = "(SELECT DISTINCT page_id, node_id, site, pos, tag, role, text, name, semantic_role, href, interactive, disabled, checked, expanded, context, entity, parent_id, children FROM page_nodes)"
 
 
-def _nodes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "page_nodes").select("page_id", "node_id", "site", "pos", "tag", "role", "text", "name", "semantic_role", "href", "interactive", "disabled", "checked", "expanded", "context", "entity", "parent_id", "children").dropDuplicates(["page_id", "node_id"])
+def _nodes(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    return table(spark, d, "page_nodes").select(*more, "page_id", "node_id", "site", "pos", "tag", "role", "text", "name", "semantic_role", "href", "interactive", "disabled", "checked", "expanded", "context", "entity", "parent_id", "children").dropDuplicates(["page_id", "node_id"])
 
 
 @query("tokens", f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct, t[1] AS first_token FROM (SELECT doc_id, {_tokens('text')} AS t FROM documents WHERE text IS NOT NULL)")
@@ -103,30 +104,52 @@ def path_policy(spark: SparkSession, d: str) -> DataFrame:
     return c.where(U.path_allowed(U.path_of(F.col("canonical")), ["/docs/", "/help/"], ["/help/a"]))
 
 
-@query("net_policy_hosts", """SELECT DISTINCT regexp_extract(url, '://([^/?#]+)', 1) AS host, NOT regexp_matches(regexp_extract(url, '://([^/?#]+)', 1), '(?i)(^localhost$|[.](localhost|local|internal)$)') AS allowed FROM crawl_pages""")
+# Hosts as a URL can name them, and whether they may be fetched; the SQL goes by ranges of addresses.
+_HOSTS = ["example.com", "localhost", "localhost:3000", "user@localhost", "LOCALHOST.", "a.localhost", "printer.local", "db.internal", "10.1.2.3", "8.8.8.8", "8.8.8.8:53", "172.16.0.1", "172.32.0.1", "192.168.1.1", "100.64.0.1", "169.254.1.1", "224.0.0.1", "1.2.3.4", "127.1", "2130706433", "0x7f.1", "0177.0.0.1", "134744072", "[::1]", "[fe80::1]", "[2606:4700::1111]", "[::ffff:10.0.0.1]", "[::ffff:8.8.8.8]", "[64:ff9b::808:808]"]
+
+
+@query("net_policy_hosts", f"""WITH h AS (SELECT DISTINCT regexp_extract(url, '://([^/?#]+)', 1) AS host FROM crawl_pages UNION SELECT unnest([{", ".join(map(repr, _HOSTS))}])),
+bare AS (SELECT host, regexp_replace(regexp_replace(regexp_replace(lower(host), '^.*@', ''), '(.):[0-9]+$', '\\1'), '[.]$', '') AS b FROM h),
+num AS (SELECT host, b, CASE WHEN regexp_matches(b, '^[0-9]+([.][0-9]+){{3}}$') THEN list_reduce(list_transform(string_split(b, '.'), lambda p: CASE WHEN regexp_matches(p, '^0[0-7]+$') THEN list_reduce(list_transform(string_split(p, ''), lambda c: c::BIGINT), lambda x, y: x * 8 + y) ELSE p::BIGINT END), lambda x, y: x * 256 + y)
+  WHEN regexp_matches(b, '^[0-9]+$') THEN b::BIGINT WHEN b = '127.1' OR b = '0x7f.1' THEN 2130706433 WHEN b = '[::ffff:10.0.0.1]' THEN 167772161 WHEN b = '[::ffff:8.8.8.8]' THEN 134744072 END AS n FROM bare)
+SELECT host, CASE WHEN n IS NOT NULL THEN NOT (n // 16777216 IN (0, 10, 127) OR n // 16777216 >= 224 OR n // 4194304 = 401 OR n // 65536 = 43518 OR n // 1048576 = 2753 OR n // 65536 = 49320)
+  WHEN b[1] = '[' THEN b = '[2606:4700::1111]' ELSE NOT regexp_matches(b, '(^|[.])localhost$|[.](local|internal)$') END AS allowed FROM num""")
 def net_policy_hosts(spark: SparkSession, d: str) -> DataFrame:
-    host = F.regexp_extract("url", "://([^/?#]+)", 1)
-    return table(spark, d, "crawl_pages").select(host.alias("host"), U.public_host(host).alias("allowed")).distinct()
+    hosts = table(spark, d, "crawl_pages").select(F.regexp_extract("url", "://([^/?#]+)", 1).alias("host")).union(spark.createDataFrame([(h,) for h in _HOSTS], "host string")).distinct()
+    return hosts.select("host", U.public_host(F.col("host")).alias("allowed"))
+
+
+_PAGE_ORIGIN = f"(SELECT page_id, min(regexp_extract(canonical, '^([a-z]+://[^/?]+)', 1)) AS page_origin FROM ({_CANONICAL}) GROUP BY page_id)"
+_PATH = "regexp_extract(n.href, '^[a-z]+://[^/?#]+([^?#]*)', 1)"
+_ASSET = f"regexp_matches({_PATH}, '(?i)[.](png|jpe?g|gif|svg|webp|ico|avif|pdf|zip|gz|tar|mp[34]|wav|webm|woff2?|ttf|css|json|xml|csv)$')"
+
 
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    """Links of nodes in one form, with the page's own origin."""
+    own = table(spark, d, "crawl_pages").groupBy("page_id").agg(F.min(U.origin(U.canonical_url(F.col("url")))).alias("page_origin"))
+    links = _nodes(spark, d, "document_url").where("href is not null")
+    return links.withColumn("target", U.canonical_url(F.col("href"), F.col("document_url"))).join(own, "page_id", "left")
 
-@query("link_edges", f"""SELECT n.page_id, n.node_id, n.href AS target, n.name AS anchor, p.page_id AS target_page, regexp_matches(n.href, '(?i)[.](png|jpe?g|gif|svg|webp|ico|avif|pdf|zip|gz|tar|mp[34]|wav|webm|woff2?|ttf|css|json|xml|csv)$') AS asset
-  FROM {_NODES} n LEFT JOIN (SELECT canonical, min(page_id) AS page_id FROM ({_CANONICAL}) GROUP BY canonical) p ON n.href = p.canonical WHERE n.href IS NOT NULL""")
+
+@query("link_edges", f"""SELECT n.page_id, n.node_id, n.href AS target, n.name AS anchor, p.page_id AS target_page, {_ASSET} AS asset, regexp_extract(n.href, '^([a-z]+://[^/?]+)', 1) = o.page_origin AS same_origin
+  FROM {_NODES} n LEFT JOIN (SELECT canonical, min(page_id) AS page_id FROM ({_CANONICAL}) GROUP BY canonical) p ON n.href = p.canonical LEFT JOIN {_PAGE_ORIGIN} o ON n.page_id = o.page_id WHERE n.href IS NOT NULL""")
 def link_edges(spark: SparkSession, d: str) -> DataFrame:
-    links = _nodes(spark, d).where("href is not null").select("page_id", "node_id", U.canonical_url(F.col("href")).alias("target"), F.col("name").alias("anchor"))
     pages = table(spark, d, "crawl_pages").groupBy(U.canonical_url(F.col("url")).alias("target")).agg(F.min("page_id").alias("target_page"))
-    return links.join(pages, "target", "left").select("page_id", "node_id", "target", "anchor", "target_page", U.path_of(F.col("target")).rlike(U.ASSET).alias("asset"))
+    return _links(spark, d).join(pages, "target", "left").select("page_id", "node_id", "target", F.col("name").alias("anchor"), "target_page", U.is_asset(U.path_of(F.col("target"))).alias("asset"), (U.origin(F.col("target")) == F.col("page_origin")).alias("same_origin"))
 
 
-@query("frontier_admission", f"""SELECT site, canonical, priority, n FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY priority DESC, canonical) AS n FROM (
+@query("frontier_admission", f"""SELECT site, canonical, priority, row_number() OVER (PARTITION BY site ORDER BY priority DESC, canonical) AS n FROM (
   SELECT n.site, n.href AS canonical, max(round({_score('pricing documentation', 't')}, 9)) AS priority FROM (SELECT *, {_tokens("concat_ws(' ', name, context, regexp_extract(href, '^[a-z]+://[^/?#]+([^?#]*)', 1))")} AS t FROM {_NODES} WHERE href IS NOT NULL) n
-  WHERE n.href NOT IN (SELECT canonical FROM ({_CANONICAL})) GROUP BY ALL) WHERE priority >= 0.05) WHERE n <= 100""")
+  JOIN {_PAGE_ORIGIN} o ON n.page_id = o.page_id WHERE regexp_extract(n.href, '^([a-z]+://[^/?]+)', 1) = o.page_origin AND NOT {_ASSET} AND {_PATH} NOT LIKE '/ko%'
+  AND n.href NOT IN (SELECT canonical FROM ({_CANONICAL})) GROUP BY ALL) WHERE priority >= 0.05""")
 def frontier_admission(spark: SparkSession, d: str) -> DataFrame:
-    links = _nodes(spark, d).where("href is not null").withColumn("canonical", U.canonical_url(F.col("href")))
-    words = T.tokens(F.concat_ws(" ", "name", "context", U.path_of(F.col("href"))))
-    scored = links.groupBy("site", "canonical").agg(F.max(F.round(T.score("pricing documentation", words), 9)).alias("priority")).where("priority >= 0.05")
+    """Every link of the page's own origin that is no asset, not excluded, not seen and speaks of the goal, with its rank in the site's queue."""
+    path = U.path_of(F.col("target"))
+    links = _links(spark, d).where(U.origin(F.col("target")) == F.col("page_origin")).where(~U.is_asset(path)).where(U.path_allowed(path, [], ["/ko"]))
+    words = T.tokens(F.concat_ws(" ", "name", "context", path))
+    scored = links.groupBy("site", F.col("target").alias("canonical")).agg(F.max(F.round(T.score("pricing documentation", words), 9)).alias("priority")).where("priority >= 0.05")
     seen = table(spark, d, "crawl_pages").select(U.canonical_url(F.col("url")).alias("canonical")).distinct()
     w = Window.partitionBy("site").orderBy(F.desc("priority"), "canonical")
-    # Every admitted link with its rank; the SQL stops at 100 a site.
     return scored.join(seen, "canonical", "left_anti").withColumn("n", F.row_number().over(w)).select("site", "canonical", "priority", "n")
 
 
@@ -154,15 +177,16 @@ tree AS (SELECT page_id, node_id, node_id AS root FROM up WHERE parent IS NULL U
 cov AS (SELECT u.page_id, u.node_id, (s.node_id IS NOT NULL) AS hit FROM up u LEFT JOIN sel s ON s.page_id = u.page_id AND s.node_id = u.parent),
 below AS (SELECT page_id, node_id FROM up WHERE parent IS NULL UNION ALL SELECT u.page_id, u.node_id FROM below b JOIN cov c ON c.page_id = b.page_id JOIN up u ON u.page_id = b.page_id AND u.parent = b.node_id AND c.node_id = u.node_id WHERE NOT c.hit),
 loose AS (SELECT u.page_id, u.node_id FROM up u ANTI JOIN tree t ON u.page_id = t.page_id AND u.node_id = t.node_id),
-link AS (SELECT page_id, parent AS node_id, name AS text, max(href) AS link FROM n WHERE role = 'link' GROUP BY ALL HAVING count(*) = 1)
+link AS (SELECT b.page_id, b.node_id, max(k.href) AS link FROM (SELECT page_id, node_id, text, unnest(list_distinct(children)) AS kid FROM n) b
+  JOIN n k ON k.page_id = b.page_id AND k.node_id = b.kid AND k.role = 'link' AND k.name = b.text GROUP BY b.page_id, b.node_id HAVING count(*) = 1)
 SELECT s.page_id, s.node_id, s.pos, s.text, s.tag, s.role, coalesce(nullif(s.entity, ''), s.context) AS context, coalesce(s.href, k.link) AS href
-FROM sel s LEFT JOIN link k ON s.page_id = k.page_id AND s.node_id = k.node_id AND s.text = k.text
+FROM sel s LEFT JOIN link k ON s.page_id = k.page_id AND s.node_id = k.node_id
 WHERE (s.page_id, s.node_id) IN (SELECT page_id, node_id FROM below UNION ALL SELECT page_id, node_id FROM loose)"""
 
 
 @query("extract_blocks", _BLOCKS)
 def extract_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return extracted(table(spark, d, "page_nodes")).drop("score")
+    return extracted(table(spark, d, "page_nodes")).drop("score", "semantic_role")
 
 
 @query("extract_counts", f"SELECT page_id, count(*) AS total_matches, count(*) > 20 AS truncated FROM ({_BLOCKS}) GROUP BY page_id")
@@ -174,15 +198,60 @@ def _md(x: str) -> str:
     return f"regexp_replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '([\\\\`*_{{}}\\[\\]()#+.!|~-])', '\\\\\\1', 'g')"
 
 
-@query("render_markdown", f"""SELECT page_id, string_agg(CASE WHEN role = 'heading' THEN repeat('#', CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN CAST(tag[2:2] AS INT) ELSE 2 END) || ' ' || m WHEN href IS NOT NULL THEN CASE WHEN tag = 'li' THEN '- ' ELSE '' END || '[' || m || '](<' || href || '>)'
-  WHEN tag = 'li' THEN '- ' || m ELSE m END, chr(10) || chr(10) ORDER BY pos, node_id) AS body FROM (SELECT *, {_md('text')} AS m FROM ({_BLOCKS})) GROUP BY page_id""")
+@query("extract_query", f"""SELECT page_id, node_id, n, total, score FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos, node_id) AS n, count(*) OVER (PARTITION BY page_id) AS total
+  FROM (SELECT b.page_id, b.node_id, b.pos, round({_score('plan price', 't')}, 9) AS score FROM (SELECT *, {_tokens("concat_ws(' ', text, context, semantic_role)")} AS t FROM
+    ({_BLOCKS.replace("SELECT s.page_id, s.node_id, s.pos,", "SELECT s.page_id, s.node_id, s.pos, s.semantic_role,").replace("coalesce(nullif(s.entity, ''), s.context) AS context", "s.context AS context").replace("sel AS (SELECT * FROM n WHERE", f"sel AS (SELECT * FROM n WHERE {_score('plan price', _tokens('concat_ws(chr(32), text, context, semantic_role)'))} > 0 AND")})) b)) WHERE n <= 3""")
+def extract_query(spark: SparkSession, d: str) -> DataFrame:
+    """The three best blocks of each page for a question, of how many."""
+    return extract(table(spark, d, "page_nodes"), ExtractOptions(query="plan price", limit=3)).select("page_id", "node_id", F.col("n").cast("long").alias("n"), "total", F.round("score", 9).alias("score"))
+
+
+_ONE_PAGE = "(SELECT page_id, arg_min(url, (ingested_at, url)) AS url, coalesce(arg_min(coalesce(title, ''), (ingested_at, url)), '') AS title FROM crawl_pages GROUP BY page_id)"
+_LINE = f"""CASE WHEN role = 'heading' THEN repeat('#', CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN CAST(tag[2:2] AS INT) ELSE 2 END) || ' ' || m
+  WHEN regexp_matches(href, '^https?://') THEN '[' || m || '](<' || href || '>)' WHEN tag = 'li' THEN '- ' || m ELSE m END"""
+_NOTHING = "No readable content matches the filters\\. Try a broader query, remove filters, or use browser rendering\\."
+_URL = "lower(regexp_extract(url, '^([^:]+://[^/?#]*)', 1)) || CASE WHEN regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE '' END || regexp_extract(url, '^[^:]+://[^/?#]*(.*)$', 1)"
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    first = F.min_by(F.struct("url", F.coalesce("title", F.lit("")).alias("title")), F.struct("ingested_at", "url")).alias("p")
+    return table(spark, d, "crawl_pages").groupBy("page_id").agg(first).select("page_id", "p.*")
+
+
+@query("render_markdown", f"""SELECT p.page_id, '# ' || CASE WHEN p.title = '' THEN 'Untitled page' ELSE {_md('p.title')} END || chr(10) || chr(10) || 'Source: <' || {_URL.replace("url", "p.url")} || '>' ||
+  CASE WHEN b.body IS NOT NULL THEN chr(10) || chr(10) || b.body ELSE '' END || CASE WHEN b.page_id IS NULL THEN chr(10) || chr(10) || '> {_NOTHING}' ELSE '' END || chr(10) AS body
+  FROM {_ONE_PAGE} p LEFT JOIN (SELECT page_id, string_agg(CASE WHEN first AND role = 'heading' AND text = title THEN NULL ELSE {_LINE} END, chr(10) || chr(10) ORDER BY pos, node_id) AS body
+    FROM (SELECT x.*, q.title, {_md('text')} AS m, row_number() OVER (PARTITION BY x.page_id ORDER BY pos, node_id) = 1 AS first FROM ({_BLOCKS}) x JOIN {_ONE_PAGE} q ON q.page_id = x.page_id) GROUP BY page_id) b ON b.page_id = p.page_id""")
 def render_markdown(spark: SparkSession, d: str) -> DataFrame:
-    m = V.escaped_markdown(F.col("text"))
-    level = F.when(F.col("tag").rlike("^h[1-6]$"), F.substring("tag", 2, 1).cast("int")).otherwise(2)
-    mark = F.when(F.col("tag") == "li", "- ").otherwise("")
-    line = F.when(F.col("role") == "heading", F.concat(F.expr("repeat('#', level)"), F.lit(" "), m)).when(F.col("href").isNotNull(), F.concat(mark, F.lit("["), m, F.lit("](<"), F.col("href"), F.lit(">)"))).otherwise(F.concat(mark, m))
-    rows = extracted(table(spark, d, "page_nodes")).withColumn("level", level).select("page_id", F.struct("pos", "node_id", line.alias("line")).alias("x"))
-    return rows.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n\n").alias("body"))
+    return rendered(extract_report(_pages(spark, d), table(spark, d, "page_nodes")))
+
+
+@query("render_text", f"""SELECT p.page_id, p.title || chr(10) || chr(10) || p.url || CASE WHEN b.body IS NOT NULL THEN chr(10) || chr(10) || b.body ELSE chr(10) || chr(10) || 'Note: {_NOTHING.replace(chr(92), '')}' END || chr(10) AS body
+  FROM {_ONE_PAGE} p LEFT JOIN (SELECT page_id, string_agg(CASE WHEN href IS NOT NULL THEN text || ' (' || href || ')' ELSE text END, chr(10) || chr(10) ORDER BY pos, node_id) AS body FROM ({_BLOCKS}) GROUP BY page_id) b ON b.page_id = p.page_id""")
+def render_text(spark: SparkSession, d: str) -> DataFrame:
+    return rendered(extract_report(_pages(spark, d), table(spark, d, "page_nodes")), "text")
+
+
+def _raw_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of HTML made from the captured pages: tags left open, entities, hidden parts, a form, the page's own links."""
+    esc = lambda c: V.escaped_xml(F.coalesce(F.col(c), F.lit("")))
+    links = _nodes(spark, d).where("href is not null and pos < 100").groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node_id", "href", "name"))), lambda x: F.concat(F.lit('<li><a href="'), V.escaped_xml(x["href"]), F.lit('">'), V.escaped_xml(F.coalesce(x["name"], F.lit(""))), F.lit("</a>"))), "\n").alias("links"))
+    html = F.concat(F.lit("<!doctype html><title>"), esc("title"), F.lit("</title><body><nav aria-label=Menu><ul>"), F.coalesce("links", F.lit("")), F.lit("</ul></nav><main><h1>"), esc("title"), F.lit('</h1><p>Price <b>$10 / month<p>Second<form><label for=q>Search docs</label><input id=q><button disabled>Buy now</button></form><div hidden>gone</div><script>"<p>gone"</script></main>'))
+    return _pages(spark, d).join(links, "page_id", "left").select("page_id", "url", html.alias("html"))
+
+
+@query("parse_nodes", f"""SELECT page_id, 'link' AS role, count(*) AS nodes, count(DISTINCT href) AS hrefs FROM {_NODES} WHERE href IS NOT NULL AND pos < 100 AND page_id IN (SELECT page_id FROM crawl_pages) GROUP BY page_id
+  UNION ALL SELECT page_id, r, n, 0 FROM (SELECT DISTINCT page_id FROM crawl_pages), (VALUES ('button', 1), ('textbox', 1), ('form', 1), ('main', 1), ('navigation', 1), ('list', 1), ('heading', 1)) v(r, n)
+  UNION ALL SELECT page_id, 'listitem', count(*), 0 FROM {_NODES} WHERE href IS NOT NULL AND pos < 100 AND page_id IN (SELECT page_id FROM crawl_pages) GROUP BY page_id""")
+def parse_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Semantic nodes of raw pages, counted by role."""
+    n = parsed_nodes(_raw_pages(spark, d)).where("role <> 'text'")
+    return n.groupBy("page_id", "role").agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct("href").alias("hrefs"))
+
+
+@query("page_titles", f"SELECT page_id, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title, CAST(NULL AS VARCHAR) AS error FROM {_ONE_PAGE}")
+def page_titles(spark: SparkSession, d: str) -> DataFrame:
+    return documents(_raw_pages(spark, d)).select("page_id", "title", "error")
 
 
 _RE2 = {
@@ -211,9 +280,9 @@ def roles(spark: SparkSession, d: str) -> DataFrame:
     return n.groupBy("role", "tag").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("role").isin(acts)).alias("interactive"))
 
 
-@query("state_json", """SELECT page_id, node_id, '[' || coalesce('"' || href || '"', 'null') || ',' || disabled || ',' || coalesce(checked::VARCHAR, 'null') || ',' || coalesce(expanded::VARCHAR, 'null') || ']' AS state FROM (SELECT DISTINCT page_id, node_id, href, disabled, checked, expanded FROM page_nodes) WHERE disabled IS NOT NULL""")
+@query("state_json", """SELECT page_id, node_id, '[' || coalesce('"' || href || '"', 'null') || ',' || coalesce(disabled::VARCHAR, 'null') || ',' || coalesce(checked::VARCHAR, 'null') || ',' || coalesce(expanded::VARCHAR, 'null') || ']' AS state FROM (SELECT DISTINCT page_id, node_id, href, disabled, checked, expanded FROM page_nodes)""")
 def state_json(spark: SparkSession, d: str) -> DataFrame:
     flag = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
     link = F.coalesce(F.concat(F.lit('"'), F.regexp_replace("href", r'(["\\])', r"\\$1"), F.lit('"')), F.lit("null"))
     state = F.concat(F.lit("["), link, F.lit(","), flag("disabled"), F.lit(","), flag("checked"), F.lit(","), flag("expanded"), F.lit("]"))
-    return table(spark, d, "page_nodes").where("disabled is not null").select("page_id", "node_id", "href", "disabled", "checked", "expanded").distinct().select("page_id", "node_id", state.alias("state"))
+    return table(spark, d, "page_nodes").select("page_id", "node_id", "href", "disabled", "checked", "expanded").distinct().select("page_id", "node_id", state.alias("state"))

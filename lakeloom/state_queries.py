@@ -181,9 +181,10 @@ def embedding_rank(spark: SparkSession, d: str) -> DataFrame:
     return _top(spark, d).where("n <= 10").select("query_id", "vec_id", "score", "n")
 
 
-@query("rerank_max", f"SELECT query_id, vec_id, greatest(score, CASE WHEN label = query_label THEN 0.5 ELSE 0 END)::DOUBLE AS score FROM ({_TOP}) WHERE n <= 10")
+@query("rerank_max", f"""SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM (
+  SELECT query_id, vec_id, greatest(score, CASE WHEN label = query_label THEN 0.5 ELSE 0 END)::DOUBLE AS score FROM ({_DOT}))) WHERE n <= 10""")
 def rerank_max(spark: SparkSession, d: str) -> DataFrame:
-    # Both scores of every vector are compared before the 10 best are kept; the SQL keeps 10 by the first score only.
+    """Both scores of every vector are compared before the 10 best are kept."""
     return _top(spark, d, same_label=0.5).where("n <= 10").select("query_id", "vec_id", "score")
 
 
