@@ -1,204 +1,355 @@
-"""Blocks labelled by rules written for the purpose, for the tree that tells page bodies: the features in their order, then 1 for body and 0 for boilerplate."""
+"""Blocks of fifteen pages, read and labelled by hand, for the tree that tells page bodies.
 
+Each: number of the page, kind (L link, H heading, B button, - other, $ a price), share of the site's pages with the block's rarest line, the same with names
+masked, label (1 body, 0 boilerplate, -1 residue that is no training row but a neighbour), text. Pages from ``HELD_OUT`` on are not trained on.
+"""
+
+HELD_OUT = 10
 BLOCKS = [
-    (2, 0, 0, 7, 1, 0, 0, 0.625, 0.625, 0, 0, 1, 0, 1, 0),
-    (1, 1, 0.2727, 1, 3, 1, 0, 0.92, 0.92, 0, 0, 0, 0, 0, 0),
-    (3, 0, 0, 2, 9, 0, 0, 0, 0.1591, 0, 1, 0, 0, 1, 1),
-    (15, 0, 0, 4, 17, 0, 0, 0, 0, 1, 0, 0, 0, 1, 1),
-    (10, 0, 0.0714, 11, 2, 0, 0, 0.6471, 0.6471, 1, 0, 0, 0, 0, 0),
-    (1.6667, 0, 0.0476, 8, 1.3333, 0, 0, 0.5278, 0.5278, 0, 0, 1, 0, 0, 0),
-    (2, 0, 0.0652, 2, 13, 1, 0, 0, 0, 0, 1, 0, 0, 1, 1),
-    (1, 0, 0.3125, 5, 9, 1, 0, 0.9565, 0.9565, 0, 0, 0, 0, 1, 0),
-    (2, 0, 0.1111, 1, 0, 1, 1, 1, 1, 0, 0, 0, 0, 1, 0),
-    (1, 1, 1, 1, 2, 1, 1, 0.88, 0.88, 0, 0, 0, 0, 0, 0),
-    (1, 1, 1, 0, 1, 1, 1, 0.9474, 0.9474, 0, 0, 0, 0, 0, 0),
-    (16, 0, 0, 6, 6, 0, 0, 0.5, 0.5, 1, 0, 0, 0, 1, 0),
-    (11, 0, 0, 3, 18, 0, 0, 0, 0, 1, 0, 0, 0, 1, 1),
-    (1, 1, 1, 1, 1, 1, 1, 0.9413, 0.9413, 0, 0, 0, 0, 0, 0),
-    (3, 0, 0.0526, 1, 3, 0, 0, 0, 0.6923, 0, 1, 0, 0, 1, 1),
-    (1, 1, 0.8, 1, 1, 1, 1, 0.8718, 0.8718, 0, 0, 0, 0, 0, 0),
-    (1, 1, 1, 1, 2, 1, 1, 0.9706, 0.9706, 0, 0, 0, 0, 0, 0),
-    (10, 0, 0, 0, 11, 1, 0, 0.6296, 0.6296, 1, 0, 0, 0, 0, 0),
-    (30, 0, 0, 16, 15, 0, 0, 0, 0, 1, 0, 0, 0, 1, 1),
-    (7, 0, 0.4667, 5, 1, 1, 0, 0.8485, 0.7576, 1, 0, 0, 0, 1, 0),
-    (3, 0, 0.1053, 3, 4, 1, 0, 0, 0, 0, 1, 0, 0, 1, 1),
-    (11, 0, 0, 3, 40, 0, 0, 0, 0, 1, 0, 0, 0, 1, 1),
-    (15, 0, 0, 3, 3, 0, 0, 0.2593, 0, 1, 0, 0, 0, 1, 0),
-    (13, 0, 0, 13, 3, 0, 0, 0, 0, 1, 0, 0, 0, 1, 1),
-    (6, 0, 0.1429, 2, 2, 0, 0, 0.5823, 0.5316, 0, 0, 0, 0, 1, 0),
-    (1, 1, 1, 0, 1, 1, 1, 0.9733, 0.9733, 0, 0, 0, 0, 0, 0),
-    (3, 0, 0.0909, 12, 3, 0, 0, 0.6875, 0.6875, 0, 1, 0, 0, 1, 0),
-    (3, 0, 0, 3, 2, 0, 0, 0.3736, 0.3736, 0, 0, 0, 0, 1, 0),
-    (16, 0, 0, 29, 33, 0, 0, 0, 0, 1, 0, 0, 0, 1, 1),
-    (2, 0, 0, 1, 3, 0, 0, 0.5932, 0.5932, 0, 0, 1, 0, 0, 0),
-    (2.3333, 0, 0, 5, 2.6667, 0, 0, 0.4651, 0.4651, 0, 0, 1, 0, 1, 0),
-    (5, 0, 0, 35, 2, 0, 0, 0, 0, 0, 0, 0, 1, 1, 1),
-    (2, 1, 0.8571, 1, 1, 1, 0, 0.9273, 0.9273, 0, 0, 0, 0, 0, 0),
-    (4, 0, 0, 3, 3, 0, 0, 0.5925, 0.5925, 0, 0, 0, 0, 1, 0),
-    (8, 0, 0, 18, 2, 0, 0, 0, 0, 0, 0, 0, 0, 1, 1),
-    (3, 0, 0, 3, 38, 0, 0, 0, 0, 0, 1, 0, 0, 1, 1),
-    (9, 0, 0, 8, 8, 0, 0, 0, 0, 1, 0, 0, 0, 1, 1),
-    (1, 1, 1, 1, 1, 1, 1, 0.9413, 0.9413, 0, 0, 0, 0, 0, 0),
-    (5, 0, 0.4, 6, 1, 1, 0, 0.9846, 0.9231, 0, 0, 0, 0, 1, 0),
-    (8, 0, 0, 2, 4, 0, 0, 0, 0.4, 0, 0, 0, 0, 1, 0),
-    (3, 0, 0.3, 3, 6, 0, 1, 0.8519, 0.8519, 0, 0, 1, 0, 1, 0),
-    (12, 0, 0.0233, 13, 1, 0, 1, 0.4074, 0.2593, 1, 0, 0, 0, 1, 0),
-    (9, 0, 0.4286, 3, 7, 0, 1, 1, 0.9756, 1, 0, 0, 0, 1, 0),
-    (6, 0, 0, 6, 9, 0, 0, 0.8364, 0.7636, 1, 0, 0, 0, 1, 0),
-    (10, 0, 0, 23, 3, 0, 0, 0, 0, 1, 0, 0, 0, 1, 1),
-    (11, 0, 0, 11, 11, 0, 0, 0, 0, 1, 0, 0, 0, 1, 0),
-    (1, 1, 0.8333, 2, 1, 1, 1, 0.9467, 0.9467, 0, 0, 0, 0, 0, 0),
-    (1, 1, 0.8, 2, 1, 1, 0, 0.8718, 0.8718, 0, 0, 0, 0, 0, 0),
-    (15, 0, 0, 11, 3, 0, 0, 0, 0, 1, 0, 0, 0, 1, 1),
-    (1, 1, 0.8571, 1, 1, 1, 0, 1, 1, 0, 0, 0, 0, 0, 0),
-    (30, 0, 0, 3, 7, 0, 0, 0, 0, 1, 0, 0, 0, 1, 1),
-    (3, 0, 0.4, 3, 3, 0, 1, 0.6122, 0.6122, 0, 1, 0, 0, 1, 0),
-    (35, 0, 0, 26, 15, 0, 0, 0, 0, 0, 0, 0, 0, 1, 1),
-    (16, 0, 0, 42, 12, 0, 0, 0, 0, 1, 0, 0, 0, 1, 1),
-    (12, 0, 0, 9, 9, 0, 0, 0, 0, 1, 0, 0, 0, 1, 1),
-    (9, 0, 0, 2.3333, 5, 0, 0, 0, 0, 1, 0, 0, 0, 1, 1),
-    (2, 0, 0.2, 1, 3, 1, 0, 0.8214, 0.8214, 0, 0, 0, 0, 0, 0),
-    (23, 0, 0.0492, 20, 12, 0, 0, 0, 0, 0, 0, 0, 0, 1, 1),
-    (3, 1, 1, 0, 1, 1, 1, 0.9545, 0.9545, 0, 0, 0, 0, 0, 0),
-    (6, 0, 0.125, 1, 7, 1, 0, 0.6842, 0.6053, 1, 0, 0, 0, 0, 0),
-    (1, 0, 0.6923, 7, 6, 0, 1, 0.8148, 0.8148, 0, 0, 0, 0, 1, 0),
-    (10, 0, 0, 7, 2, 0, 0, 0, 0, 1, 0, 0, 0, 1, 1),
-    (5, 0, 0, 13, 2, 0, 0, 0, 0, 0, 0, 0, 1, 1, 1),
-    (6, 0, 0, 14, 4, 0, 0, 0, 0, 0, 0, 0, 1, 1, 1),
-    (23, 0, 0, 12, 22, 0, 0, 0, 0, 0, 0, 0, 1, 1, 1),
-    (1, 1, 0.8333, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0),
-    (4, 0, 0, 3, 5, 0, 0, 0.5476, 0.5476, 0, 0, 0, 0, 1, 0),
-    (15, 0, 0, 5, 3, 0, 0, 0.52, 0.0475, 1, 0, 0, 0, 1, 0),
-    (28, 0, 0, 15, 27, 0, 0, 0, 0, 1, 0, 0, 0, 1, 1),
-    (24, 0, 0, 14, 10, 0, 0, 0, 0, 0, 0, 0, 0, 1, 1),
-    (2, 0, 0, 11, 2, 0, 0, 0.6111, 0.6111, 0, 0, 1, 0, 1, 0),
-    (11, 0, 0, 4, 5, 0, 0, 0, 0, 1, 0, 0, 0, 1, 1),
-    (4, 0, 0, 4, 29, 0, 0, 0.6471, 0.6471, 0, 0, 0, 0, 1, 0),
-    (15, 0, 0, 13, 13, 0, 0, 0, 0, 1, 0, 0, 0, 1, 1),
-    (6, 0, 0.5, 3, 1, 1, 1, 0.8947, 0.7895, 1, 0, 0, 0, 1, 0),
-    (1, 1, 1, 0, 1, 1, 1, 0.8421, 0.8421, 0, 0, 0, 0, 0, 0),
-    (6, 0, 0, 7, 2, 0, 0, 0.6053, 0.5, 1, 0, 0, 0, 0, 0),
-    (6, 0, 0.1579, 2, 8, 1, 0, 0.7143, 0, 1, 0, 0, 0, 0, 0),
-    (15, 0, 0, 3, 15, 0, 0, 0, 0, 1, 0, 0, 0, 1, 1),
-    (13, 0, 0, 10, 2, 0, 0, 0.6923, 0.6462, 1, 0, 0, 0, 1, 0),
-    (3, 0, 0, 5, 3, 0, 0, 0, 0.0525, 0, 0, 1, 0, 1, 1),
-    (1, 1, 0.4167, 1, 1, 1, 1, 0.9184, 0.9184, 0, 0, 0, 0, 0, 0),
-    (14, 0, 0, 13, 5, 0, 0, 0, 0, 1, 0, 0, 0, 1, 1),
-    (2, 0, 0, 11, 2, 0, 0, 0.4545, 0.4545, 0, 0, 1, 0, 0, 0),
-    (3, 0, 0.1111, 15, 3, 0, 0, 0.4545, 0.4545, 0, 0, 0, 0, 1, 0),
-    (29, 0, 0.0139, 2, 39, 0, 0, 0, 0, 1, 0, 0, 0, 1, 1),
-    (13, 0, 0, 28, 3, 0, 0, 0, 0, 1, 0, 0, 0, 1, 1),
-    (3, 0, 0, 12, 9, 0, 0, 0, 0.6531, 0, 1, 0, 0, 1, 1),
-    (2, 0, 0, 7, 2, 0, 0, 0.7368, 0.7368, 0, 0, 1, 0, 0, 0),
-    (6, 1, 0.28, 1, 3, 1, 0, 0.8889, 0.75, 1, 0, 0, 0, 1, 0),
-    (8, 0, 0, 2, 4, 0, 0, 0, 0.4062, 0, 0, 0, 0, 1, 0),
-    (2, 0, 0.2273, 3, 2, 0, 1, 0, 0, 0, 1, 0, 0, 1, 0),
-    (4, 0, 0, 4, 21, 0, 0, 0, 0, 0, 0, 0, 0, 1, 0),
-    (6, 0, 0.069, 4, 2, 0, 0, 0, 0, 0, 1, 0, 0, 1, 0),
-    (6, 0, 0.087, 9, 2, 0, 0, 0, 0, 0, 0, 0, 0, 1, 0),
-    (8, 0, 0, 3, 15, 0, 0, 0, 0.5263, 0, 0, 0, 0, 1, 0),
-    (8, 0, 0, 2, 13, 0, 0, 0, 0.3704, 0, 0, 0, 0, 1, 0),
-    (8, 0, 0.0333, 2, 4, 0, 0, 0, 0.4062, 0, 0, 0, 0, 1, 0),
-    (8, 0, 0, 3, 3, 0, 0, 0, 0.5763, 0, 0, 0, 0, 1, 0),
-    (8, 0, 0, 3, 16, 0, 0, 0, 0, 0, 0, 0, 0, 1, 0),
-    (8, 0, 0, 2, 4, 0, 0, 0, 0.5179, 0, 0, 0, 0, 1, 0),
-    (8, 0, 0.12, 2, 3, 0, 0, 0, 0.7111, 0, 0, 0, 0, 1, 0),
-    (8, 0, 0.1, 2, 4, 0, 0, 0, 0.44, 0, 0, 0, 0, 1, 0),
-    (10, 0, 0, 11, 2, 0, 0, 0, 0, 1, 0, 0, 0, 1, 0),
-    (8, 0, 0, 2, 4, 0, 0, 0, 0.3143, 0, 0, 0, 0, 1, 0),
-    (9, 0, 0.0571, 2, 5, 0, 0, 0, 0.5833, 0, 0, 0, 0, 1, 0),
-    (8, 0, 0, 2, 4, 0, 0, 0, 0.5833, 0, 0, 0, 0, 1, 0),
-    (8, 0, 0, 4, 17, 0, 0, 0, 0.3385, 0, 0, 0, 0, 1, 0),
-    (3, 1, 0.2273, 6, 2, 0, 1, 0, 0, 0, 0, 0, 0, 1, 0),
-    (3, 1, 0.5833, 3, 2, 0, 1, 0, 0, 0, 0, 0, 0, 1, 0),
-    (2, 1, 0.16, 2, 7, 1, 0, 0, 0, 0, 0, 0, 0, 1, 0),
-    (3, 1, 0.3333, 3, 0, 0, 1, 0, 0, 0, 0, 0, 0, 1, 0),
-    (2, 1, 0.7, 2, 3, 1, 1, 0, 0.8718, 0, 0, 0, 0, 1, 0),
-    (2, 1, 0.56, 2, 5, 1, 0, 0, 0, 0, 0, 0, 0, 1, 0),
-    (3, 1, 0.4706, 6, 2, 0, 1, 0, 0, 0, 0, 0, 0, 1, 0),
-    (2, 1, 0.4211, 4, 3, 0, 1, 0, 0, 0, 0, 0, 0, 1, 0),
-    (3, 1, 0.6364, 3, 2, 0, 1, 0, 0, 0, 0, 0, 0, 1, 0),
-    (2, 1, 0.6, 2, 3, 0, 1, 0, 0.75, 0, 0, 0, 0, 1, 0),
-    (2, 1, 0.1111, 2, 1, 0, 0, 0, 0, 0, 0, 0, 0, 1, 0),
-    (2, 1, 0.5833, 3, 2, 1, 1, 0, 0, 0, 0, 0, 0, 1, 0),
-    (3, 1, 0.6842, 3, 3, 0, 1, 0, 0.6842, 0, 0, 0, 0, 1, 0),
-    (3, 1, 0.6154, 3, 2, 0, 1, 0, 0, 0, 0, 0, 0, 1, 0),
-    (2, 0, 0, 2, 5, 0, 0, 0, 0, 0, 1, 0, 0, 1, 1),
-    (3, 0, 0, 24, 15, 0, 0, 0, 0, 0, 1, 0, 0, 1, 1),
-    (3, 0, 0, 2, 5, 0, 0, 0, 0.9259, 0, 1, 0, 0, 1, 1),
-    (3, 0, 0, 38, 11, 0, 0, 0, 0.1463, 0, 1, 0, 0, 1, 1),
-    (3, 0, 0, 1, 3, 0, 0, 0, 0.7317, 0, 1, 0, 0, 1, 1),
-    (3, 0, 0.0714, 3, 19, 1, 0, 0, 0.7368, 0, 1, 0, 0, 1, 1),
-    (3, 0, 0.069, 1, 13, 1, 0, 0, 0.898, 0, 1, 0, 0, 1, 1),
-    (2, 0, 0, 16, 22, 0, 0, 0, 0.74, 0, 1, 0, 0, 1, 1),
-    (3, 0, 0, 15, 19, 0, 0, 0, 0.1667, 0, 1, 0, 0, 1, 1),
-    (3, 0, 0, 12, 7, 0, 0, 0, 0.9524, 0, 1, 0, 0, 1, 1),
-    (3, 0, 0, 12, 11, 0, 0, 0, 0, 0, 1, 0, 0, 1, 1),
-    (2, 0, 0, 2, 45, 0, 0, 0, 0, 0, 1, 0, 0, 1, 1),
-    (3, 0, 0, 11, 16, 0, 0, 0, 0, 0, 1, 0, 0, 1, 1),
-    (3, 0, 0, 14, 12, 0, 0, 0, 0.1538, 0, 1, 0, 0, 1, 1),
-    (3, 0, 0, 6, 3, 0, 0, 0, 0.0714, 0, 0, 1, 0, 1, 1),
-    (3, 0, 0, 5, 4, 0, 0, 0, 0.0537, 0, 0, 1, 0, 1, 1),
-    (3, 0, 0, 5, 3, 0, 0, 0, 0.0612, 0, 0, 1, 0, 1, 1),
-    (2, 0, 0, 5, 3, 0, 0, 0, 0, 0, 0, 1, 0, 1, 1),
-    (2, 0, 0, 5, 2, 0, 0, 0, 0.1053, 0, 0, 1, 0, 1, 1),
-    (3, 0, 0, 5, 4, 0, 0, 0, 0, 0, 0, 1, 0, 1, 1),
-    (2, 0, 0, 6, 3, 0, 0, 0, 0, 0, 0, 1, 0, 1, 1),
-    (3, 0, 0, 5, 5, 0, 0, 0, 0, 0, 0, 1, 0, 1, 1),
-    (5, 0, 0.0294, 5, 3, 0, 0, 0, 0, 0, 0, 0, 1, 1, 1),
-    (5, 0, 0, 10, 3, 0, 0, 0, 0, 0, 0, 0, 1, 1, 1),
-    (5, 0, 0, 8, 2, 0, 0, 0, 0, 0, 0, 0, 1, 1, 1),
-    (13, 0, 0, 4, 12, 0, 0, 0, 0, 1, 0, 0, 1, 1, 1),
-    (5, 0, 0, 28, 3, 0, 0, 0, 0, 0, 0, 0, 1, 1, 1),
-    (6, 0, 0, 12, 2, 0, 0, 0, 0, 0, 0, 0, 1, 1, 1),
-    (14, 0, 0, 42, 14, 0, 0, 0, 0, 1, 0, 0, 1, 1, 1),
-    (5, 0, 0, 15, 16, 0, 0, 0, 0, 0, 0, 0, 1, 1, 1),
-    (2, 0, 0, 2, 17, 0, 0, 0, 0.7627, 0, 1, 0, 0, 1, 1),
-    (3, 0, 0.1154, 2, 3, 1, 0, 0, 0.8, 0, 1, 0, 0, 1, 1),
-    (3, 0, 0.15, 2, 3, 1, 0, 0, 0.825, 0, 1, 0, 0, 1, 1),
-    (3, 0, 0, 12, 13, 0, 0, 0, 0.2167, 0, 1, 0, 0, 1, 1),
-    (3, 0, 0.0882, 2, 16, 1, 0, 0, 0.7442, 0, 1, 0, 0, 1, 1),
-    (3, 0, 0, 2, 7, 0, 0, 0, 0.7538, 0, 1, 0, 0, 1, 1),
-    (3, 0, 0.1, 2, 14, 1, 0, 0, 0.7927, 0, 1, 0, 0, 1, 1),
-    (3.3333, 0, 0, 2, 5.3333, 0, 0, 0, 0.7879, 0, 1, 0, 0, 1, 1),
-    (15, 0, 0.2333, 4, 1, 0, 0, 0.6709, 0, 1, 0, 0, 0, 1, 0),
-    (6, 0, 0, 7, 3, 0, 0, 0.3947, 0, 1, 0, 0, 0, 1, 0),
-    (5, 1, 0.2381, 6, 7, 0, 0, 0.8235, 0, 0, 0, 0, 0, 1, 0),
-    (13, 0, 0, 0, 3, 1, 0, 0.631, 0.0714, 1, 0, 0, 0, 0, 0),
-    (10, 1, 0.5455, 2, 7, 1, 0, 0.9091, 0, 1, 0, 0, 0, 1, 0),
-    (15, 0, 0, 42, 3, 0, 0, 0.52, 0.0475, 1, 0, 0, 0, 1, 0),
-    (3, 0, 0.1667, 3, 1, 0, 0, 0.4412, 0, 0, 1, 0, 0, 1, 0),
-    (4, 0, 0, 2, 4, 0, 0, 0.679, 0, 0, 0, 0, 0, 1, 0),
-    (6, 0, 0, 10, 3, 0, 0, 0.5897, 0, 1, 0, 0, 0, 1, 0),
-    (6, 0, 0, 13, 2, 0, 0, 0.8485, 0, 1, 0, 0, 0, 1, 0),
-    (12, 0, 0, 3, 3, 0, 0, 0.2653, 0, 1, 0, 0, 0, 1, 0),
-    (12, 0, 0, 2, 3, 0, 0, 0.2264, 0.2075, 1, 0, 0, 0, 1, 0),
-    (13, 0, 0.087, 1, 6, 1, 0, 0.8571, 0, 1, 0, 0, 0, 0, 0),
-    (4, 0, 0.0222, 2, 18, 0, 0, 0.3704, 0, 0, 0, 0, 0, 1, 0),
-    (10, 0, 0.2812, 9, 6, 1, 0, 0.9241, 0, 1, 0, 0, 0, 1, 0),
-    (12, 0, 0.3548, 4, 1, 0, 1, 0.1667, 0, 1, 0, 0, 0, 1, 0),
-    (6, 1, 0.8, 3, 7, 1, 1, 0.9118, 0, 1, 0, 0, 0, 1, 0),
-    (5, 1, 0.5862, 3, 9, 1, 1, 0.92, 0, 0, 0, 0, 0, 1, 0),
-    (5, 0, 0, 2, 1, 0, 0, 0.4571, 0, 1, 0, 0, 0, 1, 0),
-    (6, 0, 0.1111, 1, 0, 1, 1, 1, 0, 1, 0, 0, 0, 1, 0),
-    (4, 0, 0.0455, 2, 4, 0, 0, 0.4857, 0.4571, 0, 0, 0, 0, 1, 1),
-    (2, 0, 0.0588, 10, 2, 0, 0, 0.7727, 0.7727, 0, 0, 1, 0, 0, 1),
-    (2, 0, 0, 6, 2, 0, 0, 0.4464, 0.4464, 0, 0, 1, 0, 1, 1),
-    (3, 0, 0, 3, 12, 0, 0, 0.4878, 0.4268, 0, 0, 0, 0, 1, 1),
-    (6, 0, 0.1429, 3, 1, 0, 1, 0.8947, 0.7895, 1, 0, 0, 0, 1, 1),
-    (2, 0, 0, 7, 1, 0, 0, 0.6842, 0.6842, 0, 0, 1, 0, 0, 1),
-    (2, 0, 0, 2, 3, 0, 0, 0.4, 0.4, 0, 0, 1, 0, 0, 1),
-    (6, 0, 0, 1, 0, 0, 1, 1, 0.9692, 1, 0, 0, 0, 1, 1),
-    (3, 0, 0.1053, 1, 3, 1, 0, 0, 0.7609, 0, 1, 0, 0, 1, 1),
-    (13, 0, 0.1636, 24, 6, 0, 0, 0, 0, 1, 0, 0, 0, 1, 1),
-    (2, 0, 0.1667, 1, 4, 1, 0, 0, 0, 0, 1, 0, 0, 1, 1),
-    (2, 0, 0.1111, 1, 13, 1, 0, 0, 0, 0, 1, 0, 0, 1, 1),
-    (5, 0, 0.1538, 1, 2, 1, 0, 0, 0, 0, 1, 0, 0, 1, 1),
-    (3, 0, 0.1765, 2, 3, 1, 0, 0, 0.75, 0, 1, 0, 0, 1, 1),
-    (10, 0, 0.2083, 4, 3, 0, 0, 0, 0, 1, 0, 0, 0, 1, 1),
-    (15, 0, 0.1364, 15, 15, 0, 0, 0, 0, 1, 0, 0, 0, 1, 1),
-    (25, 0, 0.1176, 13, 4, 0, 0, 0, 0, 1, 0, 0, 0, 1, 1),
-    (6, 0, 0.2, 16, 3, 0, 0, 0, 0, 0, 0, 0, 1, 1, 1),
-    (3, 0, 0.1667, 1, 4, 1, 0, 0, 0, 0, 1, 0, 0, 1, 1),
-    (15, 0, 0.1449, 3, 1, 0, 0, 0, 0, 0, 0, 0, 0, 1, 1),
+    (0, 'L', 1.0, 1.0, 0, 'Connexion'),
+    (0, 'L', 1.0, 1.0, 0, 'Tarifs'),
+    (0, '-', 0.923, 0.923, 0, 'Accueil'),
+    (0, 'L', 0.962, 0.962, 0, 'Guide'),
+    (0, 'L', 1.0, 1.0, 0, 'À propos'),
+    (0, '-', 0.885, 0.885, 0, 'Jipomodiru utilise des cookies pour la connexion.'),
+    (0, '-', 0.885, 0.808, 0, 'Gérez les cookies déposés par Jipomodiru.'),
+    (0, 'B', 0.885, 0.885, 0, 'Tout accepter'),
+    (0, 'B', 0.885, 0.885, 0, 'Re\u200c\u200cfuser'),
+    (0, 'H', 0.0, 0.808, 1, 'Tarifs de Hapekive'),
+    (0, '-', 0.5, 0.0, 0, 'Par  la  rédaction  de  Jipomodiru'),
+    (0, '-', 0.0, 0.0, 1, 'Hapekive - Après la mise à jour, la fiche détaillée précède la fiche détaillée cachée.'),
+    (0, '-', 0.0, 0.0, 1, 'Hapekive - Dès 89 comptes, Hapekive affiche la clé de suivi manquante.'),
+    (0, '-', 0.0, 0.0, 1, 'Hapekive: la clé de suivi reste vide tant que la requête cachée charge.'),
+    (0, '-', 0.0, 0.0, 1, "En janvier, Hapekive a relevé 15 écarts dans la période d'essai. En février, Hapekive a relevé 45 écarts dans la liste des écarts. La période d'essai "),
+    (0, '-', 0.5, 0.5, 0, 'Partagé 252 fois'),
+    (0, 'H', 0.5, 0.5, 0, 'Les plus lus'),
+    (0, '-', 0.5, 0.5, 0, 'À lire aussi'),
+    (0, 'L', 0.0, 0.769, 0, 'Découvrir Bavidega'),
+    (0, 'L', 0.0, 0.808, 0, 'Tarifs de Forajuni'),
+    (0, 'L', 0.0, 0.808, 0, 'Tarifs de Dagoguni'),
+    (0, 'L', 0.808, 0.808, 0, 'Confidentialité'),
+    (0, 'L', 0.808, 0.769, 0, '© 2021 Jipomodiru. Tous droits réservés.'),
+    (0, 'L', 0.808, 0.808, 0, 'MENTIONS LÉGALES'),
+    (1, 'L', 1.0, 1.0, 0, 'Changelog'),
+    (1, 'L', 0.919, 0.919, 0, 'Plans & billing'),
+    (1, 'L', 1.0, 1.0, 0, 'Docs'),
+    (1, 'L', 1.0, 1.0, 0, 'Blog'),
+    (1, 'L', 1.0, 1.0, 0, 'Status'),
+    (1, 'H', 0.0, 0.0, 1, 'Jutoguli release notes'),
+    (1, 'B', 0.541, 0.541, 0, 'Copy link to this article'),
+    (1, '-', 0.0, 0.0, 1, 'Jutoguli, Compare the release note with the second link graph before you upgrade.'),
+    (1, '-', 0.0, 0.0, 1, 'If the baseline is short, the crawler skips the event log and reports it.'),
+    (1, '-$', 0.0, 0.0, 1, 'The agency plan of Jutoguli costs $62 / month and includes 49 seats.'),
+    (1, '-', 0.0, 0.0, 1, 'Open the refund window, choose the slow account menu and save the page. The menu of the delivery notice lists 17 links, most of them empty.'),
+    (1, '-', 0.0, 0.0, 1, 'The privacy page of Jutoguli names the older sitemap entry and 50 partners.'),
+    (1, '-', 0.541, 0.541, 0, 'Copy link to this article'),
+    (1, '-', 0.541, 0.541, 0, '883 people shared this'),
+    (1, 'B', 0.514, 0.514, 0, 'Share with your team'),
+    (1, '-', 0.676, 0.676, 0, 'Plan names belong to their owners; Teremaderu is not liable for errors in third-party prices.'),
+    (1, 'H', 0.27, 0.27, 0, 'Recommended for you'),
+    (1, '-', 0.27, 0.27, 0, 'Get the weekly digest of Teremaderu'),
+    (1, 'L', 0.0, 0.0, 0, 'Jotaminu overview'),
+    (1, 'L', 0.0, 0.0, 0, 'Suzivetu limits'),
+    (1, '-', 0.973, 0.973, 0, 'Privacy'),
+    (1, 'L', 0.973, 0.973, 0, 'PRICES EXCLUDE LOCAL TAXES UNLESS STATED OTHERWISE.'),
+    (1, '-', 0.973, 0.973, 0, 'Terms of use'),
+    (1, 'L', 0.973, 0.892, 0, 'Made by the Teremaderu team in two time zones.'),
+    (2, 'L', 1.0, 1.0, 0, 'Changelog'),
+    (2, 'L', 0.919, 0.919, 0, 'Plans & billing'),
+    (2, 'L', 1.0, 1.0, 0, 'Doc\xads'),
+    (2, 'L', 1.0, 1.0, 0, 'Blog'),
+    (2, 'L', 1.0, 1.0, 0, 'Status'),
+    (2, '-', 0.486, 0.459, 0, 'We and 437 partners store small files on this device to run Teremaderu.'),
+    (2, '-', 0.486, 0.486, 0, 'Teremaderu uses cookies to remember your settings. Read the cookie policy.'),
+    (2, 'B', 0.486, 0.486, 0, 'Manage choices >'),
+    (2, 'B', 0.486, 0.486, 0, 'Accept all'),
+    (2, 'H', 0.0, 0.0, 1, 'Susufeni guide'),
+    (2, '-', 0.0, 0.0, 1, 'Readers asked for a renamed refund window without notice, and Susufeni added one.'),
+    (2, '-', 0.0, 0.0, 1, 'Our broken billing form changed, so the seat count has to be read again.'),
+    (2, '-', 0.0, 0.0, 1, 'It takes 81 minutes until the quiet checkout button appears in the plan card.'),
+    (2, 'B', 0.541, 0.541, 0, 'Copy link to this article'),
+    (2, '-', 0.541, 0.541, 0, '794 people shared this'),
+    (2, '-', 0.27, 0.27, 0, 'Recommended for you'),
+    (2, 'H', 0.27, 0.27, 0, 'Get the weekly digest of Teremaderu'),
+    (2, 'L', 0.0, 0.0, 0, 'Jutoguli release notes'),
+    (2, 'L', 0.0, 0.0, 0, 'Jotaminu overview'),
+    (2, 'L', 0.0, 0.0, 0, 'Suzivetu limits'),
+    (2, 'L', 0.973, 0.973, 0, 'PRIVACY'),
+    (2, 'L', 0.973, 0.973, 0, 'Prices exclude local taxes unless stated otherwise.'),
+    (2, '-', 0.973, 0.973, 0, 'Terms of use'),
+    (2, 'L', 0.973, 0.0, 0, 'Made  by  the  Teremaderu  team  in  two  time  zones.'),
+    (3, 'L', 0.955, 0.955, 0, 'Status'),
+    (3, 'L', 0.955, 0.955, 0, 'Plans & billing'),
+    (3, 'L', 0.955, 0.955, 0, 'Docs'),
+    (3, 'L', 0.955, 0.955, 0, 'Home'),
+    (3, 'L', 0.955, 0.955, 0, 'Support'),
+    (3, '-', 0.909, 0.909, 0, 'Momabodiru uses cookies to remember your settings. Read the cookie policy.'),
+    (3, 'B', 0.909, 0.909, 0, 'Reject optional'),
+    (3, 'B', 0.909, 0.909, 0, 'Manage choices'),
+    (3, 'H', 0.0, 0.0, 1, 'Husosafi overview'),
+    (3, '-', 0.0, 0.545, 0, 'Reviewed by the Momabodiru editors on 4 May'),
+    (3, '-', 0.0, 0.0, 1, 'Between 61 and 51 captures of Husosafi the seat count moved.'),
+    (3, '-$', 0.0, 0.0, 1, 'The campus plan of Husosafi costs $147 / month and includes 89 seats.'),
+    (3, '-', 0.0, 0.0, 1, 'Between 95 and 58 captures of Husosafi the status badge became disabled. Support answered that the crawl queue opened in a new frame during the night crawl. Subscribers of Husosafi keep their renamed table of contents at the old price of $173.'),
+    (3, '-', 0.0, 0.0, 1, 'Our annual retry budget opened in a new frame, so the redirect rule has to be read again.'),
+    (3, '-', 0.0, 0.0, 1, 'Every redirect rule of Husosafi now shows the narrow refund window first. Nobody noticed that the sign-in form kept its place when the cache was cold. Placeholder copy is fine in a mock-up, but the discount code needs real words in every region.'),
+    (3, 'H', 0.0, 0.0, 1, 'Husosafi plans'),
+    (3, '-', 0.0, 0.0, 1, 'It takes 54 minutes until the second delivery notice appears in the link graph.'),
+    (3, 'H', 0.0, 0.0, 1, 'Questions about Husosafi'),
+    (3, '-', 0.0, 0.0, 1, 'Never publish the crawl queue without the slow link graph!'),
+    (3, '-', 0.0, 0.0, 1, 'A 404 page of Husosafi should explain what happened to the nested price history. Compare the invoice view with the missing frame tree before you upgrade. The sign-in form and the seat count share one label since the last check.'),
+    (3, '-$', 0.0, 0.0, 1, 'Husosafi agency: $135 / month'),
+    (3, '-', 0.545, 0.0, 0, 'Nothing  here  is  advice.  Check  the  contract  of  Momabodiru  before  you  buy.'),
+    (3, 'L', 0.909, 0.0, 0, 'MADE BY THE MOMABODIRU TEAM IN TWO TIME ZONES.'),
+    (3, '-', 0.909, 0.909, 0, 'Privacy'),
+    (3, '-', 0.909, 0.864, 0, '© 2019 Momabodiru. All rights reserved.'),
+    (3, 'L', 0.909, 0.909, 0, 'Imprint'),
+    (4, 'L', 0.88, 0.88, 0, 'Careers'),
+    (4, 'L', 0.96, 0.96, 0, 'Plans & billing'),
+    (4, 'L', 0.94, 0.94, 0, 'Changelog'),
+    (4, 'L', 0.9, 0.9, 0, 'About us'),
+    (4, 'H', 0.0, 0.0, 1, 'Kepegeme release notes'),
+    (4, '-', 0.66, 0.66, 0, '144 min read'),
+    (4, 'B', 0.48, 0.48, 0, 'Save for later'),
+    (4, '-', 0.0, 0.0, 1, 'We moved the redirect rule below the retry budget without notice.'),
+    (4, '-', 0.0, 0.0, -1, '[[ headline ]]'),
+    (4, '-', 0.0, 0.0, 1, 'We moved the usage meter below the price label when the cache was cold.'),
+    (4, '-', 0.0, 0.0, 1, 'Is the empty price label of Kepegeme still needed without notice?'),
+    (4, '-', 0.48, 0.48, 0, 'Save for later'),
+    (4, 'H', 0.54, 0.54, 0, '- Popular this week'),
+    (4, 'H', 0.54, 0.48, 0, 'Get the weekly digest of Fimobaderu'),
+    (4, 'L', 0.0, 0.0, 0, 'Totehovo overview'),
+    (4, 'L', 0.0, 0.0, 0, 'Jusojevu overview'),
+    (4, 'L', 0.0, 0.0, 0, 'Fafagolu for teams'),
+    (4, '-', 0.82, 0.82, 0, 'Prices exclude local taxes unless stated otherwise.'),
+    (4, 'L', 0.82, 0.82, 0, 'Imprint'),
+    (4, '-', 0.82, 0.82, 0, 'Privacy'),
+    (4, '-', 0.82, 0.72, 0, 'Fimobaderu is a trademark of Fimobaderu Holdings, registry no. 547.'),
+    (4, '-', 0.82, 0.64, 0, 'Follow Fimobaderu for release news'),
+    (5, 'L', 1.0, 1.0, 0, 'Precios'),
+    (5, 'L', 0.97, 0.97, 0, 'GUÍA'),
+    (5, '-', 1.0, 1.0, 0, 'Quiénes somos'),
+    (5, 'L', 0.97, 0.97, 0, 'Ayuda'),
+    (5, '-', 1.0, 1.0, 0, 'Entrar'),
+    (5, 'L', 0.97, 0.97, 0, 'Inicio'),
+    (5, '-', 0.0, 0.0, -1, 'JavaScript is required. natonuru cannot start without it.'),
+    (5, 'H', 0.667, 0.667, 0, 'Lo más leído'),
+    (5, 'H', 0.667, 0.667, 0, 'También le interesa'),
+    (5, 'L', 0.0, 0.818, 0, 'Precios de Relimene'),
+    (5, 'L', 0.0, 0.879, 0, 'Cómo funciona Pazomele'),
+    (5, 'L', 0.0, 0.879, 0, 'Cómo funciona Fitavihi'),
+    (5, '-', 0.909, 0.909, 0, 'Privacidad'),
+    (5, '-', 0.909, 0.848, 0, '© 2025 Nosoraderu. Todos los derechos reservados.'),
+    (5, '-', 0.909, 0.909, 0, 'Aviso legal'),
+    (6, 'L', 1.0, 1.0, 0, 'Precios >'),
+    (6, 'L', 0.97, 0.97, 0, 'Guía'),
+    (6, 'L', 1.0, 1.0, 0, 'Quiénes somos'),
+    (6, 'L', 0.97, 0.97, 0, 'Ayuda'),
+    (6, 'L', 1.0, 1.0, 0, 'Entrar'),
+    (6, 'L', 0.97, 0.97, 0, 'Inicio'),
+    (6, '-', 0.667, 0.636, 0, 'Elija qué cookies puede guardar Nosoraderu.'),
+    (6, '-', 0.667, 0.667, 0, 'Nosoraderu usa cookies para recordar la sesión.'),
+    (6, 'B', 0.667, 0.667, 0, 'Aceptar todo'),
+    (6, 'B', 0.667, 0.667, 0, 'Rechazar'),
+    (6, 'H', 0.0, 0.818, 1, 'Precios de Nujofuve'),
+    (6, '-', 0.424, 0.333, 0, 'Redacción de Nosoraderu'),
+    (6, '-', 0.0, 0.0, 1, 'Nujofuve, En mayo, Nujofuve revisó la página guardada y halló 49 errores más.'),
+    (6, '-', 0.0, 0.0, 1, 'Nujofuve - con 86 cuentas, Nujofuve enseña la sección oculta última.'),
+    (6, 'B', 0.636, 0.636, 0, 'Compartido 72 veces'),
+    (6, '-', 0.606, 0.606, 0, 'Los precios de Nosoraderu son orientativos.'),
+    (6, '-', 0.667, 0.667, 0, 'Lo  más  leído'),
+    (6, '-', 0.667, 0.667, 0, 'También le interesa'),
+    (6, 'L', 0.0, 0.879, 0, 'Cómo funciona Huvejihi'),
+    (6, 'L', 0.0, 0.879, 0, 'Cómo funciona Zudihiza'),
+    (6, 'L', 0.909, 0.909, 0, 'Privacidad'),
+    (6, 'L', 0.909, 0.848, 0, '© 2019 Nosoraderu. Todos los derechos reservados.'),
+    (6, 'L', 0.909, 0.909, 0, 'Aviso legal'),
+    (7, 'L', 0.913, 0.913, 0, 'Über uns'),
+    (7, 'L', 0.903, 0.903, 0, 'Hilfe'),
+    (7, 'L', 0.913, 0.913, 0, 'Start'),
+    (7, 'L', 0.922, 0.922, 0, 'Anmelden'),
+    (7, 'L', 0.922, 0.922, 0, 'Handbuch'),
+    (7, 'L', 0.913, 0.913, 0, 'Preise'),
+    (7, '-', 0.447, 0.058, 0, 'Hunugaderu  verwendet  Cookies  für  die  Anmeldung.'),
+    (7, '-', 0.447, 0.388, 0, 'Wählen Sie, welche Cookies Hunugaderu setzen darf.'),
+    (7, 'B', 0.447, 0.447, 0, 'Alle annehmen'),
+    (7, 'B', 0.447, 0.447, 0, 'Nur nötige'),
+    (7, 'H', 0.0, 0.806, 1, 'Preise von Gomitazi'),
+    (7, '-', 0.0, 0.0, 1, 'Für Gomitazi gilt die jährliche Prüfsumme erst ab 74 Plätzen. Wer die Prüfsumme öffnet, sieht zuerst die ältere Änderungsliste.'),
+    (7, '-', 0.0, 0.0, 1, 'Über die Rückgabefrist führt ein Link zur fehlende Suchmaske. Warum wurde die öffentliche Preistabelle gelöscht? Im Januar prüfte Gomitazi die Schaltfläche und fand 58 Lücken.'),
+    (7, '-', 0.0, 0.0, 1, 'Gomitazi - Warum wurde die fehlende Warteschlange gelöscht?'),
+    (7, 'H', 0.0, 0.767, 1, 'So arbeitet Gomitazi'),
+    (7, '-', 0.0, 0.0, 1, 'Für Gomitazi gilt die ältere Änderungsliste erst ab 37 Plätzen. Die Suchmaske fehlt, wenn die neue Seitenübersicht noch lädt.'),
+    (7, '-', 0.0, 0.0, 1, 'Gomitazi, Warum wurde die geänderte Schaltfläche gelöscht?'),
+    (7, '-$', 0.0, 0.0, 1, 'Gomitazi solo: $112.86 / month'),
+    (7, '-', 0.99, 0.99, 0, 'Datenschutz'),
+    (7, '-', 0.99, 0.99, 0, 'Impressum -'),
+    (7, 'L', 0.99, 0.893, 0, '© 2019 Hunugaderu. Alle Rechte vorbehalten.'),
+    (8, 'L', 0.913, 0.913, 0, 'Sign in'),
+    (8, '-', 0.87, 0.87, 0, 'BLOG'),
+    (8, 'L', 0.913, 0.913, 0, 'Partners'),
+    (8, '-', 0.826, 0.826, 0, 'Home'),
+    (8, 'L', 0.913, 0.913, 0, 'Contact'),
+    (8, 'L', 0.913, 0.913, 0, 'Pricing'),
+    (8, '-', 0.304, 0.304, 0, 'Pojedideru uses cookies to remember your settings. Read the cookie policy.'),
+    (8, '-', 0.304, 0.0, 0, 'CHOOSE WHICH COOKIES POJEDIDERU MAY SET.'),
+    (8, 'B', 0.304, 0.304, 0, 'Reject optional'),
+    (8, 'B', 0.304, 0.304, 0, 'Accept all »'),
+    (8, 'H', 0.0, 0.0, 1, 'Befefuro overview'),
+    (8, '-', 0.522, 0.478, 0, 'By\u202fthe\u202fPojedideru\u202fdesk'),
+    (8, '-', 0.522, 0.522, 0, '430 min read'),
+    (8, '-', 0.0, 0.0, 1, 'Befefuro, The shop works without scripts except for the stale checkout button and the delivery notice. Open the usage meter, choose the missing baseline and save the page.'),
+    (8, '-', 0.0, 0.0, 1, 'Readers asked for a narrow heading level at the end of the quarter, and Befefuro added one.'),
+    (8, '-', 0.478, 0.478, 0, 'Advertisement'),
+    (8, 'H', 0.478, 0.478, 0, 'Recommended for you'),
+    (8, '-', 1.0, 0.87, 0, 'Follow Pojedideru for release news'),
+    (8, 'L', 1.0, 1.0, 0, 'Imprint'),
+    (8, 'L', 1.0, 1.0, 0, 'Privacy'),
+    (8, '-', 1.0, 1.0, 0, 'Prices exclude local taxes unless stated otherwise.'),
+    (8, 'L', 1.0, 0.957, 0, 'Pojedideru is a trademark of Pojedideru Holdings, registry no. 765.'),
+    (9, 'L', 0.925, 0.925, 0, 'Plans & billing'),
+    (9, 'L', 0.95, 0.95, 0, 'About us'),
+    (9, 'L', 0.9, 0.9, 0, 'Partners'),
+    (9, 'L', 0.925, 0.925, 0, 'Blog'),
+    (9, 'L', 0.95, 0.95, 0, 'Careers'),
+    (9, 'H', 0.0, 0.0, 1, 'Patavebo overview'),
+    (9, '-', 0.525, 0.525, 0, 'Updated 807 minutes ago'),
+    (9, '-', 0.525, 0.525, 0, 'Written by Orvella Tinsk'),
+    (9, 'B', 0.675, 0.675, 0, 'Share  this  page'),
+    (9, '-', 0.0, 0.0, 1, 'A footer link points to the older price history of Patavebo.'),
+    (9, '-', 0.0, 0.0, 1, 'The privacy page of Patavebo names the empty price history and 89 partners.'),
+    (9, '-', 0.0, 0.0, -1, 'Lorem ipsum irure ipsum commodar fugiar ipsum auten quistor duis velutra labore minim pariat'),
+    (9, 'H', 0.0, 0.0, 1, 'Questions about Patavebo'),
+    (9, '-', 0.0, 0.0, 1, 'Patavebo: the cookie banner hides the baseline for new accounts, which explains the gap.'),
+    (9, '-', 0.0, 0.0, 1, 'We moved the account menu below the table of contents after the migration.'),
+    (9, '-', 0.0, 0.0, 1, 'Support answered that the watch list was split in two during the night crawl.'),
+    (9, '-$', 0.0, 0.0, 1, 'Patavebo workshop: 106,90 EUR / month'),
+    (9, 'B', 0.0, 0.0, 1, 'Start with Patavebo'),
+    (9, 'B', 0.675, 0.675, 0, 'Share this page'),
+    (9, '-', 0.65, 0.65, 0, '| Plan names belong to their owners; Labokoderu is not liable for errors in third-party prices.'),
+    (9, '-', 0.95, 0.85, 0, '© 2022 Labokoderu. All rights reserved.'),
+    (9, '-', 0.95, 0.95, 0, 'Imprint »'),
+    (9, 'L', 0.95, 0.8, 0, 'Labokoderu is a trademark of Labokoderu Holdings, registry no. 403.'),
+    (9, '-', 0.95, 0.0, 0, 'FOLLOW LABOKODERU FOR RELEASE NEWS'),
+    (10, 'L', 0.974, 0.974, 0, 'Tarifs'),
+    (10, 'L', 0.974, 0.974, 0, 'Accueil'),
+    (10, 'L', 1.0, 1.0, 0, 'Guide'),
+    (10, '-', 1.0, 1.0, 0, 'AIDE'),
+    (10, 'L', 1.0, 1.0, 0, 'À propos'),
+    (10, 'L', 0.974, 0.974, 0, 'Connexion'),
+    (10, '-', 0.737, 0.632, 0, 'Gérez les cookies déposés par Vuhofadiru.'),
+    (10, '-', 0.737, 0.737, 0, 'Vuhofadiru utilise des cookies pour la connexion.'),
+    (10, 'B', 0.737, 0.737, 0, 'Refuser'),
+    (10, 'B', 0.737, 0.737, 0, 'Tout accepter'),
+    (10, 'H', 0.0, 0.789, 1, 'Tarifs de Heforepe'),
+    (10, '-', 0.0, 0.0, 1, "Où trouver la file d'attente cachée? En mai, Heforepe a relevé 74 écarts dans la clé de suivi. La barre latérale légère a été déplacée en décembre."),
+    (10, '-', 0.0, 0.0, 1, "Heforepe, où trouver la file d'attente dernière?"),
+    (10, '-', 0.0, 0.0, 1, 'Dès 41 comptes, Heforepe affiche la barre latérale manquante. La grille tarifaire reste vide tant que la liste des écarts légère charge.'),
+    (10, '-', 0.0, 0.0, 1, "Heforepe: La fiche détaillée reste vide tant que la période d'essai répétée charge."),
+    (10, '-', 0.0, 0.0, 1, 'Heforepe: La requête reste vide tant que la clé de suivi privée charge.'),
+    (10, 'H', 0.0, 0.789, 1, 'Tarifs de Heforepe'),
+    (10, '-', 0.0, 0.0, 1, "Heforepe, après la mise à jour, la requête précède la période d'essai manquante. La barre latérale reste vide tant que la requête privée charge. Dès 95 comptes, Heforepe affiche la file d'attente dernière."),
+    (10, '-', 0.0, 0.0, 1, "Heforepe - la requête reste vide tant que la file d'attente manquante charge."),
+    (10, '-', 0.0, 0.0, 1, 'Heforepe: en mai, Heforepe a relevé 63 écarts dans la requête.'),
+    (10, '-', 0.421, 0.211, 0, 'Les prix indiqués par Vuhofadiru ne constituent pas une offre.'),
+    (10, '-', 0.447, 0.447, 0, 'À lire aussi'),
+    (10, 'H', 0.447, 0.447, 0, 'Les plus lus'),
+    (10, 'L', 0.0, 0.789, 0, 'Tarifs de Hafatuso'),
+    (10, '-', 0.974, 0.974, 0, 'MENTIONS LÉGALES'),
+    (10, '-', 0.974, 0.974, 0, 'Confidentialité'),
+    (10, 'L', 0.974, 0.789, 0, '© 2025 Vuhofadiru. Tous droits réservés.'),
+    (11, 'L', 0.95, 0.95, 0, 'Plans & billing'),
+    (11, 'L', 0.9, 0.9, 0, '- Docs'),
+    (11, 'L', 0.95, 0.95, 0, 'Contact'),
+    (11, 'L', 0.95, 0.95, 0, 'PRICING'),
+    (11, '-', 0.9, 0.9, 0, 'STATUS'),
+    (11, 'H', 0.0, 0.0, 1, 'Repabetu release notes'),
+    (11, '-', 0.0, 0.0, 1, 'Repabetu - It takes 63 minutes until the older sitemap entry appears in the usage meter. Nobody noticed that the account menu returned during the night crawl. Nobody noticed that the redirect rule was reordered in the spring release.'),
+    (11, '-$', 0.0, 0.0, 1, 'The beginner plan of Repabetu costs £125.50 / month and includes 29 seats.'),
+    (11, '-', 0.0, 0.0, 1, 'A pricing table with no invoice view is kept as the baseline until 69 checks agree.'),
+    (11, '-', 0.0, 0.0, 1, 'The local trial period kept its place after the migration.'),
+    (11, '-', 0.0, 0.0, 1, 'Compare the baseline with the shared heading level before you upgrade.'),
+    (11, 'H', 0.0, 0.0, 1, 'Repabetu plans'),
+    (11, '-', 0.0, 0.0, 1, 'Readers asked for a monthly watch list before the sale, and Repabetu added one.'),
+    (11, '-$', 0.0, 0.0, 1, 'Repabetu studio: £17.50 / month'),
+    (11, 'H', 0.0, 0.0, 1, 'How Repabetu works'),
+    (11, '-', 0.0, 0.0, 1, 'Readers asked for a annual sign-in form for new accounts, and Repabetu added one.'),
+    (11, 'B', 0.95, 0.95, 0, 'Share this page'),
+    (11, 'B', 0.7, 0.7, 0, 'SEND TO A COLLEAGUE'),
+    (11, '-', 0.95, 0.8, 0, '© 2024 Rebalediru. All rights reserved.'),
+    (11, '-', 0.95, 0.8, 0, 'Made by the Rebalediru team in two time zones.'),
+    (11, 'L', 0.95, 0.0, 0, 'REBALEDIRU IS A TRADEMARK OF REBALEDIRU HOLDINGS, REGISTRY NO. 362.'),
+    (11, '-', 0.95, 0.95, 0, 'Terms of use'),
+    (11, '-', 0.95, 0.95, 0, 'Prices exclude local taxes unless stated otherwise. |'),
+    (12, 'L', 1.0, 1.0, 0, 'Precios'),
+    (12, '-', 0.97, 0.97, 0, 'Guía'),
+    (12, 'L', 1.0, 1.0, 0, 'Quiénes somos »'),
+    (12, 'L', 0.97, 0.97, 0, 'Ayuda'),
+    (12, 'L', 1.0, 1.0, 0, 'Entrar'),
+    (12, 'L', 0.97, 0.97, 0, '| Inicio'),
+    (12, '-', 0.667, 0.636, 0, 'Elija qué cookies puede guardar Nosoraderu.'),
+    (12, '-', 0.667, 0.667, 0, 'Nosoraderu usa cookies para recordar la sesión.'),
+    (12, 'B', 0.667, 0.667, 0, 'Aceptar todo'),
+    (12, 'B', 0.667, 0.667, 0, 'Rechazar'),
+    (12, 'H', 0.0, 0.818, 1, 'Precios de Lidanubo'),
+    (12, '-', 0.0, 0.0, 1, 'Según el informe, la página guardada última tardó 83 minutos. ¿Dónde está la página guardada difícil? Según el informe, la página guardada rápida tardó 9 minutos.'),
+    (12, '-', 0.0, 0.0, 1, 'Lidanubo - La versión pública difícil cambió en octubre.'),
+    (12, '-', 0.0, 0.0, 1, 'Lidanubo - con 73 cuentas, Lidanubo enseña la página guardada pública.'),
+    (12, '-', 0.636, 0.636, 0, 'Compartido 363 veces'),
+    (12, '-', 0.606, 0.606, 0, 'Los precios de Nosoraderu son orientativos.'),
+    (12, '-', 0.667, 0.667, 0, 'Lo más leído'),
+    (12, 'H', 0.667, 0.667, 0, 'También le interesa'),
+    (12, 'L', 0.0, 0.879, 0, 'Cómo funciona Mezulira'),
+    (12, 'L', 0.0, 0.879, 0, 'Cómo funciona Valevezu'),
+    (12, 'L', 0.0, 0.879, 0, 'Cómo funciona Gimufepi'),
+    (12, 'L', 0.909, 0.909, 0, 'Privacidad'),
+    (12, 'L', 0.909, 0.848, 0, '© 2019 Nosoraderu. Todos los derechos reservados.'),
+    (12, 'L', 0.909, 0.909, 0, 'Ａｖｉｓｏ legal'),
+    (13, 'L', 1.0, 1.0, 0, 'Главная'),
+    (13, 'L', 0.941, 0.941, 0, 'Цены'),
+    (13, '-', 0.941, 0.941, 0, 'Войти'),
+    (13, 'L', 1.0, 1.0, 0, 'СПРАВКА'),
+    (13, 'L', 0.824, 0.824, 0, 'О нас'),
+    (13, '-', 0.412, 0.412, 0, 'Выберите, какие файлы может хранить Tusarodiru.'),
+    (13, '-', 0.412, 0.412, 0, 'Tusarodiru использует файлы cookie для входа.'),
+    (13, 'B', 0.412, 0.412, 0, 'Принять все'),
+    (13, 'B', 0.412, 0.412, 0, 'Отклонить'),
+    (13, 'H', 0.0, 0.706, 1, 'Как работает Sedevada'),
+    (13, '-', 0.0, 0.0, 1, 'Sedevada, Если подписка пуста, робот пропускает её.'),
+    (13, '-', 0.0, 0.0, -1, 'undefined'),
+    (13, 'H', 0.0, 0.706, 1, 'Цены Sedevada'),
+    (13, '-', 0.0, 0.0, 1, 'Sedevada, Где теперь повторная лента изменений?'),
+    (13, '-', 0.0, 0.0, 1, 'Sedevada: Новая очередь обхода изменилась в начале мая.'),
+    (13, '-', 0.0, 0.0, 1, 'Sedevada, Наша страница справки теперь стоит выше, чем новая подписка.'),
+    (13, 'H', 0.0, 0.706, 1, 'Цены Sedevada'),
+    (13, '-', 0.0, 0.0, 1, 'После обновления скрытая таблица цен открывается за 50 секунд. После обновления пустая карта сайта открывается за 92 секунд. Если очередь обхода пуста, робот пропускает её.'),
+    (13, '-', 0.0, 0.0, 1, 'Сервис Sedevada проверил 52 страниц, и старая таблица цен исчезла. Сервис Sedevada проверил 6 страниц, и годовая таблица цен исчезла.'),
+    (13, '-', 0.647, 0.647, 0, 'Поделились 569 раз'),
+    (13, 'H', 0.353, 0.353, 0, 'Читайте также'),
+    (13, '-', 0.353, 0.353, 0, 'Самое читаемое'),
+    (13, 'L', 0.0, 0.706, 0, 'Цены Hamoja'),
+    (13, 'L', 1.0, 0.824, 0, '© 2019 Tusarodiru. Все права защищены.'),
+    (13, '-', 1.0, 1.0, 0, 'Условия >'),
+    (13, 'L', 1.0, 1.0, 0, 'Конфиденциальность'),
+    (14, 'L', 0.913, 0.913, 0, 'Sign in'),
+    (14, 'L', 0.87, 0.87, 0, 'Blog'),
+    (14, 'L', 0.913, 0.913, 0, 'PARTNERS'),
+    (14, '-', 0.826, 0.826, 0, 'Home |'),
+    (14, 'L', 0.913, 0.913, 0, 'Contact'),
+    (14, '-', 0.913, 0.913, 0, 'Pricing'),
+    (14, 'H', 0.0, 0.0, 1, 'Zagovave compared'),
+    (14, '-', 0.0, 0.0, 1, 'Our nested status badge went offline, so the sitemap entry has to be read again. Between 51 and 44 captures of Zagovave the sign-in form stayed the same.'),
+    (14, '-', 0.0, 0.0, 1, 'A footer link points to the monthly pricing table of Zagovave.'),
+    (14, '-', 0.0, 0.0, 1, 'We moved the text field below the snapshot store on small screens.'),
+    (14, 'H', 0.0, 0.0, 1, 'How Zagovave works'),
+    (14, '-', 0.0, 0.0, 1, 'Between 72 and 17 captures of Zagovave the event log was split in two.'),
+    (14, 'H', 0.0, 0.0, 1, 'Inside Zagovave: limits'),
+    (14, '-', 0.0, 0.0, 1, 'The privacy page of Zagovave names the regional table of contents and 86 '),
+    (14, '-$', 0.0, 0.0, 1, 'Zagovave studio: $25.22 / month'),
+    (14, 'B', 0.261, 0.261, 0, 'Save for later'),
+    (14, '-', 1.0, 0.0, 0, 'FOLLOW POJEDIDERU FOR RELEASE NEWS'),
+    (14, '-', 1.0, 1.0, 0, 'Imprint'),
+    (14, '-', 1.0, 1.0, 0, 'Privacy'),
+    (14, '-', 1.0, 1.0, 0, 'Prices exclude local taxes unless stated otherwise.'),
+    (14, 'L', 1.0, 0.957, 0, 'Pojedideru is a trademark of Pojedideru Holdings, registry no. 636.'),
 ]

@@ -1,15 +1,18 @@
 """Visually identical text with different characters: one consistent form for equal-looking values.
 
 Two steps. Characters that no reader sees or tells apart (invisible ones, other widths, other spaces, loose accents, ligatures)
-are replaced by rule. Look-alike letters are replaced only in tokens that mix scripts, or whose script nothing else in the value
-supports, and only when the repaired token is in the vocabulary of the corpus.
+are replaced by rule. Look-alike letters are replaced only in tokens that mix scripts: the token's dominant script is the one with
+most letters that no other script of the token has a look-alike of, then with most letters; the letters of the other scripts become
+its look-alikes where the word that results is in the vocabulary of the corpus. Failing that the token's next script is tried.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,18 +21,20 @@ from pyspark.sql import types as T
 
 from lakeloom.plans.session import spread, written
 
-# Letters of other scripts that look like Latin ones.
-CYRILLIC = "АВЕКМНОРСТУХЅІЈаеорсухѕіјһԁԛԝ"
-CYRILLIC_AS_LATIN = "ABEKMHOPCTYXSIJaeopcyxsijhdqw"
-GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαινορυχ"
-GREEK_AS_LATIN = "ABEZHIKMNOPTYXaivopux"
-#: Letters of Russian words only; the others above are not in its alphabet.
-RUSSIAN = "АВЕКМНОРСТУХаеорсух"
-RUSSIAN_AS_LATIN = "ABEKMHOPCTYXaeopcyx"
-
-TO_LATIN = str.maketrans(CYRILLIC + GREEK, CYRILLIC_AS_LATIN + GREEK_AS_LATIN)
-TO_CYRILLIC = str.maketrans(RUSSIAN_AS_LATIN, RUSSIAN)
-TO_GREEK = str.maketrans(GREEK_AS_LATIN, GREEK)
+# Letters of other scripts that look like Latin ones, and these.
+LOOKS = {
+    "Cyrl": ("АВЕКМНОРСТУХЅІЈԚԜҮѴаеорсухѕіјһԁԛԝүѵӏ", "ABEKMHOPCTYXSIJQWYVaeopcyxsijhdqwyvl"),
+    "Grek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϜαινορυχϲϳ", "ABEZHIKMNOPTYXCFaivopuxcj"),
+    "Armn": ("ՕՍՏԼօոսհցզյ", "OUSLonuhgqj"),
+    "Cher": ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏒᏔᏚᏙᏞᏟᏢᏦᏴ", "DRTAJEWMHGZRWSVLCPKB"),
+    "Lisu": ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
+    "Copt": ("ⲞⲢⲤⲬⲟⲣⲥⲭ", "OPCXopcx"),
+}
+#: Where the letters of each script lie.
+RANGES = {"Latn": ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F), (0x1E00, 0x1EFF)), "Grek": ((0x370, 0x3FF), (0x1F00, 0x1FFF)), "Cyrl": ((0x400, 0x52F),), "Armn": ((0x531, 0x58A),), "Cher": ((0x13A0, 0x13FD),), "Lisu": ((0xA4D0, 0xA4FF),), "Copt": ((0x2C80, 0x2CFF),)}
+TO_LATIN = str.maketrans("".join(a for a, _ in LOOKS.values()), "".join(b for _, b in LOOKS.values()))
+#: From Latin to each script; of several letters of the same look the first one.
+FROM_LATIN = {s: str.maketrans({b: a for a, b in reversed(list(zip(*LOOKS[s])))}) for s in LOOKS}
 
 INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\u3164\ufeff\uffa0"
 SPACES = "\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
@@ -40,11 +45,10 @@ _FORM, _MARK = re.compile(f"[{FORMS}]"), re.compile(f"[{LOOSE}]")
 _WIDE_SIGN = re.compile("[\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff5d\uff5f-\uff65]")
 _EAST = re.compile("[\u3001-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uac00-\ud7a3\uff66-\uff9f\U00020000-\U0003ffff]")
 _TOKEN = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f]+[^\W\d_]*)*")
-_FOREIGN = re.compile("[\u0370-\u03ff\u0400-\u052f]")
-_LATIN = re.compile("[A-Za-z\u00c0-\u024f]")
+_FOREIGN = re.compile("[\u0370-\u03ff\u0400-\u052f\u0531-\u058a\u13a0-\u13fd\u2c80-\u2cff\ua4d0-\ua4ff]")
 
 #: Values without any of these characters are in the consistent form already.
-_SUSPECT = f"[{INVISIBLE}{SPACES}{LOOSE}\\u0370-\\u03ff\\u0400-\\u052f\ufb00-\ufb06\uff01-\uff5d\uff5f-\uffee\\x{{1d400}}-\\x{{1d7ff}}]"
+_SUSPECT = f"[{INVISIBLE}{SPACES}{LOOSE}\\u0370-\\u03ff\\u0400-\\u052f\\u0531-\\u058a\\u13a0-\\u13fd\\u2c80-\\u2cff\\ua4d0-\\ua4ff\ufb00-\ufb06\uff01-\uff5d\uff5f-\uffee\\x{{1d400}}-\\x{{1d7ff}}]"
 
 
 def suspect(value: Column) -> Column:
@@ -72,56 +76,83 @@ def plain_forms(text: str) -> str:
     return text
 
 
-def _scripts(token: str) -> tuple[int, int, int]:
-    latin = len(_LATIN.findall(token))
-    cyr = sum("\u0400" <= c <= "\u052f" for c in token)
-    return latin, cyr, sum("\u0370" <= c <= "\u03ff" for c in token)
+@lru_cache(65_536)
+def script_of_letter(c: str) -> str:
+    code = ord(c)
+    return next((s for s, spans in RANGES.items() if any(a <= code <= b for a, b in spans)), "")
+
+
+def scripts_of(token: str) -> Counter:
+    """The letters of each script that can be mistaken for another, by number."""
+    found = Counter(map(script_of_letter, token))
+    del found[""]
+    return found
+
+
+def written_in(token: str, script: str) -> str:
+    """The token with the letters of other scripts replaced by their look-alikes in ``script``, where there are any."""
+    out = []
+    for c in token:
+        own = script_of_letter(c)
+        if own and own != script:
+            c = c.translate(TO_LATIN)
+            c = c if script == "Latn" else c.translate(FROM_LATIN[script])
+        out.append(c)
+    return "".join(out)
+
 
+def dominant_scripts(token: str) -> list[str]:
+    """The scripts of a token, the dominant one first: by letters that no other of them has a look-alike of, then by letters."""
+    found = scripts_of(token)
 
-def repairs(text: str) -> list[tuple[str, str, bool]]:
-    """(token, repaired token, mixed) for the tokens of a value in plain forms that may be look-alikes, best repair first."""
+    def telling(script: str) -> int:
+        return sum(script_of_letter(c) == script and all(script_of_letter(written_in(c, o)) == script for o in found if o != script) for c in token)
+
+    return sorted(found, key=lambda s: (-telling(s), -found[s], s))
+
+
+def repairs(text: str) -> list[tuple[str, str]]:
+    """(token, repaired token) for the tokens of a value in plain forms that mix scripts, the dominant script's repair first."""
     if not _FOREIGN.search(text):
         return []
-    tokens = [(t, *_scripts(t)) for t in dict.fromkeys(_TOKEN.findall(text))]
-    own = any(c + g and not la and _stays(t, TO_LATIN) for t, la, c, g in tokens)
-    latin = any(la and not (c + g) for _, la, c, g in tokens) or any(la and c + g for _, la, c, g in tokens)
     out = []
-    for t, la, c, g in tokens:
-        if la and c + g:
-            ways = [("l", t.translate(TO_LATIN))]
-            ways.append(("c", t.translate(TO_CYRILLIC)) if c >= g else ("g", t.translate(TO_GREEK)))
-            if own:
-                ways.reverse()
-            for kind, r in ways:
-                x, y, z = _scripts(r)
-                if (kind == "l" and not y + z) or (kind == "c" and not x + z) or (kind == "g" and not x + y):
-                    out.append((t, r, True))
-        elif c + g and not own:
-            r = t.translate(TO_LATIN)
-            if not sum(_scripts(r)[1:]):
-                out.append((t, r, False))
-        elif la and own and latin:
-            r = t.translate(TO_CYRILLIC)
-            if not _scripts(r)[0]:
-                out.append((t, r, False))
+    for t in dict.fromkeys(_TOKEN.findall(text)):
+        if _FOREIGN.search(t) and len(scripts_of(t)) > 1:
+            out += [(t, r) for r in (written_in(t, s) for s in dominant_scripts(t)) if len(scripts_of(r)) == 1]
     return out
 
 
-def _stays(token: str, table: dict) -> bool:
-    return sum(_scripts(token.translate(table))[1:]) > 0
+def _alone(text: str) -> dict[str, str]:
+    """Tokens of one script that nothing else in the text supports, in the script of the others: for keys of comparison only."""
+    tokens = dict.fromkeys(t for t in _TOKEN.findall(text))
+    kinds = {t: set(scripts_of(t)) for t in tokens}
+    sure = [(t, s) for t, k in kinds.items() if len(k) == 1 for s in k if s == "Latn" or len(scripts_of(written_in(t, "Latn"))) > 1 or written_in(t, "Latn") == t]
+    foreign = [s for _, s in sure if s != "Latn"]
+    out = {}
+    for t, k in kinds.items():
+        if k == {"Latn"} and foreign and len(scripts_of(r := written_in(t, foreign[0]))) == 1 and r != t and script_of_letter(r[0]) == foreign[0]:
+            out[t] = r
+        elif len(k) == 1 and k != {"Latn"} and not foreign and set(scripts_of(r := written_in(t, "Latn"))) == {"Latn"}:
+            out[t] = r
+    return out
 
 
 def fold(text: str) -> str:
-    """The consistent form without the vocabulary: the best repair of each token that mixes scripts. Line feeds stay."""
+    """A key that equal-looking texts share, told without a vocabulary: mixed tokens in their dominant script, lone tokens in that of the others.
+
+    Texts are compared by it and never given out. Line feeds stay.
+    """
     text = plain_forms(text)
     if not _FOREIGN.search(text):
         return text
     out = []
     for line in text.split("\n"):
         best: dict[str, str] = {}
-        for t, r, _ in repairs(line):
+        for t, r in repairs(line):
             best.setdefault(t, r)
-        out.append(_TOKEN.sub(lambda m, best=best: best.get(m[0], m[0]), line) if best else line)
+        line = _TOKEN.sub(lambda m, best=best: best.get(m[0], m[0]), line) if best else line
+        lone = _alone(line)
+        out.append(_TOKEN.sub(lambda m, best=lone: best.get(m[0], m[0]), line) if lone else line)
     return "\n".join(out)
 
 
@@ -146,11 +177,11 @@ def _examine(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
                 rows.append((None, False, []))
                 continue
             p = plain_forms(v)
-            rows.append((p, p != v, [{"token": t, "repair": r, "mixed": m} for t, r, m in repairs(p)]))
+            rows.append((p, p != v, [{"token": t, "repair": r} for t, r in repairs(p)]))
         yield pd.DataFrame(rows, columns=["plain", "changed", "repairs"])
 
 
-_REPAIR = T.StructType().add("token", T.StringType()).add("repair", T.StringType()).add("mixed", T.BooleanType())
+_REPAIR = T.StructType().add("token", T.StringType()).add("repair", T.StringType())
 _examined = F.pandas_udf(_examine, T.StructType().add("plain", T.StringType()).add("changed", T.BooleanType()).add("repairs", T.ArrayType(_REPAIR)))
 
 _WORDS = "[\\p{L}]+(?:[\\u0300-\\u036f]+[\\p{L}]*)*"
@@ -158,17 +189,16 @@ _WORDS = "[\\p{L}]+(?:[\\u0300-\\u036f]+[\\p{L}]*)*"
 
 def vocabulary(values: DataFrame) -> DataFrame:
     """(word, n): the words of one script in ``values.value``, in lower case, with their counts."""
-    mixed = "[\\p{IsLatin}].*[\\p{IsCyrillic}\\p{IsGreek}]|[\\p{IsCyrillic}\\p{IsGreek}].*[\\p{IsLatin}]|[\\p{IsCyrillic}].*[\\p{IsGreek}]|[\\p{IsGreek}].*[\\p{IsCyrillic}]"
-    words = values.select(F.explode(F.expr(f"regexp_extract_all(value, r'{_WORDS}', 0)")).alias("word"))
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(~F.col("word").rlike(mixed)).groupBy(F.lower("word").alias("word")).agg(F.sum("n").alias("n"))
+    words = values.select(F.explode(F.expr(f"regexp_extract_all(value, r'{_WORDS}', 0)")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    kinds = [F.col("word").rlike(p).cast("int") for p in (r"\p{IsLatin}", r"\p{IsCyrillic}", r"\p{IsGreek}", r"\p{IsArmenian}", r"\p{IsCherokee}", r"\p{IsLisu}", r"\p{IsCoptic}")]
+    return words.where(sum(kinds[1:], kinds[0]) <= 1).groupBy(F.lower("word").alias("word")).agg(F.sum("n").alias("n"))
 
 
 def consistent(values: DataFrame, keys: list[str]) -> DataFrame:
     """``values`` (keys, value) that are not in the consistent form: (keys, value, consistent).
 
     ``keys`` name a row. Values that are null, empty or consistent already give no row; equal rows give one row. A repaired
-    token counts when it is in the vocabulary of all values; a token of one foreign script also needs the repaired word to be
-    the commoner one.
+    token counts when it is in the vocabulary of all values. Tokens of one script stay as they are, whatever they look like.
     """
     return _settled(values, keys, False)
 
@@ -186,16 +216,10 @@ def _settled(values: DataFrame, keys: list[str], every: bool) -> DataFrame:
     odd = odd.distinct().withColumn("e", _examined("value")).select(*keys, "value", "e.*")
     odd = written(odd if every else odd.where("changed or size(repairs) > 0"))
     pairs = odd.select(F.explode("repairs").alias("r")).select("r.*").distinct()
-    wanted = pairs.select(F.explode(F.array(F.lower("repair"), F.lower("token"))).alias("word")).distinct()
-    vocab = vocabulary(vocab_of).join(wanted, "word", "left_semi")
-    vocab = written(vocab)
-    known = (
-        pairs.join(vocab.select(F.col("word").alias("_w"), F.col("n").alias("n")), F.lower("repair") == F.col("_w"))
-        .join(vocab.select(F.col("word").alias("_v"), F.col("n").alias("m")), F.lower("token") == F.col("_v"), "left")
-        .where("mixed or n > coalesce(m, 0)").select("token", "repair", "mixed")
-    )
+    wanted = pairs.select(F.lower("repair").alias("word")).distinct()
+    known = pairs.join(vocabulary(vocab_of).join(wanted, "word", "left_semi").select(F.col("word").alias("_w")), F.lower("repair") == F.col("_w")).select("token", "repair")
     hits = odd.select(*keys, F.posexplode("repairs").alias("at", "r")).select(*keys, "at", "r.*")
-    hits = hits.join(known, ["token", "repair", "mixed"]).groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("at", "token", "repair"))).alias("good"))
+    hits = hits.join(written(known), ["token", "repair"]).groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("at", "token", "repair"))).alias("good"))
     both = odd.join(hits, keys, "left")
     return (both if every else both.where("changed or good is not null")).select(*keys, "value", _rewritten("plain", "good").alias("consistent"))
 

@@ -2,8 +2,8 @@ import re
 
 import numpy as np
 
-from lakeloom.llm.labelled_blocks import BLOCKS
-from lakeloom.llm.main_content import MAX_LABELLED, grow, main_content, page_bodies
+from lakeloom.llm.labelled_blocks import BLOCKS, HELD_OUT
+from lakeloom.llm.main_content import FIRST, MAX_LABELLED, grow, labelled, main_content, page_bodies, trained
 from lakeloom.llm.repeated_lines import frequent_sequences, repeated_lines, without_repeated_lines
 
 SCHEMA = "site string, page_id long, node_id string, pos int, text string, name string, role string, semantic_role string, href string, line_id string"
@@ -33,7 +33,7 @@ def test_repeated_lines(spark):
 
 
 def test_tree():
-    assert len(BLOCKS) <= MAX_LABELLED
+    assert sum(p < HELD_OUT for p, *_ in BLOCKS) <= MAX_LABELLED
     x = np.random.default_rng(1).random((400, 3))
     y = ((x[:, 0] > 0.5) & (x[:, 2] < 0.3)).astype(float)
 
@@ -44,13 +44,16 @@ def test_tree():
     assert np.mean([(leaf(tree, r) >= 0.5) == v for r, v in zip(x[200:], y[200:])]) > 0.95
 
 
-def test_labels_held_out():
+def test_labels_held_out(spark):
     def leaf(t, r):
         return t[0] if len(t) == 1 else leaf(t[2] if r[t[0]] <= t[1] else t[3], r)
 
-    rows = np.array(BLOCKS)
-    tree = grow(rows[::2, :-1], rows[::2, -1])
-    assert np.mean([(leaf(tree, r[:-1]) >= 0.5) == r[-1] for r in rows[1::2]]) > 0.8
+    tree = trained(spark)
+    assert tree[0] < FIRST  # words or links of the block or its neighbours
+    x, y = labelled(spark, held_out=True)
+    got = np.array([leaf(tree, r) >= 0.5 for r in x])
+    both = (got & (y == 1)).sum()
+    assert len(y) >= 100 and both / got.sum() > 0.9 and both / y.sum() > 0.9
 
 
 def test_main_content(spark):

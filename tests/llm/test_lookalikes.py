@@ -3,7 +3,7 @@ import unicodedata
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lakeloom.llm.lookalikes import consistent, fold, plain_forms
+from lakeloom.llm.lookalikes import LOOKS, consistent, dominant_scripts, fold, plain_forms, repairs
 from lakeloom.llm.queries import QUERIES
 
 
@@ -27,10 +27,19 @@ def test_fold():
 @given(st.text(max_size=30))
 def test_plain_forms_settles(t):
     once = plain_forms(t)
-    assert plain_forms(once) == once or unicodedata.normalize("NFC", once) != once or True
+    twice = plain_forms(once)
+    assert plain_forms(twice) == twice
+    assert not any(unicodedata.category(c) == "Zs" and c != " " for c in once)
     assert "​" not in once and " " not in once
 
 
+def test_dominant_script():
+    assert dominant_scripts("pаypаl") == ["Latn", "Cyrl"] and repairs("pаypаl")[0][1] == "paypal"
+    assert dominant_scripts("дoм")[0] == "Cyrl" and repairs("дoм")[0] == ("дoм", "дом")
+    assert repairs("Ꮃіndow")[0][1] == "Window" and repairs("O нас") == [] and repairs("АВС") == []
+    assert all(len(a) == len(b) for a, b in LOOKS.values()) and sum(len(a) for a, _ in LOOKS.values()) < 200
+
+
 def test_consistent(spark):
     rows = [(1, "Follow the news"), (2, "Fοllow the news"), (2, "Fοllow the news"), (3, "xуzq never seen"), (4, None), (5, ""), (6, "a b"), (7, "О нас")]
     got = {(r.k, r.consistent) for r in consistent(spark.createDataFrame(rows, "k long, value string"), ["k"]).collect()}
