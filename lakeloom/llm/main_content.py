@@ -18,9 +18,9 @@ from lakeloom.llm.residue import is_residue
 from lakeloom.plans.session import spread, written
 
 #: The bound of the labelled sample: rows that the tree is grown on.
-MAX_LABELLED = 300
-MAX_DEPTH = 5
-MIN_LEAF = 5
+MAX_LABELLED = 400
+MAX_DEPTH = 6
+MIN_LEAF = 3
 #: Top levels of the tree that look at the first features only: words and link density of a block and its neighbours.
 FIRST_LEVELS, FIRST = 1, 7
 

@@ -4,7 +4,8 @@ Words are counted behind their two predecessors: how often another word follows
 there. A value without a final mark whose last trigram is frequent inside but almost never ends anything was cut; words that begin
 with the last one count as inside, so that a cut inside a word is found. Where the trigram says too little, the last two words
 decide; a last word that is nowhere followed by another is held against the longer words it begins. Names (capitals inside a sentence, Latin words in other scripts) count as one word, digit runs too.
-Scripts that put no spaces are counted by characters, six and four of them.
+Scripts that put no spaces are counted by characters, six and four of them. What counts as frequent grows with the corpus.
+The one step that is no SQL comes last: of the values found, those that are template residue are left to that problem.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.lookalikes import folded
+from lakeloom.llm.lookalikes import INVISIBLE, SPACES
 from lakeloom.llm.residue import is_residue
 from lakeloom.plans.session import spread, written
 
@@ -20,8 +21,10 @@ from lakeloom.plans.session import spread, written
 MAX_END_SHARE = 0.3
 #: The same where the other field of the node goes on behind the cut.
 MAX_END_SHARE_SEEN = 0.65
-#: How many occurrences elsewhere a level needs to decide.
-MIN_SEEN = 2
+#: How many occurrences elsewhere a level needs to decide: this share of all counted words, and two at least.
+MIN_RATE, MIN_SEEN = 2e-8, 2
+#: Letters of a word; a longer run of letters and digits is several words.
+LONGEST_WORD = 64
 
 # Scripts without spaces, and others next to which a Latin word is a name; final marks; what is put behind a cut;
 # signs that decorate a label's end; names.
@@ -51,9 +54,9 @@ def _s(text: str) -> str:
 _PREPARED = f"""
 SELECT hash, weight, at_cut, ended, if(at_cut OR NOT ended, value, NULL) AS value,
        concat(array('^', '^'), regexp_extract_all(regexp_replace(lower(regexp_replace(bare, {_r(_NAME)}, '¤')), '[0-9]+', '0'),
-              {_r(_DENSE + r"|[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]")}, 0)) AS t,
+              {_r(_DENSE + rf"|[\p{{L}}\p{{M}}\p{{N}}]{{1,{LONGEST_WORD}}}|[^\s\p{{L}}\p{{M}}\p{{N}}]")}, 0)) AS t,
        if(bare RLIKE '.[A-Z]|[A-Z][a-z].*[^ -~]', transform(regexp_extract_all(bare, {_r(_NAME)}, 0), x -> lower(x)), array()) AS names,
-       lower(regexp_extract(right(bare, 40), {_r(r"([\p{L}\p{M}\p{N}]+)$")}, 1)) AS last
+       lower(regexp_extract(right(bare, {LONGEST_WORD}), {_r(r"([\p{L}\p{M}\p{N}]+)$")}, 1)) AS last
 FROM (SELECT *, TRIM(TRAILING {_s(_DECOR)} FROM if(at_cut, regexp_replace(fold, {_r(_CUT)}, ''), fold)) AS bare,
              instr('{_FINAL}', right(TRIM(TRAILING {_s(_CLOSERS)} FROM fold), 1)) > 0 AND length(fold) > 0 AS ended
       FROM (SELECT *, right(fold, 16) RLIKE {_r(_CUT)} AS at_cut FROM {{rows}}))
@@ -84,22 +87,25 @@ WITH lasts AS (SELECT DISTINCT ctx, w, last, {_SHORT} AS short FROM {{lasts}}),
 g3 AS (SELECT ctx, w, {_SHORT} AS short, n, ends FROM {{grams}}),
 g2 AS (SELECT short, w, sum(n) AS n, sum(ends) AS ends FROM g3 GROUP BY short, w),
 named AS (SELECT x AS w, sum(m) AS n, sum(if(x = last, m, 0)) AS ends FROM (SELECT explode(names) AS x, last, weight AS m FROM {{prepared}}) GROUP BY x),
+-- Values that end in a sign have no last word: they are spread over 64 keys that name nothing.
+many AS (SELECT greatest({{min_seen}}, ceil({{min_rate}} * sum(n))) AS least FROM {{grams}}),
+lasts1 AS (SELECT DISTINCT if(last = '', concat('\0', pmod(hash(ctx, w), 64)), last) AS last FROM lasts),
 g1 AS (SELECT w, sum(n) AS n, sum(ends) AS ends FROM (SELECT w, n, ends FROM g2 UNION ALL SELECT w, n, ends FROM named) GROUP BY w),
 p3 AS (SELECT ctx, w, sum(n) AS longer FROM (SELECT ctx, n, {_STEMS} FROM g3 LEFT SEMI JOIN (SELECT DISTINCT ctx FROM lasts) l USING (ctx) WHERE length(w) > 1) GROUP BY ctx, w),
 p2 AS (SELECT short, w, sum(n) AS longer FROM (SELECT short, n, {_STEMS} FROM g2 LEFT SEMI JOIN (SELECT DISTINCT short FROM lasts) l USING (short) WHERE length(w) > 1) GROUP BY short, w),
-p1 AS (SELECT w, sum(n) AS longer FROM (SELECT n, {_STEMS} FROM g1 WHERE length(w) > 1) GROUP BY w),
+p1 AS (SELECT w, sum(n) AS longer FROM (SELECT n, {_STEMS} FROM g1 WHERE length(w) > 1) LEFT SEMI JOIN (SELECT last AS w FROM lasts1) USING (w) GROUP BY w),
+one AS (SELECT l.last, coalesce(g1.n, 0) - coalesce(g1.ends, 0) AS in1, coalesce(g1.ends, 0) AS e1, coalesce(p1.longer, 0) AS l1 FROM lasts1 l LEFT JOIN g1 ON l.last = g1.w LEFT JOIN p1 ON l.last = p1.w),
 known AS (
   SELECT l.ctx, l.w, l.last, coalesce(g3.n, 0) AS n3, coalesce(p3.longer, 0) AS l3, coalesce(g3.ends, 0) AS e3,
-         coalesce(g2.n, 0) AS n2, coalesce(p2.longer, 0) AS l2, coalesce(g2.ends, 0) AS e2, coalesce(g1.n, 0) - coalesce(g1.ends, 0) AS in1, coalesce(g1.ends, 0) AS e1, coalesce(p1.longer, 0) AS l1
-  FROM lasts l LEFT JOIN g3 ON l.ctx = g3.ctx AND l.w = g3.w LEFT JOIN g2 ON l.short = g2.short AND l.w = g2.w
-       LEFT JOIN p3 ON l.ctx = p3.ctx AND l.w = p3.w LEFT JOIN p2 ON l.short = p2.short AND l.w = p2.w
-       LEFT JOIN g1 ON l.last = g1.w LEFT JOIN p1 ON l.last = p1.w)
+         coalesce(g2.n, 0) AS n2, coalesce(p2.longer, 0) AS l2, coalesce(g2.ends, 0) AS e2, o.in1, o.e1, o.l1
+  FROM (SELECT *, if(last = '', concat('\0', pmod(hash(ctx, w), 64)), last) AS last1 FROM lasts) l LEFT JOIN g3 ON l.ctx = g3.ctx AND l.w = g3.w LEFT JOIN g2 ON l.short = g2.short AND l.w = g2.w
+       LEFT JOIN p3 ON l.ctx = p3.ctx AND l.w = p3.w LEFT JOIN p2 ON l.short = p2.short AND l.w = p2.w JOIN one o ON l.last1 = o.last)
 SELECT ctx, w, last, share FROM (
   SELECT *, CASE WHEN last <> '' AND in1 = 0 AND l1 > 0 THEN
                    CASE WHEN w = '¤' THEN e1 / (e1 + l1) WHEN l3 > 0 THEN e3 / (e3 + l3) WHEN l2 > 0 THEN e2 / (e2 + l2) WHEN e3 <= 4 THEN e1 / (e1 + l1) ELSE 1 END
                  WHEN ctx = '^ ^' THEN 1
-                 WHEN n3 + l3 - 1 >= {{min_seen}} THEN e3 / (n3 + l3)
-                 WHEN n2 + l2 - 1 >= {{min_seen}} THEN e2 / (n2 + l2) ELSE 1 END AS share FROM known)
+                 WHEN n3 + l3 - 1 >= (SELECT least FROM many) THEN e3 / (n3 + l3)
+                 WHEN n2 + l2 - 1 >= (SELECT least FROM many) THEN e2 / (n2 + l2) ELSE 1 END AS share FROM known)
 WHERE share <= {{share}}
 """
 
@@ -114,7 +120,7 @@ def _values(nodes: DataFrame) -> DataFrame:
     return rows.select("site", "page_id", "node_id", "v.*").where("value is not null and trim(value) <> ''")
 
 
-def truncated_values(nodes: DataFrame, share: float = MAX_END_SHARE, min_seen: int = MIN_SEEN) -> DataFrame:
+def truncated_values(nodes: DataFrame, share: float = MAX_END_SHARE, min_seen: int = MIN_SEEN, min_rate: float = MIN_RATE) -> DataFrame:
     """(page_id, node_id, field): values of ``text`` and ``name`` whose end was lost.
 
     nodes: page_id, node_id, text, name; other columns are left aside. Null, empty and blank values are no cases, nor are values
@@ -123,11 +129,11 @@ def truncated_values(nodes: DataFrame, share: float = MAX_END_SHARE, min_seen: i
     """
     spark = nodes.sparkSession
     rows = _values(nodes).withColumn("hash", F.xxhash64("value"))
-    once = rows.groupBy("hash", "value").agg(F.sum(F.size("fields")).alias("weight")).withColumn("fold", folded(F.col("value")))
+    once = rows.groupBy("hash", "value").agg(F.sum(F.size("fields")).alias("weight")).withColumn("fold", F.regexp_replace(F.regexp_replace("value", f"[{INVISIBLE}]", ""), f"[{SPACES}]", " "))
     prepared = written(spark.sql(_PREPARED, rows=once))
     grams = written(spark.sql(_GRAMS, prepared=prepared))
     lasts = spark.sql(_LASTS, prepared=prepared)
-    judged = spark.sql(_JUDGED, prepared=prepared, lasts=lasts, grams=grams, share=max(share, MAX_END_SHARE_SEEN), min_seen=min_seen)
+    judged = spark.sql(_JUDGED, prepared=prepared, lasts=lasts, grams=grams, share=max(share, MAX_END_SHARE_SEEN), min_seen=min_seen, min_rate=min_rate)
     by_words = lasts.join(judged, ["ctx", "w", "last"]).select("hash", "value", (F.col("share") > share).alias("doubtful"))
     marked = prepared.where("at_cut").select("hash", "value", F.lit(False).alias("doubtful"))
     cut = by_words.unionByName(marked).where(~is_residue(F.col("value"))).groupBy("hash").agg(F.min("doubtful").alias("doubtful"))
