@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -99,32 +100,47 @@ def snapshot_changes(snapshots: DataFrame) -> DataFrame:
     )
 
 
+def _reads(node: dict) -> str | None:
+    """What a node reads as: the name of a control, else its text, else its name."""
+    return node.get("name") if node.get("interactive") else node.get("text") or node.get("name")
+
+
 def _change_texts(before: pd.Series, after: pd.Series) -> pd.DataFrame:
     out = []
     for b, a in zip(before, after):
-        x, y = ([n for n in (canonical_document(t) or {"nodes": []})["nodes"]] for t in (b, a))
-        left, right = [_dump(n) for n in x], [_dump(n) for n in y]
-        keep = [], []
-        for nodes, own, other, to in ((x, left, right, keep[0]), (y, right, left, keep[1])):
-            rest = list(other)
-            for node, d in zip(nodes, own):
-                if d in rest:
-                    rest.remove(d)
-                elif isinstance(node, dict) and (node.get("name") if node.get("interactive") else node.get("text") or node.get("name")):
-                    to.append((str(node.get("id", "")), str(node.get("name") if node.get("interactive") else node.get("text") or node.get("name"))))
-        out.append(["\n".join(t for _, t in sorted(k, key=lambda p: (len(p[0]), p[0]))) or None for k in keep])
+        sides = [[(n, _dump(n)) for n in (canonical_document(t) or {"nodes": []})["nodes"]] for t in (b, a)]
+        texts = []
+        for own, other in (sides, sides[::-1]):
+            rest, kept = Counter(d for _, d in other), []
+            for node, d in own:
+                if rest[d] > 0:
+                    rest[d] -= 1
+                elif isinstance(node, dict) and _reads(node):
+                    kept.append((len(str(node.get("id", ""))), str(node.get("id", "")), str(_reads(node))))
+            texts.append("\n".join(t for _, _, t in sorted(kept)) or None)
+        out.append(texts)
     return pd.DataFrame(out, columns=["before_text", "after_text"])
 
 
+def changed_documents(snapshots: DataFrame, changes: DataFrame) -> DataFrame:
+    """(watch_key, print, document): one document for each fingerprint that ``changes`` (watch_key, before_print, after_print) names.
+
+    Only the deliveries of keys that changed are read and told by their fingerprints again; the others are left out before.
+    """
+    wanted = changes.select("watch_key", F.explode(F.array_compact(F.array("before_print", "after_print"))).alias("print")).distinct()
+    docs = snapshots.where("document is not null and watch_key is not null").select(F.lower("watch_key").alias("watch_key"), "document")
+    docs = docs.join(wanted.select("watch_key").distinct(), "watch_key", "left_semi").withColumn("print", fingerprint("document"))
+    return docs.join(wanted, ["watch_key", "print"], "left_semi").groupBy("watch_key", "print").agg(F.max("document").alias("document"))
+
+
 def snapshot_change_texts(snapshots: DataFrame) -> DataFrame:
     """The changes with what stood before and after: the texts of the nodes that differ, one a line, in node order.
 
     watch_key, from_no, to_no, change_kind, before_text, after_text. Added keys have no text before, removed ones none after.
     """
     texts = F.pandas_udf(_change_texts, "before_text string, after_text string")
-    changes = snapshot_changes(snapshots)
-    docs = snapshots.where("document is not null and watch_key is not null").select(F.lower("watch_key").alias("watch_key"), "document", fingerprint("document").alias("print"))
-    docs = docs.where("print is not null").groupBy("watch_key", "print").agg(F.max("document").alias("document"))
+    changes = written(snapshot_changes(snapshots))
+    docs = written(changed_documents(snapshots, changes))
     b = docs.select("watch_key", F.col("print").alias("before_print"), F.col("document").alias("before"))
     a = docs.select("watch_key", F.col("print").alias("after_print"), F.col("document").alias("after"))
     both = changes.join(b, ["watch_key", "before_print"], "left").join(a, ["watch_key", "after_print"], "left")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakeloom.functions import text as T
 from lakeloom.functions import values as V
 from lakeloom.operators.facts import changes, unmatched
+from lakeloom.operators.feeds import feed_document
 from lakeloom.operators.vectors import ranked
 from lakeloom.page_queries import _score, _tokens
 from lakeloom.plans.registry import query
@@ -130,20 +131,27 @@ def watch_keys(spark: SparkSession, d: str) -> DataFrame:
 _X = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
 
 
-@query("feed_rss", f"""SELECT lower(watch_key) AS watch_key, string_agg('<item><guid isPermaLink="false">' || event_id || '</guid><title>' || event_type || '</title><link>' || {_X.format('url')} || '</link><pubDate>' || strftime(event_at, '%a, %d %b %Y %H:%M:%S GMT') || '</pubDate><description>' || {_X.format("coalesce(context, '') || ': ' || coalesce(before_text, '(added)') || ' → ' || coalesce(after_text, '(removed)')")} || '</description></item>', '' ORDER BY event_at DESC, event_id) AS items
-  FROM {_EVENTS} GROUP BY lower(watch_key)""")
+_FEED = f"(SELECT *, row_number() OVER (PARTITION BY lower(watch_key) ORDER BY event_at DESC, event_id) AS n FROM {_EVENTS})"
+_TOLD = _X.format("coalesce(context, '') || ': ' || coalesce(before_text, '(added)') || ' → ' || coalesce(after_text, '(removed)')")
+
+
+def _newest(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("key").orderBy(F.desc("event_at"), "event_id")
+    return _events(spark, d).withColumn("key", F.lower("watch_key")).withColumn("n", F.row_number().over(w)).withColumn("site", F.max("url").over(Window.partitionBy("key")))
+
+
+@query("feed_rss", f"""SELECT lower(watch_key) AS watch_key, '<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel><title>pricing changes</title><link>' || {_X.format('max(url)')} || '</link><description>Significant semantic changes</description>' ||
+  string_agg('<item><guid isPermaLink="false">' || event_id || '</guid><title>' || event_type || '</title><link>' || {_X.format('url')} || '</link><pubDate>' || strftime(event_at, '%a, %d %b %Y %H:%M:%S GMT') || '</pubDate><description>' || {_TOLD} || '</description></item>', '' ORDER BY n) || '</channel></rss>' AS body
+  FROM {_FEED} WHERE n <= 100 GROUP BY lower(watch_key)""")
 def feed_rss(spark: SparkSession, d: str) -> DataFrame:
-    told = V.escaped_xml(F.concat(F.coalesce("context", F.lit("")), F.lit(": "), F.coalesce("before_text", F.lit("(added)")), F.lit(" → "), F.coalesce("after_text", F.lit("(removed)"))))
-    item = F.concat(F.lit('<item><guid isPermaLink="false">'), "event_id", F.lit("</guid><title>"), V.escaped_xml(F.col("event_type")), F.lit("</title><link>"), V.escaped_xml(F.col("url")), F.lit("</link><pubDate>"), F.date_format("event_at", "EEE, dd MMM yyyy HH:mm:ss 'GMT'"), F.lit("</pubDate><description>"), told, F.lit("</description></item>"))
-    rows = _events(spark, d).select(F.lower("watch_key").alias("watch_key"), F.struct((-F.unix_micros(F.col("event_at").cast("timestamp"))).alias("at"), "event_id", item.alias("item")).alias("x"))
-    return rows.groupBy("watch_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["item"]), "").alias("items"))
+    return feed_document(_newest(spark, d), "key", F.lit("pricing changes"), F.col("site")).withColumnRenamed("key", "watch_key")
 
 
-@query("feed_atom", f"""SELECT lower(watch_key) AS watch_key, max(event_at) AS updated, count(*) AS entries, string_agg('<entry><id>urn:uuid:' || event_id || '</id><title>' || event_type || '</title><link href="' || {_X.format('url')} || '"/></entry>', '' ORDER BY event_at DESC, event_id) AS body FROM {_EVENTS} GROUP BY lower(watch_key)""")
+@query("feed_atom", f"""SELECT lower(watch_key) AS watch_key, '<?xml version="1.0" encoding="UTF-8"?><feed xmlns="http://www.w3.org/2005/Atom"><id>' || {_X.format('max(url)')} || '</id><title>pricing changes</title><updated>' || strftime(max(event_at), '%Y-%m-%dT%H:%M:%S.%g') || 'Z</updated><link href="' || {_X.format('max(url)')} || '"/>' ||
+  string_agg('<entry><id>urn:uuid:' || event_id || '</id><title>' || event_type || '</title><updated>' || strftime(event_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z</updated><link href="' || {_X.format('url')} || '"/><content type="text">' || {_TOLD} || '</content><author><name>lakeloom</name></author></entry>', '' ORDER BY n) || '</feed>' AS body
+  FROM {_FEED} WHERE n <= 100 GROUP BY lower(watch_key)""")
 def feed_atom(spark: SparkSession, d: str) -> DataFrame:
-    entry = F.concat(F.lit("<entry><id>urn:uuid:"), "event_id", F.lit("</id><title>"), V.escaped_xml(F.col("event_type")), F.lit('</title><link href="'), V.escaped_xml(F.col("url")), F.lit('"/></entry>'))
-    rows = _events(spark, d).select(F.lower("watch_key").alias("watch_key"), "event_at", F.struct((-F.unix_micros(F.col("event_at").cast("timestamp"))).alias("at"), "event_id", entry.alias("e")).alias("x"))
-    return rows.groupBy("watch_key").agg(F.max("event_at").alias("updated"), F.count(F.lit(1)).alias("entries"), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["e"]), "").alias("body"))
+    return feed_document(_newest(spark, d), "key", F.lit("pricing changes"), F.col("site"), "atom").withColumnRenamed("key", "watch_key")
 
 
 _CACHE = "(SELECT user_id AS key, max(ts) AS updated, arg_max(event_id, (ts, event_id)) AS value FROM events GROUP BY user_id)"
