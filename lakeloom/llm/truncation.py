@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.lookalikes import INVISIBLE, SPACES
+from lakeloom.llm.lookalikes import INVISIBLE, LOOKS, SPACES
 from lakeloom.llm.residue import is_residue
 from lakeloom.plans.session import spread, written
 
@@ -37,6 +37,11 @@ _CLOSERS = _DECOR + "”’』」）)]"
 _NAME = rf"\p{{Lu}}(?:(?<=[\p{{L}}\p{{N}}('’\x22«] .|{_OTHER}.)\p{{Ll}}{{2,}}|[a-z]{{2,}}(?= ?{_OTHER}))"
 
 
+#: Lower-case letters that look like Latin ones in either case, and these; wide signs and the ordinary ones.
+_LOOK = {a.lower(): b.lower() for letters, latin in LOOKS.values() for a, b in sorted(zip(letters, latin), key=lambda p: p[0].islower()) if len(a.lower()) == 1}
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))
+
+
 def _r(regex: str) -> str:
     """A raw SQL literal, braces doubled for the formatter of ``spark.sql``."""
     return 'r"' + regex.replace('"', r"\x22").replace("{", "{{").replace("}", "}}") + '"'
@@ -51,15 +56,25 @@ def _s(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\t", "\\t") + "'"
 
 
+_LOOKING = "[" + "".join(sorted(_LOOK)) + "".join(sorted({a for letters, _ in LOOKS.values() for a in letters} - set(_LOOK))) + "]"
+
+
+def _plain(word: str) -> str:
+    """A word that mixes scripts in Latin letters."""
+    return f"if({word} RLIKE '[a-z]', translate({word}, {_s(''.join(_LOOK))}, {_s(''.join(_LOOK.values()))}), {word})"
+
+
 _PREPARED = f"""
-SELECT hash, weight, at_cut, ended, if(at_cut OR NOT ended, value, NULL) AS value,
+SELECT hash, weight, at_cut, ended, value, names,
+       if(mixed, transform(t, w -> {_plain("w")}), t) AS t, if(mixed, {_plain("last")}, last) AS last
+FROM (SELECT hash, weight, at_cut, ended, if(at_cut OR NOT ended, value, NULL) AS value, bare RLIKE {_r("[A-Za-z]")} AND bare RLIKE {_r(_LOOKING)} AS mixed,
        concat(array('^', '^'), regexp_extract_all(regexp_replace(lower(regexp_replace(bare, {_r(_NAME)}, '¤')), '[0-9]+', '0'),
               {_r(_DENSE + rf"|[\p{{L}}\p{{M}}\p{{N}}]{{1,{LONGEST_WORD}}}|[^\s\p{{L}}\p{{M}}\p{{N}}]")}, 0)) AS t,
        if(bare RLIKE '.[A-Z]|[A-Z][a-z].*[^ -~]', transform(regexp_extract_all(bare, {_r(_NAME)}, 0), x -> lower(x)), array()) AS names,
        lower(regexp_extract(right(bare, {LONGEST_WORD}), {_r(r"([\p{L}\p{M}\p{N}]+)$")}, 1)) AS last
 FROM (SELECT *, TRIM(TRAILING {_s(_DECOR)} FROM if(at_cut, regexp_replace(fold, {_r(_CUT)}, ''), fold)) AS bare,
              instr('{_FINAL}', right(TRIM(TRAILING {_s(_CLOSERS)} FROM fold), 1)) > 0 AND length(fold) > 0 AS ended
-      FROM (SELECT *, right(fold, 16) RLIKE {_r(_CUT)} AS at_cut FROM {{rows}}))
+      FROM (SELECT *, right(fold, 16) RLIKE {_r(_CUT)} AS at_cut FROM {{rows}})))
 """
 
 # One row for each word and what stands before it: how often, and how often it ends a sentence or value there.
@@ -129,7 +144,7 @@ def truncated_values(nodes: DataFrame, share: float = MAX_END_SHARE, min_seen: i
     """
     spark = nodes.sparkSession
     rows = _values(nodes).withColumn("hash", F.xxhash64("value"))
-    once = rows.groupBy("hash", "value").agg(F.sum(F.size("fields")).alias("weight")).withColumn("fold", F.regexp_replace(F.regexp_replace("value", f"[{INVISIBLE}]", ""), f"[{SPACES}]", " "))
+    once = rows.groupBy("hash", "value").agg(F.sum(F.size("fields")).alias("weight")).withColumn("fold", F.regexp_replace(F.regexp_replace("value", f"[{INVISIBLE}]", ""), f"[{SPACES}]", " ")).withColumn("fold", F.translate("fold", *_WIDE))
     prepared = written(spark.sql(_PREPARED, rows=once))
     grams = written(spark.sql(_GRAMS, prepared=prepared))
     lasts = spark.sql(_LASTS, prepared=prepared)
