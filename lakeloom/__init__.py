@@ -1,3 +1,3 @@
 """Semantic page analytics on Spark: operators over tables of captured pages."""
 
-__version__ = "0.1.0"
+__version__ = "0.2.0"

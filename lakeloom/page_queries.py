@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from lakeloom.functions import text as T
 from lakeloom.functions import urls as U
 from lakeloom.functions import values as V
+from lakeloom.functions.privacy import redacted
+from lakeloom.functions.urls import redacted_url
+from lakeloom.operators.discover import Discovered, DiscoverOptions, PageTable, discover
 from lakeloom.operators.extract import ExtractOptions, extract, extract_report, extracted, rendered
 from lakeloom.sources.pages import documents, parsed_nodes
+from lakeloom.operators.locate import locate
 from lakeloom.plans.registry import query
 from lakeloom.plans.tables import table
 
@@ -262,7 +266,7 @@ _RE2 = {
 
 @query("redact_text", f"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '{_RE2['secret']}', '\\1=[REDACTED]', 'g'), '{_RE2['mail']}', '[REDACTED EMAIL]', 'g')) AS redacted FROM documents WHERE text IS NOT NULL")
 def redact_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(V.redacted(F.col("text"))).alias("redacted"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(redacted(F.col("text"))).alias("redacted"))
 
 
 @query("pii_flags", f"SELECT doc_id, regexp_matches(text, '{_RE2['mail']}') AS has_mail, regexp_matches(text, '{_RE2['secret']}') AS has_secret FROM documents WHERE text IS NOT NULL")
@@ -286,3 +290,43 @@ def state_json(spark: SparkSession, d: str) -> DataFrame:
     link = F.coalesce(F.concat(F.lit('"'), F.regexp_replace("href", r'(["\\])', r"\\$1"), F.lit('"')), F.lit("null"))
     state = F.concat(F.lit("["), link, F.lit(","), flag("disabled"), F.lit(","), flag("checked"), F.lit(","), flag("expanded"), F.lit("]"))
     return table(spark, d, "page_nodes").select("page_id", "node_id", "href", "disabled", "checked", "expanded").distinct().select("page_id", "node_id", state.alias("state"))
+
+
+_CONTROL = "concat_ws(' ', coalesce(name, ''), coalesce(role, ''), coalesce(semantic_role, ''), coalesce(context, ''))"
+_LOCATE_SCORE = f"""CASE WHEN NOT list_has_any(t, ['checkout', 'purchase', 'buy', 'complete', 'pay', 'payment']) THEN 0 WHEN {_score('buy', 't')} = 0 THEN 0 ELSE {_score('buy', 't')} END"""
+
+
+@query("locate_controls", f"""WITH n AS (SELECT DISTINCT ON (page_id, node_id) * FROM page_nodes),
+c AS (SELECT page_id, node_id, pos, name, role, {_LOCATE_SCORE} AS score FROM (SELECT *, {_tokens(_CONTROL)} AS t FROM n WHERE interactive AND NOT coalesce(disabled, false))),
+r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos, node_id) AS k FROM c),
+b AS (SELECT page_id, max(CASE WHEN k = 1 THEN node_id END) AS node_id, max(CASE WHEN k = 1 THEN score END) AS s1, max(CASE WHEN k = 2 THEN score END) AS s2 FROM r GROUP BY page_id),
+w AS (SELECT page_id, node_id, disabled, visibility, frame_path, unnest([{{'no': 0, 'kind': 'test_id', 'value': locator.test_id, 'role': NULL::VARCHAR}}, {{'no': 1, 'kind': 'html_id', 'value': locator.html_id, 'role': NULL}}, {{'no': 2, 'kind': 'role', 'value': name, 'role': role}}, {{'no': 3, 'kind': 'css', 'value': locator.css, 'role': NULL}}]) AS w FROM n),
+u AS (SELECT page_id, w.no AS no, w.kind AS kind, max(node_id) AS node_id FROM w WHERE w.value <> '' GROUP BY page_id, w.no, w.kind, w.value, w.role, coalesce(frame_path, []) HAVING count(*) = 1 AND NOT max(coalesce(disabled, false)) AND max(coalesce(visibility, '')) <> 'hidden'),
+f AS (SELECT page_id, node_id, arg_min(kind, no) AS kind FROM u GROUP BY page_id, node_id)
+SELECT p.page_id, b.node_id, CASE WHEN b.node_id IS NULL THEN 'none' WHEN b.s1 < 0.35 THEN 'weak' WHEN b.s1 - b.s2 < 0.15 THEN 'ambiguous' WHEN f.kind IS NULL THEN 'changed' ELSE 'found' END AS status, f.kind, round(b.s1, 9) AS confidence
+FROM (SELECT DISTINCT page_id FROM n) p LEFT JOIN b ON p.page_id = b.page_id LEFT JOIN f ON f.page_id = b.page_id AND f.node_id = b.node_id""")
+def locate_controls(spark: SparkSession, d: str) -> DataFrame:
+    """The control that 'buy' names on each page, and the first way that leads to it alone."""
+    return locate(table(spark, d, "page_nodes"), "buy").found.select("page_id", "node_id", "status", "kind", F.round("confidence", 9).alias("confidence"))
+
+
+@query("discover_site")
+def discover_site(spark: SparkSession, d: str) -> DataFrame:
+    """A crawl of the captured pages of the largest site from its first page; links made of the captured pages' own URLs stand for its menus."""
+    pages = _pages(spark, d).join(table(spark, d, "crawl_pages").select("page_id", "site").distinct(), "page_id")
+    site = pages.groupBy("site").count().orderBy(F.desc("count"), "site").first()
+    own = pages.where(F.col("site") == (site["site"] if site else "")).withColumn("canonical", U.canonical_url(F.col("url")))
+    start = own.agg(F.min("canonical")).first()[0]
+    if start is None:
+        return Discovered().frame(spark)
+    nodes = table(spark, d, "page_nodes").join(own.select("page_id"), "page_id", "left_semi").select("page_id", "node_id", "pos", "name", "context", "href", "text", "children")
+    menu = own.where(F.col("canonical") != start).select("canonical", "title").limit(1000)  # a menu of the start page, MAX_QUEUE of the crawl
+    first = own.where(F.col("canonical") == start).select("page_id").limit(1)
+    more = menu.withColumn("page_id", F.lit(first.first()["page_id"]))
+    links = more.select("page_id", F.concat(F.lit("menu-"), F.xxhash64("canonical").cast("string")).alias("node_id"), F.lit(1_000_000).alias("pos"), F.col("title").alias("name"), F.lit("").alias("context"), F.col("canonical").alias("href"), F.lit("").alias("text"), F.array().cast("array<string>").alias("children"))
+    return discover(PageTable(own.select("page_id", "url", "title"), nodes.unionByName(links)), DiscoverOptions(start, "pricing plans", max_pages=20, concurrency=4, delay_ms=0)).frame(spark)
+
+
+@query("redact_urls", f"SELECT page_id, url, {_URL.replace('(.*)$', '([^#]*)')} AS redacted FROM (SELECT DISTINCT page_id, url FROM crawl_pages)")
+def redact_urls(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "crawl_pages").select("page_id", "url").distinct().withColumn("redacted", redacted_url(F.col("url")))

@@ -9,7 +9,7 @@ from lakeloom.functions import text as T
 from lakeloom.functions import values as V
 from lakeloom.operators.facts import changes, unmatched
 from lakeloom.operators.feeds import feed_document
-from lakeloom.operators.vectors import ranked
+from lakeloom.operators.vectors import build_index, ranked, recall, searched
 from lakeloom.page_queries import _score, _tokens
 from lakeloom.plans.registry import query
 from lakeloom.plans.tables import table
@@ -189,6 +189,25 @@ def embedding_rank(spark: SparkSession, d: str) -> DataFrame:
     return _top(spark, d).where("n <= 10").select("query_id", "vec_id", "score", "n")
 
 
+def _queries(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    return e.where("vec_id % 20 = 0"), e
+
+
+@query("embedding_search")
+def embedding_search(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest by the index, which holds every vector."""
+    q, e = _queries(spark, d)
+    return searched(q, build_index(e)).select("query_id", "vec_id", "score", "n")
+
+
+@query("embedding_recall", "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0 AND embedding IS NOT NULL")
+def embedding_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the index finds at least nine of ten exact neighbours, over all stated queries."""
+    q, e = _queries(spark, d)
+    return recall(searched(q, build_index(e)), ranked(q, e)).select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
 @query("rerank_max", f"""SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM (
   SELECT query_id, vec_id, greatest(score, CASE WHEN label = query_label THEN 0.5 ELSE 0 END)::DOUBLE AS score FROM ({_DOT}))) WHERE n <= 10""")
 def rerank_max(spark: SparkSession, d: str) -> DataFrame:

@@ -2,41 +2,51 @@
 
 from __future__ import annotations
 
-import os
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from lakeloom.operators.snapshot_diff import fingerprint
 
-STATE = "watch_key string, print string, received_at timestamp_ntz"
+EVENT = "watch_key string, kind string, received_at timestamp_ntz"
+_PROVIDER, _ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _latest(folder: str, before: int) -> str | None:
-    """The newest state written by a batch before this one: a repeated batch starts from where it started first."""
-    done = [int(x.split("=")[1]) for x in os.listdir(folder) if x.startswith("batch=")] if os.path.isdir(folder) else []
-    done = [x for x in done if x < before]
-    return f"{folder}/batch={max(done)}" if done else None
+class _Held(StatefulProcessor):
+    """Keeps each key's last fingerprint; only keys that a batch has are touched."""
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "print string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest = max(((m, p) for b in rows for m, p in zip(b["micros"], b["print"])), default=None)
+        if newest is None:
+            return
+        was = self.last.get()[0] if self.last.exists() else None
+        if was != newest[1]:
+            self.last.update((newest[1],))
+            yield pd.DataFrame({"watch_key": [key[0]], "kind": ["baseline" if was is None else "changed"], "micros": [newest[0]]})
+
+    def close(self) -> None:
+        pass
 
-def watch(captures: DataFrame, folder: str) -> StreamingQuery:
-    """Start a query that keeps ``folder/state`` (``folder`` lies on a file system that driver and executors mount) and appends (watch_key, kind, received_at) to ``folder/events`` for each batch.
 
-    captures: a stream of received_at, watch_key, document. Keys are compared in lower case; of several captures of a key in a batch
-    the latest counts. Documents that cannot be read or have no nodes leave the state as it is. The first document of a key is a
-    ``baseline``, a different one ``changed``; equal ones give no event. A batch that runs again overwrites its own output.
+def changes_of(captures: DataFrame) -> DataFrame:
+    """(watch_key, kind, received_at): a ``baseline`` for the first document of a key, ``changed`` for each different one; a stream of a stream.
+
+    captures: received_at, watch_key, document. Keys are compared in lower case; of several captures of a key in a batch the latest counts
+    (of equally late ones the larger fingerprint). Documents that cannot be read or have no nodes leave the state as it is, rows without
+    a key or time too. The state lives in the state store of the query, one fingerprint for each key.
     """
+    captures.sparkSession.conf.set(_PROVIDER, _ROCKS)
+    rows = captures.where("watch_key is not null and received_at is not null").select(F.lower("watch_key").alias("watch_key"), F.unix_micros(F.col("received_at").cast("timestamp")).alias("micros"), fingerprint("document").alias("print"))
+    out = rows.where("print is not null").groupBy("watch_key").transformWithStateInPandas(_Held(), "watch_key string, kind string, micros long", "Append", "None")
+    return out.select("watch_key", "kind", F.timestamp_micros("micros").cast("timestamp_ntz").alias("received_at"))
+
 
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.where("watch_key is not null").select(F.lower("watch_key").alias("watch_key"), "received_at", fingerprint("document").alias("print")).where("print is not null")
-        new = rows.groupBy("watch_key").agg(F.max_by(F.struct("print", "received_at"), F.struct("received_at", "print")).alias("x")).select("watch_key", F.col("x.print").alias("print"), F.col("x.received_at").alias("received_at"))
-        last = _latest(f"{folder}/state", number)
-        old = spark.read.schema(STATE).parquet(last) if last else spark.createDataFrame([], STATE)
-        both = new.join(old.select("watch_key", F.col("print").alias("was"), F.col("received_at").alias("was_at")), "watch_key", "full")
-        kind = F.when(F.col("print").isNull(), None).when(F.col("was").isNull(), "baseline").when(F.col("was") != F.col("print"), "changed")
-        both.where(kind.isNotNull()).select("watch_key", kind.alias("kind"), "received_at").write.mode("overwrite").parquet(f"{folder}/events/batch={number}")
-        both.select("watch_key", F.coalesce("print", "was").alias("print"), F.when(F.col("print").isNull(), F.col("was_at")).otherwise(F.col("received_at")).alias("received_at")).write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
-
-    return captures.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+def watch(captures: DataFrame, folder: str) -> StreamingQuery:
+    """Start a query over what has come in so far that appends ``changes_of`` to ``folder/events`` (Parquet); ``folder/checkpoint`` holds its state."""
+    return changes_of(captures).writeStream.format("parquet").option("path", f"{folder}/events").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()

@@ -3,7 +3,7 @@ import json
 
 import numpy as np
 
-from lakeloom.operators.vectors import ranked
+from lakeloom.operators.vectors import build_index, ranked, recall, searched
 from lakeloom.queries import QUERIES
 from lakeloom.streaming.watch import watch
 
@@ -20,6 +20,21 @@ def test_ranked_against_brute_force(spark):
         assert [i for _, i in sorted(got[q])] == [i for _, i in s]
 
 
+def test_index(spark):
+    r = np.random.default_rng(8)
+    middle = r.standard_normal((20, 16)) * 3
+    v = np.concatenate([m + r.standard_normal((60, 16)) for m in middle])
+    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v[i].tolist(), i % 3) for i in range(len(v))] + [(5000, None, 1), (None, v[0].tolist(), 1)], "vec_id long, embedding array<double>, label int")
+    queries = df.where("vec_id % 20 = 0")
+    index = build_index(df, sample=400, lists=20, block=50)
+    assert index.probes < 12 and index.lists.selectExpr("sum(size(d_ids)) AS n").first().n == len(v)
+    found, exact = searched(queries, index, block=7), ranked(queries, df, block=256)
+    got = recall(found, exact).first()
+    assert got.queries == 60 and got.recall >= 0.9
+    assert recall(exact, exact).first().recall == 1 and searched(queries, build_index(df.limit(0))).count() == 0
+
+
 def test_rerank_max_over_all_candidates(spark, tmp_path):
     v = np.random.default_rng(6).standard_normal((120, 8)).round(3)
     v = v / np.linalg.norm(v, axis=1, keepdims=True)
@@ -35,8 +50,8 @@ def test_rerank_max_over_all_candidates(spark, tmp_path):
 
 
 def test_frontier_keeps_every_link(spark, tmp_path):
-    node = "page_id long, node_id string, site string, pos int, tag string, role string, text string, name string, semantic_role string, href string, interactive boolean, disabled boolean, checked boolean, expanded boolean, context string, entity string, parent_id string, children array<string>"
-    rows = [(1, f"n{i}", "s", i, "a", "link", "", "pricing" if i < 149 else "other", None, f"https://s.test/p{i:03}", True, False, None, None, None, None, None, []) for i in range(150)]
+    node = "page_id long, node_id string, site string, pos int, tag string, role string, text string, name string, semantic_role string, href string, interactive boolean, disabled boolean, checked boolean, expanded boolean, context string, entity string, parent_id string, children array<string>, document_url string"
+    rows = [(1, f"n{i}", "s", i, "a", "link", "", "pricing" if i < 149 else "other", None, f"https://s.test/p{i:03}", True, False, None, None, None, None, None, [], None) for i in range(150)]
     spark.createDataFrame(rows, node).write.parquet(str(tmp_path / "page_nodes.parquet"))
     spark.createDataFrame([(1, "https://s.test/p000")], "page_id long, url string").write.parquet(str(tmp_path / "crawl_pages.parquet"))
     got = {(r.n, r.canonical) for r in QUERIES["frontier_admission"](spark, str(tmp_path)).collect()}
