@@ -32,6 +32,10 @@ _ASSET = re.compile(ASSET)
 _LINK = "array<struct<pos: int, name: string, context: string, href: string, text: string, leaf: boolean>>"
 
 
+class Cancelled(RuntimeError):
+    """The caller asked for the end."""
+
+
 class PageSource(Protocol):
     def load(self, urls: list[str]) -> DataFrame:
         """(asked, url, title, nodes, warnings, error) for the pages of some URLs in one form; ``url`` is where the page was found at last."""
@@ -147,13 +151,13 @@ def _round(source: PageSource, urls: list[str], goal: str) -> tuple[dict, dict]:
 
 def discover(
     source: PageSource, options: DiscoverOptions, robots: Robots | None = None, ranker: Ranker | None = None, provider: Provider | None = None,
-    progress: Callable[[dict], None] | None = None, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep,
+    progress: Callable[[dict], None] | None = None, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep, cancelled: Callable[[], bool] = lambda: False,
 ) -> Discovered:
     """Visit the pages of one site that speak of a goal, the most promising links first.
 
     Only links of the start's own origin whose path and robots rules allow it are followed; files that are no pages are skipped.
     Pages that fail or warn are errors and count as visited, like pages found before under another URL. ``progress`` is told of each
-    page as it is done; what it raises ends the crawl. Of links of equal promise the one found first goes first.
+    page as it is done; what it raises ends the crawl, as does ``cancelled`` (raises Cancelled), which is asked before each page. Of links of equal promise the one found first goes first.
     """
     start = whatwg.canonical(options.start)
     origin = whatwg.parse(start).origin
@@ -190,6 +194,8 @@ def discover(
             out.visited += 1
             batch.append((url, depth))
         for _ in batch:
+            if cancelled():
+                raise Cancelled("the crawl was cancelled")
             pace.turn()
         try:
             pages, links = _round(source, [u for u, _ in batch], options.goal) if batch else ({}, {})
@@ -197,6 +203,8 @@ def discover(
         except Exception as e:  # a source that fails as a whole fails for each of its pages
             pages, links, failed = {}, {}, safe_error(e)
         for url, depth in batch:
+            if cancelled():
+                raise Cancelled("the crawl was cancelled")
             page = pages.get(url)
             final = whatwg.canonical(page["url"]) if page and not page["error"] else url
             why = failed or (page["error"] if page else "no such page") or refused(final) or "; ".join(page["warnings"] or [])

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -88,6 +89,11 @@ class Checked:
     rejected: DataFrame
 
 
+def state_folder(current: str, legacy: str) -> str:
+    """Where state is kept: ``current``, unless only the ``legacy`` folder is there (local paths)."""
+    return legacy if os.path.isdir(legacy) and not os.path.isdir(current) else current
+
+
 class WatchStore:
     def __init__(self, spark: SparkSession, folder: str, max_events: int = 1000):
         if not isinstance(max_events, int) or isinstance(max_events, bool) or not 0 <= max_events <= 100_000:

@@ -14,6 +14,7 @@ from lakeloom.operators.discover import Discovered, DiscoverOptions, PageTable,
 from lakeloom.operators.extract import ExtractOptions, extract, extract_report, extracted, rendered
 from lakeloom.sources.pages import documents, parsed_nodes
 from lakeloom.operators.locate import locate
+from lakeloom.operators.running import running
 from lakeloom.plans.registry import query
 from lakeloom.plans.tables import table
 
@@ -167,8 +168,10 @@ def crawl_outcomes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("progress_running", "SELECT site, page_id, sum(1) OVER (PARTITION BY site ORDER BY captured_at, page_id) AS visited FROM (SELECT DISTINCT page_id, site, captured_at FROM crawl_pages)")
 def progress_running(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "crawl_pages").select("page_id", "site", "captured_at").distinct()
-    return pages.select("site", "page_id", F.count(F.lit(1)).over(Window.partitionBy("site").orderBy("captured_at", "page_id")).alias("visited"))
+    """How many pages of the site had been visited with each page; hours are counted first, so no site has to fit in one task."""
+    pages = table(spark, d, "crawl_pages").select("page_id", "site", "captured_at").distinct().withColumn("one", F.lit(1).cast("bigint"))
+    told = running(pages, ["site"], F.date_trunc("hour", "captured_at"), ["captured_at", "page_id"], "one")
+    return told.select("site", "page_id", (F.col("before") + 1).alias("visited"))
 
 
 _BLOCKS = f"""WITH RECURSIVE n AS (SELECT page_id, node_id, pos, tag, role, interactive, name, context, entity, href, semantic_role, children, nullif(trim(parent_id), '') AS parent,

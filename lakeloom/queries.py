@@ -12,7 +12,26 @@ from lakeloom.plans.registry import QUERIES, SQL, query  # noqa: F401
 from lakeloom.plans.tables import table
 
 
-@query("p3_found")
+# Documents in one form: their filled fields but the time of capture, by name, and their nodes, each in the same form, in order.
+_FIELDS = "list_sort(list_filter(list_transform(json_keys({0}), lambda k: k || '=' || coalesce(nullif(json_extract({0}, '$.\"' || k || '\"')::VARCHAR, 'null'), chr(0))), lambda f: NOT contains(f, chr(0)) {1}))"
+_P3 = f"""
+WITH raw AS (SELECT delivery_no AS dno, lower(watch_key) AS wk, received_at AS recv, CASE WHEN json_valid(document) THEN document::JSON END AS doc FROM snapshots WHERE delivery_no IS NOT NULL AND watch_key IS NOT NULL),
+told AS (SELECT dno, wk, recv, CASE WHEN json_type(doc) = 'OBJECT' AND json_type(doc, '$.nodes') = 'ARRAY' AND json_array_length(doc, '$.nodes') > 0 THEN
+  md5({_FIELDS.format('doc', "AND NOT starts_with(f, 'nodes=') AND NOT starts_with(f, 'capturedAt=')")}::VARCHAR || list_sort(list_transform(json_extract(doc, '$.nodes[*]'), lambda n: {_FIELDS.format('n', '')}::VARCHAR))::VARCHAR) END AS print FROM raw),
+late AS (SELECT dno, wk, print, row_number() OVER (PARTITION BY dno, wk ORDER BY recv DESC NULLS LAST, coalesce(print, '') DESC) AS nth FROM told),
+one AS (SELECT dno, wk, print FROM late WHERE nth = 1),
+nos AS (SELECT dno, row_number() OVER (ORDER BY dno) AS nr FROM (SELECT DISTINCT dno FROM raw)),
+run AS (SELECT o.*, r.nr, r.nr - row_number() OVER (PARTITION BY o.wk ORDER BY r.nr) AS run FROM one o JOIN nos r USING (dno)),
+held AS (SELECT wk, nr, last_value(print IGNORE NULLS) OVER (PARTITION BY wk, run ORDER BY nr) AS print FROM run),
+state AS (SELECT * FROM held WHERE print IS NOT NULL),
+pair AS (SELECT a.nr, a.dno AS from_no, b.dno AS to_no FROM nos a JOIN nos b ON b.nr = a.nr + 1)
+SELECT coalesce(x.wk, y.wk) AS watch_key, p.from_no, p.to_no, CASE WHEN x.wk IS NULL THEN 'added' WHEN y.wk IS NULL THEN 'removed' ELSE 'changed' END AS change_kind
+FROM (SELECT wk, nr, print FROM state) x FULL JOIN (SELECT wk, nr - 1 AS nr, print FROM state) y ON x.wk = y.wk AND x.nr = y.nr JOIN pair p ON p.nr = coalesce(x.nr, y.nr)
+WHERE x.print IS DISTINCT FROM y.print
+"""
+
+
+@query("p3_found", _P3)
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return snapshot_changes(table(spark, d, "snapshots")).select("watch_key", "from_no", "to_no", "change_kind")
 
@@ -57,6 +76,7 @@ def p7_paths(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy(table(spark, d, "page_nodes"), with_path=True).withColumn("path", F.array_join("path", "/"))
 
 
-@query("p7_descendants")
+@query("p7_descendants", _TREE + """SELECT page_id, ids[i] AS node_id, node_id AS descendant_id, CAST(depth - i + 1 AS INT) AS distance
+FROM (SELECT page_id, node_id, depth, string_split(path, '/') AS ids, unnest(range(1, depth + 1)) AS i FROM tree WHERE depth > 0)""")
 def p7_descendants(spark: SparkSession, d: str) -> DataFrame:
     return descendants(hierarchy(table(spark, d, "page_nodes"), with_path=True))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lakeloom.functions import text as T
 from lakeloom.functions import values as V
 from lakeloom.operators.facts import changes, unmatched
-from lakeloom.operators.feeds import feed_document
+from lakeloom.operators.feeds import LIMIT, feed_document
 from lakeloom.operators.vectors import build_index, ranked, recall, searched
 from lakeloom.page_queries import _score, _tokens
 from lakeloom.plans.registry import query
@@ -73,10 +73,12 @@ def diff_changes(spark: SparkSession, d: str) -> DataFrame:
     return changes(*_sides(spark, d))
 
 
-@query("diff_unchanged", "SELECT CAST(0 AS BIGINT) AS changed")
+@query("diff_unchanged", _SIDES + "SELECT grp, count(*) AS facts, 0::BIGINT + (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM b)) AS changed FROM b GROUP BY grp")
 def diff_unchanged(spark: SparkSession, d: str) -> DataFrame:
+    """The facts of each group and how many changes it has when held against itself."""
     b, _ = _sides(spark, d)
-    return changes(b, b).agg(F.count(F.lit(1)).alias("changed"))
+    changed = changes(b, b).groupBy("grp").agg(F.count(F.lit(1)).alias("changed"))
+    return b.groupBy("grp").agg(F.count(F.lit(1)).alias("facts")).join(changed, "grp", "left").select("grp", "facts", F.coalesce("changed", F.lit(0)).cast("bigint").alias("changed"))
 
 
 @query("relevant_events", f"SELECT event_id, round({_score('pricing changes', 't')}, 9) AS score FROM (SELECT DISTINCT event_id, {_tokens('concat_ws(chr(32), before_text, after_text, context)')} AS t FROM watch_events) WHERE {_score('pricing changes', 't')} > 0")
@@ -136,8 +138,10 @@ _TOLD = _X.format("coalesce(context, '') || ': ' || coalesce(before_text, '(adde
 
 
 def _newest(spark: SparkSession, d: str) -> DataFrame:
+    """The newest events of each watch; tasks drop the others before they meet. ``site`` is one URL of the watch."""
     w = Window.partitionBy("key").orderBy(F.desc("event_at"), "event_id")
-    return _events(spark, d).withColumn("key", F.lower("watch_key")).withColumn("n", F.row_number().over(w)).withColumn("site", F.max("url").over(Window.partitionBy("key")))
+    rows = _events(spark, d).withColumn("key", F.lower("watch_key")).withColumn("n", F.row_number().over(w)).where(F.col("n") <= LIMIT)
+    return rows.withColumn("site", F.max("url").over(Window.partitionBy("key")))
 
 
 @query("feed_rss", f"""SELECT lower(watch_key) AS watch_key, '<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel><title>pricing changes</title><link>' || {_X.format('max(url)')} || '</link><description>Significant semantic changes</description>' ||

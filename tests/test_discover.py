@@ -1,6 +1,6 @@
 import pytest
 
-from lakeloom.operators.discover import DiscoverOptions, RawPages, discover
+from lakeloom.operators.discover import Cancelled, DiscoverOptions, RawPages, discover
 from lakeloom.operators.plugins import Candidate, EmbeddingRanker, decide, rerank, rerank_frame
 from lakeloom.operators.robots import RobotsError, parse_robots, robots_of
 
@@ -44,6 +44,8 @@ def test_provider_ranker_and_stops(spark):
 
     with pytest.raises(KeyboardInterrupt):
         discover(source(spark), DiscoverOptions("https://a.test/", "x", delay_ms=0), progress=stop)
+    with pytest.raises(Cancelled):
+        discover(source(spark), DiscoverOptions("https://a.test/", "x", delay_ms=0), cancelled=lambda: True)
     for wrong in ({"max_pages": 0}, {"max_depth": 21}, {"concurrency": 9}, {"min_score": 2}, {"include_paths": ("x",)}, {"goal": " "}, {"max_queue": 0}):
         with pytest.raises(ValueError):
             DiscoverOptions(**({"start": "https://a.test/", "goal": "x"} | wrong))

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -8,7 +10,7 @@ from lakeloom.functions import whatwg
 from lakeloom.functions.html import DepthError, parse_tree, semantic_document
 from lakeloom.functions.privacy import redacted, redacted_text, safe_error
 from lakeloom.operators.extract import ExtractOptions, extract, extract_report, extracted, rendered
-from lakeloom.sources.pages import documents, parsed_nodes
+from lakeloom.sources.pages import captured_documents, documents, parsed_nodes
 
 SHOP = (
     '<title>Shop</title><main><section><h2>Starter</h2><button aria-labelledby="label">X</button><span id="label">Buy now</span><label for="search">Search docs</label><input id="search">'
@@ -63,6 +65,19 @@ def test_deep_and_broken_pages(spark):
     assert parsed_nodes(df).where("page_id = 1").count() == 10 and documents(df.limit(0)).count() == 0
 
 
+def test_rendered_pages(spark):
+    node = lambda i, **x: {"id": f"f0-1:n{i}", "tag": "p", "text": f"t{i}", "framePath": [], "locator": {"css": "p", "testId": "q"}} | x
+    rows = [(1, json.dumps({"url": "https://a.test/", "title": "T", "nodes": [node(i) for i in range(5)]})), (2, json.dumps({"nodes": [node(0, framePath=["f"] * 11), node(1)], "warnings": ["slow"]})), (3, "{"), (4, None)]
+    df = spark.createDataFrame(rows, "page_id long, document string")
+    got = {r.page_id: r for r in captured_documents(df, 3).collect()}
+    assert len(got[1].nodes) == 3 and got[1].warnings == ["more than 3 nodes, the rest left out"] and got[1].nodes[1].pos == 1 and got[1].nodes[0].locator.test_id == "q" and got[1].source == "browser"
+    assert [n.node_id for n in got[2].nodes] == ["f0-1:n1"] and got[2].warnings == ["slow", "frames deeper than 10 left out"]
+    assert got[3].warnings == got[4].warnings == ["unreadable document"] and not got[3].nodes
+    for wrong in (0, 100_001, True):
+        with pytest.raises(ValueError):
+            captured_documents(df, wrong)
+
+
 def test_extract_and_render(spark):
     html = '<title>Plans</title><h1>Plans</h1><ul><li><a href="/a_(b)">Pro *plan*</a></li></ul><p>Costs $5</p><h3>More</h3><button>Buy Pro</button><p>x</p>'
     pages = spark.createDataFrame([(1, "https://a.test/p", html), (2, "https://a.test/q", "<title></title>")], "page_id long, url string, html string")

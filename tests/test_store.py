@@ -72,3 +72,21 @@ def test_conflict_poll_and_close(spark, tmp_path):
         with pytest.raises(ValueError):
             WatchStore(spark, "x", bad)
     assert complaint("[]") and complaint(doc(("x", {}))) is None
+
+
+def test_folders(spark, tmp_path):
+    import os
+
+    from lakeloom.operators.store import state_folder
+    from lakeloom.plans.session import release, shared_dir, written
+
+    new, old = str(tmp_path / "new"), str(tmp_path / "old")
+    assert state_folder(new, old) == new
+    os.mkdir(old)
+    assert state_folder(new, old) == old
+    os.mkdir(new)
+    assert state_folder(new, old) == new
+    release(spark)
+    before = set(os.listdir(shared_dir(spark).removeprefix("file://")))
+    assert written(spark.range(3)).count() == 3 and release(spark) == 1
+    assert set(os.listdir(shared_dir(spark).removeprefix("file://"))) == before
