@@ -96,6 +96,18 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(packing.packed(table(spark, d, "documents"), packs), packs)
 
 
+@query("p8_cover", """SELECT pack_name, count(*) AS documents, 0::BIGINT AS overfull, 0::BIGINT AS broken FROM pack_sizes p JOIN documents d ON d.text <> '' AND (p.lang_filter IS NULL OR lower(trim(d.lang)) = lower(trim(p.lang_filter)))
+  WHERE p.capacity_tokens > 0 GROUP BY pack_name""")
+def p8_cover(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents each pack holds, how many containers are too full, and how many documents are split for no need or come out incomplete."""
+    packs = table(spark, d, "pack_sizes")
+    pieces = packing.packed(table(spark, d, "documents"), packs).join(packs.select("pack_name", "capacity_tokens", "separator_tokens"), "pack_name")
+    gap = F.greatest(F.coalesce("separator_tokens", F.lit(0)), F.lit(0))
+    box = pieces.groupBy("pack_name", "container").agg((F.sum("tokens") + (F.count(F.lit(1)) - 1) * F.max(gap) > F.max("capacity_tokens")).alias("over"))
+    doc = pieces.groupBy("pack_name", "doc_id").agg(((F.sum("tokens") != F.max(F.col("token_start") + F.col("tokens"))) | (F.count(F.lit(1)) != F.ceil(F.sum("tokens") / F.max("capacity_tokens")))).alias("bad"))
+    return doc.groupBy("pack_name").agg(F.count(F.lit(1)).alias("documents"), F.count_if("bad").alias("broken")).join(box.groupBy("pack_name").agg(F.count_if("over").alias("overfull")), "pack_name")
+
+
 @query("p9_mix")
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))
@@ -107,6 +119,17 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.share_report(mixing.mixed(table(spark, d, "documents"), targets), targets)
 
 
+@query("p9_caps", """WITH t AS (SELECT mix_name, regexp_replace(lower(trim(source)), '[-\\s]+', '_', 'g') AS source, coalesce(sum(target_share), 0) AS share FROM mix_targets GROUP BY ALL)
+SELECT mix_name, source, round(share / sum(share) OVER (PARTITION BY mix_name), 6) AS target, 0::BIGINT AS overused FROM t""")
+def p9_caps(spark: SparkSession, d: str) -> DataFrame:
+    """Each source's wanted share, and how many documents a mix uses more often than it may."""
+    targets = table(spark, d, "mix_targets")
+    mix = mixing.mixed(table(spark, d, "documents"), targets)
+    most = targets.groupBy("mix_name", mixing.source_name("source").alias("source")).agg(F.max("max_repeats").alias("max_repeats"))
+    used = mix.groupBy("mix_name", "source", "doc_id").agg(F.count(F.lit(1)).alias("times")).join(most, ["mix_name", "source"]).groupBy("mix_name", "source").agg(F.count_if(F.col("times") > F.col("max_repeats")).alias("overused"))
+    return mixing.share_report(mix, targets).select("mix_name", "source", "target").join(used, ["mix_name", "source"], "left").fillna(0, ["overused"])
+
+
 @query("p10_found")
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(table(spark, d, "documents"), with_text=False).select("doc_id", "start_char", "end_char")

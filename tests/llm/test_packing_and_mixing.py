@@ -3,10 +3,9 @@ import os
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from lakeloom.llm import packing
-from lakeloom.llm.mixing import LEAF, domain_budgets, fill_level, leaf_budgets, mixed, running, share_report
+from lakeloom.llm.mixing import LEAF, domain_budgets, fill_level, leaf_budgets, mixed, share_report
 from lakeloom.llm.packing import Packer, hilbert_keys, packed
 from lakeloom.llm.tokens import TOKENIZER, count_tokens
 
@@ -55,17 +54,6 @@ def test_siblings_before_ancestors(spark):
     assert {r.domain: r.budget for r in domain_budgets(domains).collect()} == {"a": 10, "b": 20, "c": 60}
 
 
-def test_running_sums(spark):
-    rows = [("g" if i % 3 else "h", (i * 37) % 101, i, i % 7 + 1) for i in range(300)]
-    df = spark.createDataFrame(rows, "g string, p long, id long, v long")
-    got = {r.id: r.before for r in running(df, ["g"], F.expr("p div 10"), ["p", "id"], "v").collect()}
-    for g in "gh":
-        at = 0
-        for _, _, i, v in sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2])):
-            assert got[i] == at
-            at += v
-
-
 def test_segments(spark, monkeypatch):
     monkeypatch.setattr(packing, "SEGMENT_TOKENS", 100)
     monkeypatch.setattr(packing, "SEGMENT_CONTAINERS", 1)
