@@ -10,7 +10,7 @@ The one step that is no SQL comes last: of the values found, those that are temp
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm.lookalikes import INVISIBLE, LOOKS, SPACES
@@ -56,7 +56,8 @@ def _s(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\t", "\\t") + "'"
 
 
-_LOOKING = "[" + "".join(sorted(_LOOK)) + "".join(sorted({a for letters, _ in LOOKS.values() for a in letters} - set(_LOOK))) + "]"
+#: Scripts that have letters of this kind.
+_LOOKING = r"[\x{370}-\x{3ff}\x{400}-\x{52f}\x{531}-\x{58a}\x{13a0}-\x{13fd}\x{2c80}-\x{2cff}\x{a4d0}-\x{a4ff}]"
 
 
 def _plain(word: str) -> str:
@@ -125,6 +126,12 @@ WHERE share <= {{share}}
 """
 
 
+def _ordinary(value: Column) -> Column:
+    """A value without invisible characters, with ordinary spaces and widths; only values that have such are touched."""
+    plain = F.translate(F.regexp_replace(F.regexp_replace(value, f"[{INVISIBLE}]", ""), f"[{SPACES}]", " "), *_WIDE)
+    return F.when(value.rlike(f"[{INVISIBLE}{SPACES}\uff01-\uff5e]"), plain).otherwise(value)
+
+
 def _values(nodes: DataFrame) -> DataFrame:
     """One row for each different value of a node: site, page_id, node_id, fields, value, and the node's other value."""
     def row(fields: list[str], value: str, other: str | None):
@@ -144,7 +151,7 @@ def truncated_values(nodes: DataFrame, share: float = MAX_END_SHARE, min_seen: i
     """
     spark = nodes.sparkSession
     rows = _values(nodes).withColumn("hash", F.xxhash64("value"))
-    once = rows.groupBy("hash", "value").agg(F.sum(F.size("fields")).alias("weight")).withColumn("fold", F.regexp_replace(F.regexp_replace("value", f"[{INVISIBLE}]", ""), f"[{SPACES}]", " ")).withColumn("fold", F.translate("fold", *_WIDE))
+    once = rows.groupBy("hash", "value").agg(F.sum(F.size("fields")).alias("weight")).withColumn("fold", _ordinary(F.col("value")))
     prepared = written(spark.sql(_PREPARED, rows=once))
     grams = written(spark.sql(_GRAMS, prepared=prepared))
     lasts = spark.sql(_LASTS, prepared=prepared)
