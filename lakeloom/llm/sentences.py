@@ -133,9 +133,27 @@ def start_key(p: str, at: int, script: str) -> str:
     return "##" if w[0].isdigit() else w
 
 
-def _ends_of_words(p: str) -> dict[int, str]:
-    """The words of a paragraph by the places behind them."""
-    return {m.end(): m[0] for m in _WORD.finditer(p)}
+class _Known(dict):
+    """Which characters belong to words, told once for each."""
+
+    def __missing__(self, c: str) -> bool:
+        self[c] = _NEXT.match(c) is not None
+        return self[c]
+
+
+_IN_WORD = _Known()
+
+
+def word_before(p: str, i: int) -> str:
+    """The word that ends at a place, "" if none does."""
+    known, j = _IN_WORD, i
+    while j:
+        c = p[j - 1]
+        if known[c] or c in ".'’-" and 1 < j < i and known[p[j - 2]]:
+            j -= 1
+        else:
+            break
+    return p[j:i]
 
 
 def _count(text: str, script: str, words: Counter, into: Counter) -> None:
@@ -151,12 +169,11 @@ def _count(text: str, script: str, words: Counter, into: Counter) -> None:
             into["o", key] += 1
             if script == "East":
                 continue
-        ends = _ends_of_words(p)
-        words.update(ends.values())
-        i = p.find(".")
+        words.update(_WORD.findall(p))
+        i, n = p.find("."), len(p)
         while i >= 0:
-            w = ends.get(i)
-            if w is not None and not p.startswith(".", i + 1):
+            w = word_before(p, i) if i + 1 == n or p[i + 1] != "." and not _IN_WORD[p[i + 1]] else ""
+            if w:
                 t, j = word_type(w), _SPACE.match(p, i + 1).end()
                 into["p", t] += 1
                 into["w", t] -= 1
@@ -246,7 +263,7 @@ def learn(documents: DataFrame) -> DataFrame:
     )
 
 
-def _candidates(p: str, spans: list[tuple[int, int]], ends: dict[int, str]) -> list[tuple[int, str, str, bool]]:
+def _candidates(p: str, spans: list[tuple[int, int]]) -> list[tuple[int, str, str, bool]]:
     """(place, word before, mark, whether a quote closes there) of the places that may end a sentence."""
     opens, closes = {a for a, _ in spans}, {e for _, e in spans}
     out, at, n, k = [], 0, len(p), 0
@@ -260,12 +277,13 @@ def _candidates(p: str, spans: list[tuple[int, int]], ends: dict[int, str]) -> l
             stop += 1
         if stop < at:
             continue
-        w = ends.get(i)
-        if w is None:  # a mark inside a word: its part since the last one
+        if p[i] == "." and i + 1 < n and _IN_WORD[p[i + 1]]:  # a mark inside a word: its part since the last one
             j = i
             while j and p[j - 1] not in FINAL and not p[j - 1].isspace():
                 j -= 1
             w = p[j:i]
+        else:
+            w = word_before(p, i)
         out.append((stop, w, m[0], False))
         at = stop
     for s, e in spans:
@@ -289,7 +307,7 @@ def _examined(text: str) -> tuple[str, list]:
         p = text[a:b]
         spans = shielded(p)
         near = []
-        for stop, word, mark, closed in _candidates(p, spans, _ends_of_words(p)):
+        for stop, word, mark, closed in _candidates(p, spans):
             j = _SPACE.match(p, stop).end()
             near.append((stop, j, word, mark, closed, start_key(p, j, script)))
         spaces, k = [], 0
