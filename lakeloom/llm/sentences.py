@@ -13,6 +13,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
@@ -41,7 +42,7 @@ MOST_KEPT = 300_000
 FINAL = ".!?。！？｡।॥؟۔…‼⁇⁈⁉។။՞።"
 OPEN = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "【": "】", "「": "」", "『": "』", "《": "》", "〈": "〉", "«": "»", "‹": "›", "“": "”", "„": "“”", "‘": "’", "‚": "‘’"}
 CLOSE = set(")]}）］】」』》〉»›”“’\"'")
-_GAP = regex.compile(r"\r?\n[^\S\n]*\r?\n\s*")
+_GAP = re.compile(r"\r?\n[^\S\n]*\r?\n\s*")
 _CHAR = r"[\w\u0300-\u036f\u0483-\u0487\u0591-\u05c7\u0610-\u061a\u064b-\u065f\u0670\u0900-\u0963\u0966-\u0dff\u0e31-\u0e4e\u0eb1-\u0ecd\u1000-\u109d\u17b4-\u17dd]"
 _WORD = re.compile(rf"{_CHAR}+(?:[.'’\-]{_CHAR}+)*")
 _NEXT = re.compile(rf"{_CHAR}+")
@@ -55,33 +56,36 @@ _SHIELD = re.compile("[" + re.escape("".join(OPEN) + "".join(OPEN.values()) + "\
 _SCRIPTS = {"Thai": regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"), "East": regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]"), "Deva": regex.compile(r"\p{Devanagari}"), "Arab": regex.compile(r"\p{Arabic}"), "Cyrl": regex.compile(r"\p{Cyrillic}")}
 
 
-@lru_cache(65_536)
-def _script(c: str) -> str:
-    return next((name for name, p in _SCRIPTS.items() if p.match(c)), "")
+@lru_cache(1)
+def _kinds() -> np.ndarray:
+    """For each code point of the first planes: 0 no letter, 1 a letter, from 2 on the scripts in their order, twice that a letter of them."""
+    every = "".join(map(chr, (*range(0xD800), *[0x20] * 0x800, *range(0xE000, 0x30000))))
+    kind = np.fromiter((c.isalpha() for c in every), np.uint8, len(every))
+    for i, p in enumerate(_SCRIPTS.values()):
+        at = np.fromiter((m.start() for m in p.finditer(every)), np.int64)
+        kind[at] += 2 + 2 * i
+    return kind
 
 
 def script_of(text: str) -> str:
     """The script of most of a text's letters, Latin counting little where others are; the whole text is counted."""
     if text.isascii():
         return "Latn"
-    sums: Counter = Counter()
-    letters = 0
-    for c, n in Counter(text).items():
-        letters += n if c.isalpha() else 0
-        if c > "\u036f":
-            sums[_script(c)] += n
-    n, name = max(((n, name) for name, n in sums.items() if name), default=(0, ""))
-    return name if n and n * 4 >= letters else "Latn"
+    kinds = _kinds()
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    n = np.bincount(kinds[np.minimum(codes, len(kinds) - 1)], minlength=2 + 2 * len(_SCRIPTS))
+    best, name = max((int(n[2 + 2 * i] + n[3 + 2 * i]), name) for i, name in enumerate(_SCRIPTS))
+    return name if best and best * 4 >= int(n[1::2].sum()) else "Latn"
 
 
 def paragraphs(text: str) -> list[tuple[int, int]]:
     """Trimmed spans between blank lines."""
     out, at = [], 0
-    for m in [*_GAP.finditer(text), None]:
+    for m in [*(_GAP.finditer(text) if "\n" in text else ()), None]:
         stop = m.start() if m else len(text)
         part = text[at:stop]
         lead = len(part) - len(part.lstrip())
-        if part.strip():
+        if lead < len(part):
             out.append((at + lead, at + len(part.rstrip())))
         at = m.end() if m else stop
     return out
@@ -406,11 +410,10 @@ def _language(known: dict[str, set[str]], examined: list, lang: str) -> str | No
 
 
 def _spans_of(b: pd.DataFrame, cuts: list[list[tuple[int, int]]], with_text: bool) -> pd.DataFrame:
-    many = [len(c) for c in cuts]
-    out = pd.DataFrame({
-        "doc_id": b["doc_id"].repeat(many).to_numpy(), "sentence_no": [i for n in many for i in range(n)],
-        "start_char": [s for c in cuts for s, _ in c], "end_char": [e for c in cuts for _, e in c],
-    })
+    many = np.fromiter(map(len, cuts), np.int64, len(cuts))
+    flat = np.array([x for c in cuts for x in c], dtype=np.int32).reshape(-1, 2)
+    first = np.repeat(np.cumsum(many) - many, many)
+    out = pd.DataFrame({"doc_id": np.repeat(b["doc_id"].to_numpy(), many), "sentence_no": (np.arange(len(flat)) - first).astype(np.int32), "start_char": flat[:, 0], "end_char": flat[:, 1]})
     if with_text:
         out["sentence"] = [t[s:e] for t, c in zip(b["text"], cuts) for s, e in c]
     return out
