@@ -162,6 +162,8 @@ def word_before(p: str, i: int) -> str:
 
 def _count(text: str, script: str, words: Counter, into: Counter) -> None:
     """Count a text's words into ``words`` and what stands around its marks into ``into``."""
+    if script != "East":
+        words.update(_WORD.findall(text))  # no word crosses the end of a paragraph
     for a, b in paragraphs(text):
         p = text[a:b]
         key = start_key(p, 0, script)
@@ -173,7 +175,6 @@ def _count(text: str, script: str, words: Counter, into: Counter) -> None:
             into["o", key] += 1
             if script == "East":
                 continue
-        words.update(_WORD.findall(p))
         i, n = p.find("."), len(p)
         while i >= 0:
             w = word_before(p, i) if i + 1 == n or p[i + 1] != "." and not _IN_WORD[p[i + 1]] else ""
