@@ -103,10 +103,15 @@ def url_parts(spark: SparkSession, d: str) -> DataFrame:
     return c.select("page_id", U.origin(F.col("c")).alias("origin"), U.path_of(F.col("c")).alias("path"))
 
 
-@query("path_policy", f"SELECT page_id, canonical FROM ({_CANONICAL}) WHERE (regexp_extract(canonical, '^[a-z]+://[^/?]+([^?]*)', 1) LIKE '/docs/%' OR regexp_extract(canonical, '^[a-z]+://[^/?]+([^?]*)', 1) LIKE '/help/%') AND regexp_extract(canonical, '^[a-z]+://[^/?]+([^?]*)', 1) NOT LIKE '/help/a%'")
+_SEEDED = _CANONICAL.replace("page_id, url, ingested_at", "page_id, url, ingested_at, depth")
+_OWN_PATH = "regexp_extract(canonical, '^[a-z]+://[^/?]+([^?]*)', 1)"
+
+
+@query("path_policy", f"SELECT page_id, canonical FROM ({_SEEDED}) WHERE ({_OWN_PATH} LIKE '/docs/%' OR {_OWN_PATH} LIKE '/help/%' OR depth = 0) AND {_OWN_PATH} NOT LIKE '/help/a%'")
 def path_policy(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "crawl_pages").select("page_id", U.canonical_url(F.col("url")).alias("canonical"))
-    return c.where(U.path_allowed(U.path_of(F.col("canonical")), ["/docs/", "/help/"], ["/help/a"]))
+    """Pages under the paths to include; where a crawl began needs none of these, but nothing overrides an excluded path."""
+    c = table(spark, d, "crawl_pages").select("page_id", "depth", U.canonical_url(F.col("url")).alias("canonical"))
+    return c.where(U.path_allowed(U.path_of(F.col("canonical")), ["/docs/", "/help/"], ["/help/a"], F.col("depth") == 0)).select("page_id", "canonical")
 
 
 # Hosts as a URL can name them, and whether they may be fetched; the SQL goes by ranges of addresses.

@@ -48,6 +48,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _FOLDERS[app]
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A name for a folder of the application's own in the shared folder; ``release`` deletes it."""
+    app = spark.sparkContext.applicationId
+    path = f"{shared_dir(spark)}/{app}-{uuid.uuid4().hex}"
+    _TABLES.setdefault(app, []).append(path)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder as a Parquet table, and read from there: it cuts the lineage and survives lost executors.
 
@@ -55,9 +63,8 @@ def written(df: DataFrame) -> DataFrame:
     ``release`` deletes the tables of a session.
     """
     spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{shared_dir(spark)}/{app}-{uuid.uuid4().hex}.parquet"
-    _TABLES.setdefault(app, []).append(path)
+    path = scratch_folder(spark) + ".parquet"
+    _TABLES[spark.sparkContext.applicationId][-1] = path
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

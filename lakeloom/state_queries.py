@@ -9,9 +9,11 @@ from lakeloom.functions import text as T
 from lakeloom.functions import values as V
 from lakeloom.operators.facts import changes, unmatched
 from lakeloom.operators.feeds import LIMIT, feed_document
+from lakeloom.operators.store import WatchStore
 from lakeloom.operators.vectors import build_index, ranked, recall, searched
 from lakeloom.page_queries import _score, _tokens
 from lakeloom.plans.registry import query
+from lakeloom.plans.session import scratch_folder
 from lakeloom.plans.tables import table
 
 _TIMES = r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?)?\b"
@@ -81,6 +83,18 @@ def diff_unchanged(spark: SparkSession, d: str) -> DataFrame:
     return b.groupBy("grp").agg(F.count(F.lit(1)).alias("facts")).join(changed, "grp", "left").select("grp", "facts", F.coalesce("changed", F.lit(0)).cast("bigint").alias("changed"))
 
 
+@query("watch_check")
+def watch_check(spark: SparkSession, d: str) -> DataFrame:
+    """The first two deliveries put through a watch store, one check each: the events of the second."""
+    shots = table(spark, d, "snapshots").where("delivery_no is not null")
+    store, found = WatchStore(spark, scratch_folder(spark)), None
+    for r in shots.select("delivery_no").distinct().orderBy("delivery_no").limit(2).collect():
+        own = shots.where(F.col("delivery_no") == r["delivery_no"])
+        found = store.check(own.select(F.get_json_object("document", "$.url").alias("url"), F.lit("all").alias("watch_for"), "document", F.col("received_at").alias("captured_at")))
+    events = found.events if found else store.events()
+    return events.select("watch_key", "event_type", "context", "before_text", "after_text", "seq")
+
+
 @query("relevant_events", f"SELECT event_id, round({_score('pricing changes', 't')}, 9) AS score FROM (SELECT DISTINCT event_id, {_tokens('concat_ws(chr(32), before_text, after_text, context)')} AS t FROM watch_events) WHERE {_score('pricing changes', 't')} > 0")
 def relevant_events(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "watch_events").dropDuplicates(["event_id"])
