@@ -52,7 +52,8 @@ _SUSPECT = f"[{INVISIBLE}{SPACES}{LOOSE}\\u0370-\\u03ff\\u0400-\\u052f\\u0531-\\
 
 
 def suspect(value: Column) -> Column:
-    return value.rlike(_SUSPECT)
+    """Whether a value may not be in the consistent form; plain Latin text is told by a short class before the long one is tried."""
+    return value.rlike(r"[^\x{0}-\x{7f}\x{c0}-\x{ff}]") & value.rlike(_SUSPECT)
 
 
 def plain_forms(text: str) -> str:

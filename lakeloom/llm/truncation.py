@@ -129,7 +129,8 @@ WHERE share <= {{share}}
 def _ordinary(value: Column) -> Column:
     """A value without invisible characters, with ordinary spaces and widths; only values that have such are touched."""
     plain = F.translate(F.regexp_replace(F.regexp_replace(value, f"[{INVISIBLE}]", ""), f"[{SPACES}]", " "), *_WIDE)
-    return F.when(value.rlike(f"[{INVISIBLE}{SPACES}\uff01-\uff5e]"), plain).otherwise(value)
+    odd = value.rlike(r"[^\x{0}-\x{7f}\x{c0}-\x{ff}]") & value.rlike(f"[{INVISIBLE}{SPACES}\uff01-\uff5e]")  # plain Latin text is told by the short class
+    return F.when(odd, plain).otherwise(value)
 
 
 def _values(nodes: DataFrame) -> DataFrame:
