@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakeloom.llm.tokens import TOKENIZER, encoder
 from lakeloom.plans.session import spread, written
@@ -57,6 +58,7 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def _measure(path: str):
+    """Rows (doc_id, lang, text) to tokens and the projected vector of hashed token counts."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = encoder(path)
         for b in batches:
@@ -66,12 +68,27 @@ def _measure(path: str):
                 v[i] = np.bincount(np.asarray(x, dtype=np.int64) * 2654435761 % 2**32 % FEATURES, minlength=FEATURES)
             v = np.log1p(v)
             p = v @ _PROJECTION / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-            cell = np.clip(((np.tanh(p) + 1) / 2 * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "lang": b["lang"], "tokens": [len(x) for x in ids], "curve": hilbert_keys(cell)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "lang": b["lang"], "tokens": [len(x) for x in ids], "v": list(p)})
 
     return run
 
 
+def on_curve(sized: DataFrame) -> DataFrame:
+    """``sized`` (doc_id, lang, tokens, v) with ``curve``, the document's place along the Hilbert curve, for ``v``.
+
+    The vectors are centred and scaled by the corpus (one row of means and deviations, of three digits), so that the curve's cells are used.
+    """
+    row = sized.agg(*[f(F.col("v")[i]).alias(f"{n}{i}") for i in range(DIMENSIONS) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    mean = np.array([round(row[f"m{i}"] or 0.0, 3) for i in range(DIMENSIONS)])
+    scale = np.array([max(round(row[f"s{i}"] or 0.0, 3), 0.001) for i in range(DIMENSIONS)])
+
+    def places(v: pd.Series) -> pd.Series:
+        p = (np.stack(v.to_numpy()) - mean) / scale if len(v) else np.zeros((0, DIMENSIONS))
+        return pd.Series(hilbert_keys(np.clip(((np.tanh(p / 2) + 1) / 2 * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)))
+
+    return sized.select("doc_id", "lang", "tokens", F.pandas_udf(places, T.LongType())("v").alias("curve"))
+
+
 class Packer:
     """Packs a segment's documents in their order along the curve; ``feed`` and ``finish`` give (doc_id, piece_no, token_start, tokens, box, place)."""
 
@@ -170,7 +187,8 @@ def packed(documents: DataFrame, packs: DataFrame, tokenizer: str = TOKENIZER) -
     case. A pack without a name or a capacity above 0 is left out. Containers are named by their segment and number in it.
     """
     rows = spread(documents.where("text is not null and text <> '' and doc_id is not null")).select("doc_id", "text", F.lower(F.trim("lang")).alias("lang"))
-    sized = written(rows.mapInPandas(_measure(tokenizer), "doc_id long, lang string, tokens long, curve long"))
+    sized = written(rows.mapInPandas(_measure(tokenizer), "doc_id long, lang string, tokens long, v array<double>"))
+    sized = written(on_curve(sized))
     want = packs.where("capacity_tokens > 0 and pack_name is not null").select(
         "pack_name", F.col("capacity_tokens").cast("long").alias("capacity"), F.greatest(F.coalesce("separator_tokens", F.lit(0)), F.lit(0)).cast("long").alias("separator"), F.coalesce(F.lower(F.trim("lang_filter")), F.lit("*")).alias("key"))
     lines = sized.select("doc_id", "tokens", "curve", F.explode(F.array_compact(F.array(F.lit("*"), "lang"))).alias("key")).join(want, "key").drop("key")
